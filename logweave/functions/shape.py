@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
@@ -44,40 +46,43 @@ def parsed_time(created: Column) -> Column:
     )
 
 
-def _typed(value: Column | None, kind: DataType) -> Column:
-    if value is None:
-        return F.lit(None).cast(kind)
+def _typed(value: Column, kind: DataType) -> Column:
+    """Blank text becomes NULL."""
     if kind.typeName() == "string":
         return F.when(value != "", value)
     return value
 
 
-class _Fields:
-    """Builds structs by field path; a struct without any value becomes NULL."""
-
-    def __init__(self, values: dict[str, Column]):
-        self.values = values
-        self.used: set[str] = set()
-
-    def struct(self, kind: StructType, prefix: str) -> tuple[Column, list[Column]]:
-        parts, leaves = [], []
-        for field in kind.fields:
-            path = prefix + field.name
-            if isinstance(field.dataType, StructType):
-                part, below = self.struct(field.dataType, path + ".")
-                leaves += below
-            else:
-                self.used.add(path)
-                part = _typed(self.values.get(path), field.dataType)
-                if path in self.values:
-                    leaves.append(part)
-            parts.append(part.alias(field.name))
-        if not leaves:
-            return F.lit(None).cast(kind), []
-        present = leaves[0].isNotNull()
-        for leaf in leaves[1:]:
-            present = present | leaf.isNotNull()
-        return F.when(present, F.struct(*parts)), leaves
+def computed_once(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once per row, however they are used later.
+
+    Spark moves a filter below the projections that make its columns and repeats
+    their expressions there, over and over for layered ones.  It never moves a
+    filter on the output of a generator, so parsed fields pass through one: a
+    single struct per row, unfolded into columns.
+    """
+    fields = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select(*[F.col(f"`{c}`") for c in keep], F.inline_outer(F.array(fields)))
+
+
+def _struct(kind: StructType, prefix: str, leaves: dict[str, Column]) -> tuple[Column, list]:
+    """A struct by field path, NULL when none of its leaves has a value."""
+    parts, below = [], []
+    for field in kind.fields:
+        path = prefix + field.name
+        if isinstance(field.dataType, StructType):
+            part, inner = _struct(field.dataType, path + ".", leaves)
+            below += inner
+        elif path in leaves:
+            part = leaves[path]
+            below.append(part)
+        else:
+            part = F.lit(None).cast(field.dataType)
+        parts.append(part.alias(field.name))
+    if not below:
+        return F.lit(None).cast(kind), []
+    present = reduce(lambda a, b: a | b, [leaf.isNotNull() for leaf in below])
+    return F.when(present, F.struct(*parts)), below
 
 
 def shape_event(
@@ -110,38 +115,50 @@ def shape_event(
     values["event.id"] = F.col(EVENT_ID) if EVENT_ID in df.columns else content_id(source_type, raw)
     values["event.source_type"] = F.lit(source_type)
     values["log.source_type"] = F.lit(source_type)
-    values["log.source_tool"] = F.coalesce(
-        _typed(values.get("log.source_tool"), schema["log"].dataType["source_tool"].dataType),
-        F.lit(source_type),
-    )
+    tool = values.get("log.source_tool", F.lit(""))
+    values["log.source_tool"] = F.when(tool != "", tool).otherwise(source_type)
     values.setdefault("event.outcome", F.lit("unknown"))
     values.setdefault("event.severity", F.lit(0))
     values["event.severity"] = values["event.severity"].cast("bigint")
     if "event.original_event_id" in values:
         values["log.original_event_id"] = values["event.original_event_id"]
 
-    fields = _Fields(values)
+    kinds = dict(_leaf_types(schema))
+    unknown = set(values) - set(kinds)
+    if unknown:
+        raise ValueError(f"unknown event fields: {sorted(unknown)}")
+
+    # Leaves are columns of their own first, so that the structs only refer to them.
+    names = {path: f"_leaf_{path}" for path in values}
+    leaf_rows = df.select(
+        *[F.col(f"`{c}`") for c in keep],
+        *[_typed(values[path], kinds[path]).alias(name) for path, name in names.items()],
+        status.alias("_status"),
+        error.alias("_error"),
+    )
+    leaves = {path: F.col(f"`{name}`") for path, name in names.items()}
     columns = [F.lit(SCHEMA_VERSION).alias("schema_version")]
     for name in EVENT_COLUMNS[1:-1]:
         kind = schema[name].dataType
         if name in ("event", "log"):
             # Always present, hence plain structs that Catalyst can see through.
             parts = [
-                _typed(values.get(f"{name}.{f.name}"), f.dataType).alias(f.name)
+                leaves.get(f"{name}.{f.name}", F.lit(None).cast(f.dataType)).alias(f.name)
                 for f in kind.fields
             ]
-            fields.used.update(f"{name}.{f.name}" for f in kind.fields)
             columns.append(F.struct(*parts).alias(name))
         else:
-            columns.append(fields.struct(kind, name + ".")[0].alias(name))
-    columns.append(F.coalesce(values.get("tags", empty_strings()), empty_strings()).alias("tags"))
+            columns.append(_struct(kind, name + ".", leaves)[0].alias(name))
+    columns.append(F.coalesce(leaves.get("tags", empty_strings()), empty_strings()).alias("tags"))
+    return leaf_rows.select(*[F.col(f"`{c}`") for c in keep], *columns, "_status", "_error")
 
-    unknown = set(values) - fields.used - {"tags"}
-    if unknown:
-        raise ValueError(f"unknown event fields: {sorted(unknown)}")
-    return df.select(
-        *[F.col(f"`{c}`") for c in keep], *columns, status.alias("_status"), error.alias("_error")
-    )
+
+def _leaf_types(kind: StructType, prefix: str = ""):
+    for field in kind.fields:
+        if isinstance(field.dataType, StructType):
+            yield from _leaf_types(field.dataType, prefix + field.name + ".")
+        else:
+            yield prefix + field.name, field.dataType
 
 
 def kept_columns(df: DataFrame, *dropped: str) -> list[str]:

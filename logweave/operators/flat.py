@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions.fixed_values import SEVERITY_BAND_DEFAULT, SEVERITY_BANDS
 from logweave.functions.text import empty_strings, null_to_blank
-from logweave.schema import EVENT_COLUMNS
+from logweave.schema import EVENT_COLUMNS, FIELD_CATALOG, field_catalog, source_catalog
 
 # Columns of the flat event row, as stored and listed.
 LISTING_COLUMNS = [
@@ -174,3 +174,27 @@ def event_long(events: DataFrame, *keys: str) -> DataFrame:
         events.select(*keys, F.inline(F.array(*pairs)))
         .filter(F.col("value") != "")
     )
+
+
+def fields_in_use(events: DataFrame) -> DataFrame:
+    """The field catalog with the number of events that fill each field."""
+    paths = [path for path, *_ in FIELD_CATALOG]
+    counts = events.agg(*[F.count(F.col(path)).alias(path) for path in paths])
+    pairs = [
+        F.struct(F.lit(path).alias("path"), F.col(f"`{path}`").alias("events")) for path in paths
+    ]
+    used = counts.select(F.inline(F.array(*pairs)))
+    # Both sides have one row per documented field.
+    return F.broadcast(field_catalog(events.sparkSession)).join(used, "path")
+
+
+def sources_in_use(events: DataFrame) -> DataFrame:
+    """The source catalog with the number of events of each source, 0 without any."""
+    counts = events.groupBy(F.col("event.source_type").alias("source_type")).agg(
+        F.count(F.lit(1)).alias("records")
+    )
+    return (
+        source_catalog(events.sparkSession)
+        .join(counts, "source_type", "left")
+        .withColumn("records", F.coalesce("records", F.lit(0).cast("bigint")))
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import fixed_values as fixed
-from logweave.functions.shape import kept_columns, shape_event
+from logweave.functions.shape import computed_once, kept_columns, shape_event
 from logweave.functions.text import (
     contains_any,
     empty_strings,
@@ -177,6 +177,8 @@ def normalize_cef(df: DataFrame, raw: str = "raw") -> DataFrame:
             (null_to_blank(f["src_ip"]) != "") | (null_to_blank(f["dst_ip"]) != ""),
         ),
     )
+    made = [c for c in staged.columns if c not in keep]
+    staged = computed_once(staged, keep, {c: F.col(c) for c in made})
     text = lambda key: F.lit(key)
     ok = is_cef | F.col("_object").isNotNull()
     return shape_event(

@@ -104,7 +104,7 @@ def rejected_files(
         spark.read.format("binaryFile")
         .load(path)
         .filter(F.col("length") > max_file_mb * 1024 * 1024)
-        .select(F.col("path").alias(SOURCE_FILE), F.col("length").alias("file_size"))
+        .select(F.col("_metadata.file_path").alias(SOURCE_FILE), F.col("length").alias("file_size"))
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import fixed_values as fixed
-from logweave.functions.shape import kept_columns, shape_event
+from logweave.functions.shape import computed_once, kept_columns, shape_event
 from logweave.functions.text import empty_strings, one_line_groups, string_array, strip
 
 _LINE = "(?Ud)^(?:" + "|".join(
@@ -202,7 +202,10 @@ def normalize_syslog(
     ``default_year`` completes the year-less time stamps (default: this year).
     """
     keep = kept_columns(df)
-    lines = classify(parse_lines(df, raw, default_year))
+    parts = ["_time", "_host", "_program", "_pid", "_message", "_class"]
+    lines = computed_once(
+        classify(parse_lines(df, raw, default_year)), keep, {p: F.col(p) for p in parts}
+    )
     pid, of = F.col("_pid"), lambda name: F.col(f"_class.{name}")
     matched = F.col("_message").isNotNull()
     return shape_event(

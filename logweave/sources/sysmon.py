@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import fixed_values as fixed
-from logweave.functions.shape import kept_columns, shape_event
+from logweave.functions.shape import computed_once, kept_columns, shape_event
 from logweave.functions.text import (
     account_domain,
     account_name,
@@ -82,17 +82,16 @@ def normalize_sysmon(df: DataFrame, raw: str = "raw", path_style: str = "any") -
     Broken XML is ``dropped``, an event without System block ``failed``.
     """
     keep = kept_columns(df)
-    parsed = parse_events(df, raw)
-    wide = parsed.select(
-        *[F.col(f"`{c}`") for c in keep],
-        F.col("_xml.System").isNotNull().alias("_has_system"),
-        F.col(f"_xml.{_BROKEN}").isNotNull().alias("_is_broken"),
-        null_to_blank(F.col("_xml.System.EventID")).alias("_event_id"),
-        null_to_blank(F.col("_xml.System.TimeCreated._SystemTime")).alias("_time"),
-        null_to_blank(F.col("_xml.System.Computer")).alias("_computer"),
+    fields = {
+        "_has_system": F.col("_xml.System").isNotNull(),
+        "_is_broken": F.col(f"_xml.{_BROKEN}").isNotNull(),
+        "_event_id": null_to_blank(F.col("_xml.System.EventID")),
+        "_time": null_to_blank(F.col("_xml.System.TimeCreated._SystemTime")),
+        "_computer": null_to_blank(F.col("_xml.System.Computer")),
         # Numbered, since two names differ in case only.
-        *[event_data(n).alias(f"_d{i}") for i, n in enumerate(fixed.SYSMON_DATA_NAMES)],
-    )
+        **{f"_d{i}": event_data(name) for i, name in enumerate(fixed.SYSMON_DATA_NAMES)},
+    }
+    wide = computed_once(parse_events(df, raw), keep, fields)
     d = {name: F.col(f"_d{i}") for i, name in enumerate(fixed.SYSMON_DATA_NAMES)}
     coded = (
         wide.withColumn("_event_code", F.coalesce(whole_number(F.col("_event_id")), F.lit(0)))

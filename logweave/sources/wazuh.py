@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import fixed_values as fixed
-from logweave.functions.shape import kept_columns, shape_event
+from logweave.functions.shape import computed_once, kept_columns, shape_event
 from logweave.functions.text import (
     account_domain,
     account_name,
@@ -200,6 +200,8 @@ def normalize_wazuh(df: DataFrame, raw: str = "raw", path_style: str = "any") ->
         )
         .withColumn("_file_name", base_name(F.col("_file"), path_style))
     )
+    made = [c for c in staged.columns if c not in keep]
+    staged = computed_once(staged, keep, {c: F.col(c) for c in made})
     file_event, code, account = F.col("_file_event"), F.col("_event_code"), F.col("_account")
     watched = file_event != ""
     file_type = F.lit(fixed.FILE_INTEGRITY_DEFAULT)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import fixed_values as fixed
-from logweave.functions.shape import EVENT_ID, kept_columns, shape_event
+from logweave.functions.shape import EVENT_ID, computed_once, kept_columns, shape_event
 from logweave.functions.text import (
     account_domain,
     account_name,
@@ -146,14 +146,12 @@ def _canonical_from_arrays(df: DataFrame, keep: list[str], raw: str) -> DataFram
             ]
         )
         at = (F.size("_header") - place).cast("int")
-        return strip(null_to_blank(F.get("_cells", at))).alias("_c_" + name)
+        return strip(null_to_blank(F.get("_cells", at)))
 
-    return df.select(
-        *[F.col(f"`{c}`") for c in keep],
-        *[cell(name, spellings) for name, spellings in fixed.WINDOWS_COLUMNS],
-        (F.size("_cells") > F.size("_header")).alias("_too_long"),
-        F.col(raw).alias("_raw"),
-    )
+    fields = {"_c_" + name: cell(name, spellings) for name, spellings in fixed.WINDOWS_COLUMNS}
+    fields["_too_long"] = F.size("_cells") > F.size("_header")
+    fields["_raw"] = F.col(raw)
+    return computed_once(df, keep, fields)
 
 
 def normalize_wel(
