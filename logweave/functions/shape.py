@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
 from logweave.functions.fixed_values import ORIGINAL_LOG_MAX_CHARS, SCHEMA_VERSION
 from logweave.functions.ids import content_id
-from logweave.functions.text import empty_strings
 from logweave.schema import EVENT_COLUMNS, event_schema
 
 EVENT_ID = "event_uid"
@@ -46,27 +43,20 @@ def parsed_time(created: Column) -> Column:
     )
 
 
-def _typed(value: Column, kind: DataType) -> Column:
-    """Blank text becomes NULL."""
-    if kind.typeName() == "string":
-        return F.when(value != "", value)
-    return value
-
-
-def computed_once(df: DataFrame, keep: list[str], columns: dict[str, Column]) -> DataFrame:
-    """Add columns that are computed once per row, however they are used later.
+def computed_once(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
+    """Fix columns that are to be computed once per row, however they are used later.
 
     Spark moves a filter below the projections that make its columns and repeats
     their expressions there, over and over for layered ones.  It never moves a
     filter on the output of a generator, so parsed fields pass through one: a
     single struct per row, unfolded into columns.
     """
-    fields = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select(*[F.col(f"`{c}`") for c in keep], F.inline_outer(F.array(fields)))
+    kept = [f"`{c}`" for c in keep]
+    return df.selectExpr(*kept, f"inline_outer(array(struct({', '.join(columns)})))")
 
 
-def _struct(kind: StructType, prefix: str, leaves: dict[str, Column]) -> tuple[Column, list]:
-    """A struct by field path, NULL when none of its leaves has a value."""
+def _struct(kind: StructType, prefix: str, leaves: dict[str, str]) -> tuple[str, list[str]]:
+    """SQL of a struct by field path, NULL when none of its leaves has a value."""
     parts, below = [], []
     for field in kind.fields:
         path = prefix + field.name
@@ -77,12 +67,16 @@ def _struct(kind: StructType, prefix: str, leaves: dict[str, Column]) -> tuple[C
             part = leaves[path]
             below.append(part)
         else:
-            part = F.lit(None).cast(field.dataType)
-        parts.append(part.alias(field.name))
+            part = _null(field.dataType)
+        parts.append(f"'{field.name}', {part}")
     if not below:
-        return F.lit(None).cast(kind), []
-    present = reduce(lambda a, b: a | b, [leaf.isNotNull() for leaf in below])
-    return F.when(present, F.struct(*parts)), below
+        return _null(kind), []
+    present = " OR ".join(f"{leaf} IS NOT NULL" for leaf in below)
+    return f"CASE WHEN {present} THEN named_struct({', '.join(parts)}) END", below
+
+
+def _null(kind: DataType) -> str:
+    return f"CAST(NULL AS {kind.simpleString()})"
 
 
 def shape_event(
@@ -109,9 +103,11 @@ def shape_event(
     for path in [p for p in values if p.endswith((".md5", ".sha256"))]:
         values[path] = F.lower(values[path])
 
-    created = F.coalesce(F.when(values["event.created"] != "", values["event.created"]), now_text())
-    values["event.created"] = created
-    values["event.created_ts"] = parsed_time(created)
+    written = values["event.created"]
+    values["event.created"] = F.when(written != "", written).otherwise(now_text())
+    values["event.created_ts"] = F.when(written != "", parsed_time(written)).otherwise(
+        F.current_timestamp()
+    )
     values["event.id"] = F.col(EVENT_ID) if EVENT_ID in df.columns else content_id(source_type, raw)
     values["event.source_type"] = F.lit(source_type)
     values["log.source_type"] = F.lit(source_type)
@@ -129,28 +125,38 @@ def shape_event(
         raise ValueError(f"unknown event fields: {sorted(unknown)}")
 
     # Leaves are columns of their own first, so that the structs only refer to them.
-    names = {path: f"_leaf_{path}" for path in values}
-    leaf_rows = df.select(
-        *[F.col(f"`{c}`") for c in keep],
-        *[_typed(values[path], kinds[path]).alias(name) for path, name in names.items()],
+    leaves = {path: f"`_leaf_{path}`" for path in values}
+    kept = [f"`{c}`" for c in keep]
+    mapped = df.select(
+        *kept,
+        *[value.alias(f"_leaf_{path}") for path, value in values.items()],
         status.alias("_status"),
         error.alias("_error"),
     )
-    leaves = {path: F.col(f"`{name}`") for path, name in names.items()}
-    columns = [F.lit(SCHEMA_VERSION).alias("schema_version")]
+    filled = mapped.selectExpr(
+        *kept,
+        *[
+            f"nullif({leaf}, '') AS {leaf}" if kinds[path].typeName() == "string" else leaf
+            for path, leaf in leaves.items()
+        ],
+        "_status",
+        "_error",
+    )
+    columns = [f"'{SCHEMA_VERSION}' AS schema_version"]
     for name in EVENT_COLUMNS[1:-1]:
         kind = schema[name].dataType
         if name in ("event", "log"):
             # Always present, hence plain structs that Catalyst can see through.
             parts = [
-                leaves.get(f"{name}.{f.name}", F.lit(None).cast(f.dataType)).alias(f.name)
+                f"'{f.name}', {leaves.get(f'{name}.{f.name}', _null(f.dataType))}"
                 for f in kind.fields
             ]
-            columns.append(F.struct(*parts).alias(name))
+            columns.append(f"named_struct({', '.join(parts)}) AS {name}")
         else:
-            columns.append(_struct(kind, name + ".", leaves)[0].alias(name))
-    columns.append(F.coalesce(leaves.get("tags", empty_strings()), empty_strings()).alias("tags"))
-    return leaf_rows.select(*[F.col(f"`{c}`") for c in keep], *columns, "_status", "_error")
+            columns.append(f"{_struct(kind, name + '.', leaves)[0]} AS {name}")
+    no_tags = "CAST(array() AS array<string>)"
+    columns.append(f"coalesce({leaves.get('tags', no_tags)}, {no_tags}) AS tags")
+    return filled.selectExpr(*kept, *columns, "_status", "_error")
 
 
 def _leaf_types(kind: StructType, prefix: str = ""):

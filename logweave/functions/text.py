@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from logweave.functions.fixed_values import WHITE_SPACE
 
 
+def sql_text(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_strip(expression: str) -> str:
+    """:func:`strip` of a SQL expression."""
+    return f"btrim({expression}, {sql_text(WHITE_SPACE)})"
+
+
 def strip(value: Column) -> Column:
     """Trim every kind of white space; ``trim`` alone only knows the blank."""
     return F.btrim(value, F.lit(WHITE_SPACE))

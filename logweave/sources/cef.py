@@ -11,6 +11,8 @@ from logweave.functions.text import (
     contains_any,
     empty_strings,
     null_to_blank,
+    sql_strip,
+    sql_text,
     strip,
     whole_number,
 )
@@ -142,10 +144,10 @@ def map_fields(df: DataFrame) -> DataFrame:
     )
 
 
-def field(name: str) -> Column:
-    """Trimmed value of the last pair feeding a field, NULL without one."""
-    place = F.array_position("_fields", F.lit(name)).cast("int")
-    return F.when(place > 0, strip(F.get("_values", place - 1)))
+def field(name: str) -> str:
+    """SQL of the trimmed value of the last pair feeding a field, NULL without one."""
+    place = f"CAST(array_position(_fields, {sql_text(name)}) AS INT) - 1"
+    return sql_strip(f"get(_values, {place})")
 
 
 def normalize_cef(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -157,13 +159,13 @@ def normalize_cef(df: DataFrame, raw: str = "raw") -> DataFrame:
     keep = kept_columns(df)
     mapped = map_fields(parse_records(df, raw))
     is_cef = F.col("_header_ok")
-    wide = mapped.select(
-        *[F.col(f"`{c}`") for c in keep],
+    wide = mapped.selectExpr(
+        *[f"`{c}`" for c in keep],
         "_format",
         "_header_ok",
         "_object",
         *["_h_" + name for name in _HEADER_CELLS],
-        *[field(name).alias("_f_" + name) for name, _ in fixed.FIELD_ALIASES],
+        *[f"{field(name)} AS _f_{name}" for name, _ in fixed.FIELD_ALIASES],
     )
     f = {name: F.col("_f_" + name) for name, _ in fixed.FIELD_ALIASES}
     h = {name: null_to_blank(F.col("_h_" + name)) for name in _HEADER_CELLS}
@@ -178,7 +180,7 @@ def normalize_cef(df: DataFrame, raw: str = "raw") -> DataFrame:
         ),
     )
     made = [c for c in staged.columns if c not in keep]
-    staged = computed_once(staged, keep, {c: F.col(c) for c in made})
+    staged = computed_once(staged, keep, made)
     text = lambda key: F.lit(key)
     ok = is_cef | F.col("_object").isNotNull()
     return shape_event(

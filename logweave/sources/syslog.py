@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import fixed_values as fixed
 from logweave.functions.shape import computed_once, kept_columns, shape_event
-from logweave.functions.text import empty_strings, one_line_groups, string_array, strip
+from logweave.functions.text import one_line_groups, sql_text, strip
 
 _LINE = "(?Ud)^(?:" + "|".join(
     (fixed.JOURNALD_LINE, fixed.RFC5424_LINE, fixed.RFC3164_LINE)
@@ -16,16 +18,21 @@ _LINE = "(?Ud)^(?:" + "|".join(
 # takes the groups of whichever layout matched.
 _LINE_PARTS = "$1$6\n$11\n$12\n$13\n$2$7$14\n$3$8$15\n$4$9$16\n$5$10$17"
 
-# Program families in the order they are tried, with the groups of their patterns.
-_SSHD = [
-    (fixed.SSH_ACCEPTED, 4), (fixed.SSH_FAILED, 4), (fixed.SSH_INVALID, 2),
-    (fixed.SSH_DISCONNECTED, 3),
-]
-_SUDO = [(fixed.SUDO_COMMAND, 3)]
-_PAM = [(fixed.PAM_OPENED, 2), (fixed.PAM_FAILED, 1)]
-_SU = [(fixed.SU_DONE, 2), (fixed.SU_FAILED, 1)]
+# Patterns of each program family in the order tried, with their number of groups.
 _CRON = [(fixed.CRON_COMMAND, 2)]
 _SYSTEMD = [(fixed.SYSTEMD_UNIT, 2)]
+_PATTERNS = {
+    "sshd": [
+        (fixed.SSH_ACCEPTED, 4), (fixed.SSH_FAILED, 4), (fixed.SSH_INVALID, 2),
+        (fixed.SSH_DISCONNECTED, 3),
+    ],
+    "sudo": [(fixed.SUDO_COMMAND, 3)],
+    "pam": [(fixed.PAM_OPENED, 2), (fixed.PAM_FAILED, 1)],
+    "su": [(fixed.SU_DONE, 2), (fixed.SU_FAILED, 1)],
+    "cron": _CRON,
+    "cron+systemd": _CRON + _SYSTEMD,
+    "systemd": _SYSTEMD,
+}
 
 
 def parse_lines(df: DataFrame, raw: str = "raw", default_year: int | None = None) -> DataFrame:
@@ -64,134 +71,96 @@ def _families(program: Column, message: Column) -> Column:
     )
 
 
-def classify(df: DataFrame) -> DataFrame:
-    """Add ``_class``, the meaning of the message, to parsed lines."""
-    message, program = F.col("_message"), F.col("_program")
-    family = F.col("_family")
-    with_groups = df.withColumn("_family", _families(program, message)).withColumn(
-        "_g",
-        F.when(family == "sshd", one_line_groups(message, _SSHD))
-        .when(family == "sudo", one_line_groups(message, _SUDO))
-        .when(family == "pam", one_line_groups(message, _PAM))
-        .when(family == "su", one_line_groups(message, _SU))
-        .when(family == "cron", one_line_groups(message, _CRON))
-        .when(family == "systemd", one_line_groups(message, _SYSTEMD))
-        .when(family == "cron+systemd", one_line_groups(message, _CRON + _SYSTEMD)),
-    )
-
-    def group(i: int) -> Column:
-        return F.get("_g", F.lit(i))
-
-    def found(i: int) -> Column:
-        return group(i) != ""
-
-    def meaning(
-        category, kind, action, severity=0, outcome="unknown", user=None, ip=None, port=None,
-        command=None, tags=(),
-    ) -> Column:
-        text = F.lit(None).cast("string")
-        return F.struct(
-            F.lit(category).alias("category"),
-            (kind if isinstance(kind, Column) else F.lit(kind)).alias("kind"),
-            (action if isinstance(action, Column) else F.lit(action)).alias("action"),
-            (severity if isinstance(severity, Column) else F.lit(severity)).alias("severity"),
-            (outcome if isinstance(outcome, Column) else F.lit(outcome)).alias("outcome"),
-            (text if user is None else user).alias("user"),
-            (text if ip is None else ip).alias("ip"),
-            (text if port is None else port).alias("port"),
-            (text if command is None else command).alias("command"),
-            (string_array(tags) if tags else empty_strings()).alias("tags"),
-        )
+# What a message means, first hit wins.  ``{1}`` stands for capture group 1 of the
+# family's patterns, a condition ``1`` for "group 1 was found".
+# family | condition | category | type | action | severity | outcome | user | ip | port | command | tag
+_MEANINGS = [
+    [cell.strip() for cell in line.split("|")]
+    for line in """
+sshd         | 1  | authentication | start | SSH accepted ({1})    | 0  | success | {2}  | {3}  | {4}  |     | T1021.004
+sshd         | 5  | authentication | start | SSH failed ({5})      | 30 | failure | {6}  | {7}  | {8}  |     | T1110
+sshd         | 9  | authentication | start | SSH invalid user      | 35 | failure | {9}  | {10} |      |     | T1110
+sshd         | 11 | authentication | end   | SSH disconnected      | 0  | unknown | {11} | {12} | {13} |     |
+sshd         |    | network        | info  | sshd: {80}            | 0  | unknown |      |      |      |     |
+sudo         | 1  | process        | start | sudo: {1} ran as {2}  | 20 | success | {1}  |      |      | {3} | T1548.003
+sudo         |    | process        | info  | sudo: {80}            | 10 | unknown |      |      |      |     |
+pam          | 1  | authentication | start | PAM session opened ({1}) | 0 | success | {2} |     |      |     |
+pam          | 3  | authentication | start | PAM authentication failure | 30 | failure | {3} |  |      |     | T1078
+pam          |    | authentication | info  | PAM: {80}             | 0  | unknown |      |      |      |     |
+account      |    | iam            | {del} | {program}: {80}       | 25 | success | {account} |  |     |     | T1136
+su           | 1  | authentication | start | su to {1} by {2}      | 20 | success | {1}  |      |      |     | T1548
+su           | 3  | authentication | start | Failed su to {3}      | 35 | failure | {3}  |      |      |     | T1548
+cron         | 1  | process        | start | cron: {1}             | 0  | success | {1}  |      |      | {2} |
+cron+systemd | 1  | process        | start | cron: {1}             | 0  | success | {1}  |      |      | {2} |
+cron+systemd | 3  | process        | info  | systemd: {3} {4}      | {3}? | {3}? |      |      |      |     |
+systemd      | 1  | process        | info  | systemd: {1} {2}      | {1}? | {1}? |      |      |      |     |
+             |    | process        | info  | {program}: {100}      | 0  | unknown |      |      |      |     |
+""".strip("\n").splitlines()
+]
+_SLOTS = {
+    "{80}": "substring(_message, 1, 80)",
+    "{100}": "substring(_message, 1, 100)",
+    "{program}": "_program",
+    "{del}": "CASE WHEN contains(lower(_program), 'del') THEN 'deletion' ELSE 'creation' END",
+    "{account}": "_account",
+}
+
+
+def _slot(slot: str) -> str:
+    return _SLOTS.get(slot) or f"get(_g, {slot.strip('{}')})"
+
+
+def _template(text: str) -> str:
+    """SQL of a text with slots."""
+    pieces = [p for p in re.split(r"(\{\w+\})", text) if p]
+    sql = [_slot(p) if p.startswith("{") else sql_text(p) for p in pieces]
+    return sql[0] if len(sql) == 1 else f"concat({', '.join(sql)})" if sql else "NULL"
+
+
+def _meaning(cells: list[str]) -> str:
+    category, kind, action, severity, outcome, user, ip, port, command, tag = cells
+    if severity.endswith("?"):
+        failed = f"{_slot(severity[:-1])} = 'Failed'"
+        severity = f"CASE WHEN {failed} THEN 10 ELSE 0 END"
+        outcome = f"CASE WHEN {failed} THEN 'failure' ELSE 'success' END"
+    else:
+        outcome = sql_text(outcome)
+    tags = f"array({sql_text(tag)})" if tag else "CAST(array() AS array<string>)"
+    texts = [_template(x) for x in (category, kind, action)]
+    optional = [f"CAST({_template(x)} AS STRING)" for x in (user, ip, port, command)]
+    names = "category kind action user ip port command severity outcome tags".split()
+    values = [*texts, *optional, severity, outcome, tags]
+    return "named_struct(" + ", ".join(f"'{n}', {v}" for n, v in zip(names, values)) + ")"
+
+
+def _classification() -> str:
+    arms = []
+    for family, group, *cells in _MEANINGS[:-1]:
+        found = f" AND get(_g, {group}) <> ''" if group else ""
+        arms.append(f"WHEN _family = '{family}'{found} THEN {_meaning(cells)}")
+    return f"CASE {' '.join(arms)} ELSE {_meaning(_MEANINGS[-1][2:])} END"
 
-    def labelled(label: str, inner: Column, tail: str = "") -> Column:
-        return F.concat(F.lit(label), inner, F.lit(tail))
-
-    short = F.substring(message, 1, 80)
-    deleting = F.contains(F.lower(program), F.lit("del"))
-    added_user = F.regexp_extract(message, "(?U)" + fixed.USER_ADDED, 1)
-    deleted_user = F.regexp_extract(message, fixed.USER_DELETED, 1)
-
-    def unit(first: int) -> Column:
-        failed = group(first) == "Failed"
-        return meaning(
-            "process", "info",
-            F.concat(F.lit("systemd: "), group(first), F.lit(" "), group(first + 1)),
-            F.when(failed, 10).otherwise(0),
-            F.when(failed, "failure").otherwise("success"),
-        )
 
-    cron_job = meaning(
-        "process", "start", labelled("cron: ", group(1)), 0, "success", group(1),
-        command=group(2),
-    )
-    in_cron = family.isin("cron", "cron+systemd")
-    result = (
-        F.when(
-            (family == "sshd") & found(1),
-            meaning("authentication", "start", labelled("SSH accepted (", group(1), ")"),
-                    0, "success", group(2), group(3), group(4), tags=["T1021.004"]),
-        )
-        .when(
-            (family == "sshd") & found(5),
-            meaning("authentication", "start", labelled("SSH failed (", group(5), ")"),
-                    30, "failure", group(6), group(7), group(8), tags=["T1110"]),
-        )
-        .when(
-            (family == "sshd") & found(9),
-            meaning("authentication", "start", "SSH invalid user",
-                    35, "failure", group(9), group(10), tags=["T1110"]),
-        )
-        .when(
-            (family == "sshd") & found(11),
-            meaning("authentication", "end", "SSH disconnected",
-                    0, "unknown", group(11), group(12), group(13)),
-        )
-        .when(family == "sshd", meaning("network", "info", labelled("sshd: ", short)))
-        .when(
-            (family == "sudo") & found(1),
-            meaning("process", "start",
-                    F.concat(F.lit("sudo: "), group(1), F.lit(" ran as "), group(2)),
-                    20, "success", group(1), command=group(3), tags=["T1548.003"]),
-        )
-        .when(family == "sudo", meaning("process", "info", labelled("sudo: ", short), 10))
-        .when(
-            (family == "pam") & found(1),
-            meaning("authentication", "start", labelled("PAM session opened (", group(1), ")"),
-                    0, "success", group(2)),
-        )
-        .when(
-            (family == "pam") & found(3),
-            meaning("authentication", "start", "PAM authentication failure",
-                    30, "failure", group(3), tags=["T1078"]),
-        )
-        .when(family == "pam", meaning("authentication", "info", labelled("PAM: ", short)))
-        .when(
-            family == "account",
-            meaning("iam", F.when(deleting, "deletion").otherwise("creation"),
-                    F.concat(program, F.lit(": "), short), 25, "success",
-                    F.when(deleted_user != "", deleted_user).otherwise(added_user),
-                    tags=["T1136"]),
-        )
-        .when(
-            (family == "su") & found(1),
-            meaning("authentication", "start",
-                    F.concat(F.lit("su to "), group(1), F.lit(" by "), group(2)),
-                    20, "success", group(1), tags=["T1548"]),
-        )
-        .when(
-            (family == "su") & found(3),
-            meaning("authentication", "start", labelled("Failed su to ", group(3)),
-                    35, "failure", group(3), tags=["T1548"]),
+def classify(df: DataFrame) -> DataFrame:
+    """Add ``_class``, the meaning of the message, to parsed lines."""
+    message, program, family = F.col("_message"), F.col("_program"), F.col("_family")
+    deleted = F.regexp_extract(message, fixed.USER_DELETED, 1)
+    added = F.regexp_extract(message, "(?U)" + fixed.USER_ADDED, 1)
+    groups = None
+    for name, patterns in _PATTERNS.items():
+        found = one_line_groups(message, patterns)
+        groups = F.when(family == name, found) if groups is None else groups.when(
+            family == name, found
         )
-        .when(in_cron & found(1), cron_job)
-        .when((family == "systemd") & found(1), unit(1))
-        .when((family == "cron+systemd") & found(3), unit(3))
-        .otherwise(
-            meaning("process", "info",
-                    F.concat(program, F.lit(": "), F.substring(message, 1, 100)))
+    return (
+        df.withColumn("_family", _families(program, message))
+        .withColumn("_g", groups)
+        .withColumn(
+            "_account",
+            F.when(family == "account", F.when(deleted != "", deleted).otherwise(added)),
         )
+        .withColumn("_class", F.expr(_classification()))
     )
-    return with_groups.withColumn("_class", result)
 
 
 def normalize_syslog(
@@ -203,9 +172,7 @@ def normalize_syslog(
     """
     keep = kept_columns(df)
     parts = ["_time", "_host", "_program", "_pid", "_message", "_class"]
-    lines = computed_once(
-        classify(parse_lines(df, raw, default_year)), keep, {p: F.col(p) for p in parts}
-    )
+    lines = computed_once(classify(parse_lines(df, raw, default_year)), keep, parts)
     pid, of = F.col("_pid"), lambda name: F.col(f"_class.{name}")
     matched = F.col("_message").isNotNull()
     return shape_event(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import fixed_values as fixed
@@ -14,9 +14,9 @@ from logweave.functions.text import (
     empty_strings,
     extension,
     md5_of,
-    null_to_blank,
     sha256_of,
-    strip,
+    sql_strip,
+    sql_text,
     technique_tags,
     whole_number,
 )
@@ -70,10 +70,10 @@ def parse_events(df: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
-def event_data(name: str) -> Column:
-    """Trimmed value of the first ``<Data Name=…>``, blank without one."""
-    place = F.array_position("_names", F.lit(name)).cast("int")
-    return strip(null_to_blank(F.get("_data", place - 1)))
+def event_data(name: str) -> str:
+    """SQL of the trimmed value of the first ``<Data Name=…>``, blank without one."""
+    place = f"CAST(array_position(_names, {sql_text(name)}) AS INT) - 1"
+    return sql_strip(f"coalesce(get(_data, {place}), '')")
 
 
 def normalize_sysmon(df: DataFrame, raw: str = "raw", path_style: str = "any") -> DataFrame:
@@ -82,15 +82,15 @@ def normalize_sysmon(df: DataFrame, raw: str = "raw", path_style: str = "any") -
     Broken XML is ``dropped``, an event without System block ``failed``.
     """
     keep = kept_columns(df)
-    fields = {
-        "_has_system": F.col("_xml.System").isNotNull(),
-        "_is_broken": F.col(f"_xml.{_BROKEN}").isNotNull(),
-        "_event_id": null_to_blank(F.col("_xml.System.EventID")),
-        "_time": null_to_blank(F.col("_xml.System.TimeCreated._SystemTime")),
-        "_computer": null_to_blank(F.col("_xml.System.Computer")),
+    fields = [
+        "_xml.System IS NOT NULL AS _has_system",
+        f"_xml.{_BROKEN} IS NOT NULL AS _is_broken",
+        "coalesce(_xml.System.EventID, '') AS _event_id",
+        "coalesce(_xml.System.TimeCreated._SystemTime, '') AS _time",
+        "coalesce(_xml.System.Computer, '') AS _computer",
         # Numbered, since two names differ in case only.
-        **{f"_d{i}": event_data(name) for i, name in enumerate(fixed.SYSMON_DATA_NAMES)},
-    }
+        *[f"{event_data(name)} AS _d{i}" for i, name in enumerate(fixed.SYSMON_DATA_NAMES)],
+    ]
     wide = computed_once(parse_events(df, raw), keep, fields)
     d = {name: F.col(f"_d{i}") for i, name in enumerate(fixed.SYSMON_DATA_NAMES)}
     coded = (

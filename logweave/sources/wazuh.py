@@ -15,7 +15,7 @@ from logweave.functions.text import (
     base_name,
     empty_strings,
     extension,
-    null_to_blank,
+    sql_strip,
     string_array,
     strip,
     whole_number,
@@ -26,16 +26,10 @@ def _variant(doc: str, path: str) -> Column:
     return F.try_variant_get(F.col(doc), path, "variant")
 
 
-def _text(doc: str, path: str) -> Column:
-    return null_to_blank(F.try_variant_get(F.col(doc), path, "string"))
-
-
-def _first_text(*values: Column) -> Column:
-    return F.coalesce(*[F.when(v != "", v) for v in values], F.lit(""))
-
-
-def _is_object(value: Column) -> Column:
-    return F.startswith(F.schema_of_variant(value), F.lit("OBJECT"))
+def _text(*paths: str) -> str:
+    """SQL of the first text in the alert that is not blank."""
+    found = [f"nullif(try_variant_get(_alert, '$.{path}', 'string'), '')" for path in paths]
+    return f"coalesce({', '.join(found)}, '')"
 
 
 def level_severity(level: Column) -> Column:
@@ -96,6 +90,43 @@ def parse_alerts(df: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
+# Blocks that may be missing but must be objects when present.
+_MUST_BE_OBJECTS = {
+    "_source_kind": "try_variant_get(_doc, '$[0]._source', 'variant')",
+    "_rule_kind": "try_variant_get(_alert, '$.rule', 'variant')",
+    "_data_kind": "try_variant_get(_alert, '$.data', 'variant')",
+    "_win_kind": "try_variant_get(_alert, '$.data.win', 'variant')",
+}
+# Column and where in the alert its text is, in order of preference.
+_WINDOWS, _WINDOWS_DATA = "data.win.system", "data.win.eventdata"
+_TEXTS = {
+    "_time": ["timestamp", f"{_WINDOWS}.systemTime"],
+    "_agent": ["agent.name"],
+    "_agent_ip": ["agent.ip"],
+    "_location": ["location"],
+    "_rule_id": ["rule.id"],
+    "_description": ["rule.description"],
+    "_groups_text": ["rule.groups"],
+    "_mitre_text": ["rule.mitre.id"],
+    "_event_code": [f"{_WINDOWS}.eventID", f"{_WINDOWS}.eventId"],
+    "_computer": [f"{_WINDOWS}.computer"],
+    "_account": [
+        f"{_WINDOWS_DATA}.targetUserName", f"{_WINDOWS_DATA}.subjectUserName",
+        "data.audit.auid", "data.audit.uid",
+    ],
+    "_ip": [f"{_WINDOWS_DATA}.ipAddress"],
+    "_image": [f"{_WINDOWS_DATA}.newProcessName", f"{_WINDOWS_DATA}.processName"],
+    "_pid": [f"{_WINDOWS_DATA}.newProcessId", f"{_WINDOWS_DATA}.processId"],
+    "_command": [
+        f"{_WINDOWS_DATA}.commandLine", "data.audit.command", "data.audit.execve.a0",
+    ],
+    "_file": ["syscheck.path"],
+    "_file_event": ["syscheck.event"],
+    "_md5": ["syscheck.md5_before", "syscheck.md5_after"],
+    "_sha256": ["syscheck.sha256_before", "syscheck.sha256_after"],
+}
+
+
 def normalize_wazuh(df: DataFrame, raw: str = "raw", path_style: str = "any") -> DataFrame:
     """Events of Wazuh alerts given as one JSON text each.
 
@@ -104,79 +135,31 @@ def normalize_wazuh(df: DataFrame, raw: str = "raw", path_style: str = "any") ->
     """
     keep = kept_columns(df)
     alerts = parse_alerts(df, raw)
-    doc = "_alert"
-    data, win = "$.data", "$.data.win"
-    kinds = {
-        "_source_kind": _variant("_doc", "$[0]._source"),
-        "_rule_kind": _variant(doc, "$.rule"),
-        "_data_kind": _variant(doc, data),
-        "_win_kind": _variant(doc, win),
-    }
-    groups = F.try_variant_get(F.col(doc), "$.rule.groups", "array<string>")
-    mitre = F.try_variant_get(F.col(doc), "$.rule.mitre.id", "array<string>")
-    mitre_text = _text(doc, "$.rule.mitre.id")
-    wide = alerts.select(
-        *[F.col(f"`{c}`") for c in keep],
+    wide = alerts.selectExpr(
+        *[f"`{c}`" for c in keep],
         "_single",
         *[
-            (value.isNull() | _is_object(value)).alias(name)
-            for name, value in kinds.items()
+            f"{variant} IS NULL OR startswith(schema_of_variant({variant}), 'OBJECT') AS {name}"
+            for name, variant in _MUST_BE_OBJECTS.items()
         ],
-        F.coalesce(F.schema_of_variant(_variant(doc, "$.rule.groups")), F.lit("VOID")).alias(
-            "_groups_kind"
-        ),
-        F.coalesce(
-            F.schema_of_variant(_variant(doc, "$.syscheck.event")), F.lit("VOID")
-        ).alias("_event_kind"),
-        groups.alias("_group_texts"),
-        _text(doc, "$.rule.groups").alias("_groups_text"),
+        *[
+            f"coalesce(schema_of_variant(try_variant_get(_alert, '$.{path}', 'variant')), 'VOID')"
+            f" AS {name}"
+            for name, path in (("_groups_kind", "rule.groups"), ("_event_kind", "syscheck.event"))
+        ],
+        "try_variant_get(_alert, '$.rule.groups', 'array<string>') AS _group_texts",
+        "try_variant_get(_alert, '$.rule.mitre.id', 'array<string>') AS _mitre",
+        f"{sql_strip(_text('rule.level'))} AS _level_text",
+        *[f"{_text(*paths)} AS {name}" for name, paths in _TEXTS.items()],
+    )
+    wide = wide.withColumn(
+        "_techniques",
         F.coalesce(
-            F.filter(mitre, lambda t: t.isNotNull()),
-            F.when(mitre_text != "", F.array(mitre_text)),
+            F.filter("_mitre", lambda t: t.isNotNull()),
+            F.when(F.col("_mitre_text") != "", F.array("_mitre_text")),
             empty_strings(),
-        ).alias("_techniques"),
-        _first_text(_text(doc, "$.timestamp"), _text(doc, win + ".system.systemTime")).alias(
-            "_time"
         ),
-        _text(doc, "$.agent.name").alias("_agent"),
-        _text(doc, "$.agent.ip").alias("_agent_ip"),
-        _text(doc, "$.location").alias("_location"),
-        _text(doc, "$.rule.id").alias("_rule_id"),
-        _text(doc, "$.rule.description").alias("_description"),
-        F.coalesce(whole_number(_text(doc, "$.rule.level")), F.lit(0)).alias("_level"),
-        _first_text(
-            _text(doc, win + ".system.eventID"), _text(doc, win + ".system.eventId")
-        ).alias("_event_code"),
-        _text(doc, win + ".system.computer").alias("_computer"),
-        _first_text(
-            _text(doc, win + ".eventdata.targetUserName"),
-            _text(doc, win + ".eventdata.subjectUserName"),
-            _text(doc, data + ".audit.auid"),
-            _text(doc, data + ".audit.uid"),
-        ).alias("_account"),
-        _text(doc, win + ".eventdata.ipAddress").alias("_ip"),
-        _first_text(
-            _text(doc, win + ".eventdata.newProcessName"),
-            _text(doc, win + ".eventdata.processName"),
-        ).alias("_image"),
-        _first_text(
-            _text(doc, win + ".eventdata.newProcessId"),
-            _text(doc, win + ".eventdata.processId"),
-        ).alias("_pid"),
-        _first_text(
-            _text(doc, win + ".eventdata.commandLine"),
-            _text(doc, data + ".audit.command"),
-            _text(doc, data + ".audit.execve.a0"),
-        ).alias("_command"),
-        _text(doc, "$.syscheck.path").alias("_file"),
-        _text(doc, "$.syscheck.event").alias("_file_event"),
-        _first_text(
-            _text(doc, "$.syscheck.md5_before"), _text(doc, "$.syscheck.md5_after")
-        ).alias("_md5"),
-        _first_text(
-            _text(doc, "$.syscheck.sha256_before"), _text(doc, "$.syscheck.sha256_after")
-        ).alias("_sha256"),
-    )
+    ).withColumn("_level", F.coalesce(F.col("_level_text").try_cast("bigint"), F.lit(0)))
     # Groups: nothing and a plain text count as no groups, a list must be all text.
     kind = F.col("_groups_kind")
     is_list = F.startswith(kind, F.lit("ARRAY"))
@@ -201,7 +184,7 @@ def normalize_wazuh(df: DataFrame, raw: str = "raw", path_style: str = "any") ->
         .withColumn("_file_name", base_name(F.col("_file"), path_style))
     )
     made = [c for c in staged.columns if c not in keep]
-    staged = computed_once(staged, keep, {c: F.col(c) for c in made})
+    staged = computed_once(staged, keep, made)
     file_event, code, account = F.col("_file_event"), F.col("_event_code"), F.col("_account")
     watched = file_event != ""
     file_type = F.lit(fixed.FILE_INTEGRITY_DEFAULT)
@@ -211,16 +194,10 @@ def normalize_wazuh(df: DataFrame, raw: str = "raw", path_style: str = "any") ->
 
     blocks_ok = F.col("_rule_kind") & F.col("_data_kind") & F.col("_win_kind")
     failed = ~F.col("_source_kind") | ~blocks_ok | ~F.col("_groups_ok") | ~event_ok
-    # A text that is not one JSON value for the VARIANT parser may still be an
-    # object that repeats a key; it is a record, so it counts as failed.
-    repeated = (
-        F.size(
-            F.from_json(
-                F.concat(F.lit("["), strip(F.col(raw)), F.lit("]")), "array<map<string,string>>"
-            )
-        )
-        == 1
-    )
+    # A text the VARIANT parser refuses may still be an object that repeats a key;
+    # a reader taking the last of them sees a record, so it counts as failed.
+    boxed = F.concat(F.lit("["), strip(F.col(raw)), F.lit("]"))
+    repeated = F.size(F.from_json(boxed, "array<string>")) == 1
     is_object_text = F.startswith(strip(F.col(raw)), F.lit("{"))
     # Elements of a JSON array that are no objects reach this job as JSON text.
     return shape_event(
@@ -238,7 +215,9 @@ def normalize_wazuh(df: DataFrame, raw: str = "raw", path_style: str = "any") ->
             "event.outcome": F.coalesce(F.try_element_at(outcomes, code), F.lit("unknown")),
             "event.severity": level_severity(F.col("_level")),
             "event.original_event_id": F.col("_rule_id"),
-            "host.name": _first_text(F.col("_agent"), F.col("_computer")),
+            "host.name": F.when(F.col("_agent") != "", F.col("_agent")).otherwise(
+                F.col("_computer")
+            ),
             "host.ip": F.when(F.col("_agent_ip") != "", F.array("_agent_ip")),
             "host.os.type": F.when(code != "", "windows"),
             "process.pid": whole_number(F.col("_pid")),

@@ -12,7 +12,8 @@ from logweave.functions.text import (
     account_name,
     base_name,
     empty_strings,
-    null_to_blank,
+    sql_strip,
+    sql_text,
     strip,
     whole_number,
 )
@@ -118,40 +119,36 @@ def _canonical_from_columns(df: DataFrame, keep: list[str]) -> DataFrame:
     csv_columns = [c for c in df.columns if c not in keep]
     source = resolve_columns([c for c in csv_columns if c != EXTRA_CELL])
 
-    def cell(name: str) -> Column:
+    def cell(name: str) -> str:
         column = source[name]
-        text = F.lit("") if column is None else F.col(f"`{column}`").cast("string")
-        return strip(null_to_blank(text)).alias("_c_" + name)
+        text = "''" if column is None else f"coalesce(CAST(`{column}` AS STRING), '')"
+        return f"{sql_strip(text)} AS _c_{name}"
 
-    too_long = F.col(EXTRA_CELL).isNotNull() if EXTRA_CELL in csv_columns else F.lit(False)
-    raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in csv_columns]))
-    return df.select(
-        *[F.col(f"`{c}`") for c in keep],
+    too_long = f"{EXTRA_CELL} IS NOT NULL" if EXTRA_CELL in csv_columns else "FALSE"
+    record = ", ".join(f"`{c}`" for c in csv_columns)
+    return df.selectExpr(
+        *[f"`{c}`" for c in keep],
         *[cell(name) for name, _ in fixed.WINDOWS_COLUMNS],
-        too_long.alias("_too_long"),
-        raw.alias("_raw"),
+        f"{too_long} AS _too_long",
+        f"to_json(struct({record})) AS _raw",
     )
 
 
 def _canonical_from_arrays(df: DataFrame, keep: list[str], raw: str) -> DataFrame:
     """Canonical columns of rows that bring their own header array."""
-    backwards = F.reverse("_header")
-
-    def cell(name: str, spellings: list[str]) -> Column:
-        # A header used twice keeps its last column.
-        place = F.coalesce(
-            *[
-                F.nullif(F.array_position(backwards, F.lit(s)), F.lit(0).cast("bigint"))
-                for s in [*spellings, name]
-            ]
-        )
-        at = (F.size("_header") - place).cast("int")
-        return strip(null_to_blank(F.get("_cells", at)))
 
-    fields = {"_c_" + name: cell(name, spellings) for name, spellings in fixed.WINDOWS_COLUMNS}
-    fields["_too_long"] = F.size("_cells") > F.size("_header")
-    fields["_raw"] = F.col(raw)
-    return computed_once(df, keep, fields)
+    def cell(name: str, spellings: list[str]) -> str:
+        # A header used twice keeps its last column, so the search runs backwards.
+        places = [
+            f"nullif(array_position(_backwards, {sql_text(s)}), 0)" for s in [*spellings, name]
+        ]
+        at = f"CAST(size(_header) - coalesce({', '.join(places)}) AS INT)"
+        return sql_strip(f"coalesce(get(_cells, {at}), '')") + f" AS _c_{name}"
+
+    fields = [cell(name, spellings) for name, spellings in fixed.WINDOWS_COLUMNS]
+    fields.append("size(_cells) > size(_header) AS _too_long")
+    fields.append(f"`{raw}` AS _raw")
+    return computed_once(df.withColumn("_backwards", F.reverse("_header")), keep, fields)
 
 
 def normalize_wel(
