@@ -845,7 +845,7 @@ def fallback_load(spark, sf_dir):
 def export_csv(spark, sf_dir):
     path = store.scratch_path(spark, "csv")
     store.write_csv(_syslog_load(spark, sf_dir), path)
-    back = spark.read.csv(path, header=True, escape='"', emptyValue="", nullValue="\u0000")
+    back = spark.read.csv(path, header=True, escape='"').na.fill("")
     return back.withColumn("severity", F.col("severity").cast("bigint"))
 
 

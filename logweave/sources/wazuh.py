@@ -197,7 +197,7 @@ def normalize_wazuh(df: DataFrame, raw: str = "raw", path_style: str = "any") ->
     # A text the VARIANT parser refuses may still be an object that repeats a key;
     # a reader taking the last of them sees a record, so it counts as failed.
     boxed = F.concat(F.lit("["), strip(F.col(raw)), F.lit("]"))
-    repeated = F.size(F.from_json(boxed, "array<string>")) == 1
+    repeated = F.coalesce(F.size(F.from_json(boxed, "array<string>")) == 1, F.lit(False))
     is_object_text = F.startswith(strip(F.col(raw)), F.lit("{"))
     # Elements of a JSON array that are no objects reach this job as JSON text.
     return shape_event(
