@@ -52,7 +52,9 @@ def computed_once(df: DataFrame, keep: list[str], columns: list[str]) -> DataFra
     single struct per row, unfolded into columns.
     """
     kept = [f"`{c}`" for c in keep]
-    return df.selectExpr(*kept, f"inline_outer(array(struct({', '.join(columns)})))")
+    # The struct is made in a projection, which is compiled; a generator interprets.
+    made = df.selectExpr(*kept, f"array(struct({', '.join(columns)})) AS _computed")
+    return made.selectExpr(*kept, "inline_outer(_computed)")
 
 
 def _struct(kind: StructType, prefix: str, leaves: dict[str, str]) -> tuple[str, list[str]]:

@@ -34,8 +34,12 @@ def null_to_blank(value: Column) -> Column:
 
 
 def whole_number(value: Column) -> Column:
-    """Whole-number text as BIGINT, NULL for anything else (also too many digits)."""
-    return strip(value).try_cast("bigint")
+    """Whole-number text as BIGINT, NULL for anything else (also too many digits).
+
+    Blank text is common and never reaches the cast, which would raise and catch.
+    """
+    digits = strip(value)
+    return F.when(digits != "", digits.try_cast("bigint"))
 
 
 def base_name(path: Column, path_style: str = "any") -> Column:

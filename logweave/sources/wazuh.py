@@ -15,23 +15,12 @@ from logweave.functions.text import (
     base_name,
     empty_strings,
     extension,
-    sql_strip,
     string_array,
     strip,
     whole_number,
 )
 
 
-def _variant(doc: str, path: str) -> Column:
-    return F.try_variant_get(F.col(doc), path, "variant")
-
-
-def _text(*paths: str) -> str:
-    """SQL of the first text in the alert that is not blank."""
-    found = [f"nullif(try_variant_get(_alert, '$.{path}', 'string'), '')" for path in paths]
-    return f"coalesce({', '.join(found)}, '')"
-
-
 def level_severity(level: Column) -> Column:
     """Severity of a rule level: a table up to its top level, five times if negative."""
     table = F.create_map(
@@ -73,58 +62,82 @@ def alert_category(groups: Column, event_code: Column, description: Column) -> C
 
 
 def parse_alerts(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Parse each text into the VARIANT ``_alert``, unwrapping ``_source``.
+    """Parse each text into ``_doc``, a VARIANT array holding the one alert.
 
     The text is parsed inside brackets: that way anything after the object makes
-    it unreadable instead of being ignored.
+    it unreadable instead of being ignored.  A ``_source`` wrapper is taken off.
     """
-    line = strip(F.col(raw))
-    boxed = F.concat(F.lit("["), line, F.lit("]"))
-    doc = df.withColumn(
-        "_doc", F.when(F.startswith(line, F.lit("{")), F.try_parse_json(boxed))
+    lines = df.withColumn("_line", strip(F.col(raw))).withColumn(
+        "_outer",
+        F.expr("CASE WHEN startswith(_line, '{') THEN try_parse_json(concat('[', _line, ']')) END"),
     )
-    single = F.col("_doc").isNotNull() & _variant("_doc", "$[1]").isNull()
-    return doc.withColumn("_single", single).withColumn(
-        "_alert",
-        F.when(single, F.coalesce(_variant("_doc", "$[0]._source"), _variant("_doc", "$[0]"))),
+    return lines.selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        "_line",
+        "_outer",
+        "_outer IS NOT NULL AND try_variant_get(_outer, '$[1]', 'variant') IS NULL AS _single",
+        # Only texts that mention the wrapper are looked into for it.
+        "CASE WHEN contains(_line, '\"_source\"') "
+        "THEN to_json(try_variant_get(_outer, '$[0]._source', 'variant')) END AS _inner",
+    ).selectExpr(
+        *[f"`{c}`" for c in df.columns],
+        "_line",
+        "_single",
+        "_inner IS NULL OR startswith(_inner, '{') AS _is_object",
+        "CASE WHEN _single THEN CASE WHEN _inner IS NULL THEN _outer "
+        "ELSE try_parse_json(concat('[', _inner, ']')) END END AS _doc",
     )
 
 
-# Blocks that may be missing but must be objects when present.
-_MUST_BE_OBJECTS = {
-    "_source_kind": "try_variant_get(_doc, '$[0]._source', 'variant')",
-    "_rule_kind": "try_variant_get(_alert, '$.rule', 'variant')",
-    "_data_kind": "try_variant_get(_alert, '$.data', 'variant')",
-    "_win_kind": "try_variant_get(_alert, '$.data.win', 'variant')",
+# The blocks of an alert that are read.  Each becomes a map once; looking up its
+# fields is then cheap, where every path into the VARIANT starts at its root.
+_BLOCKS = {
+    "_rule": "rule",
+    "_agent": "agent",
+    "_system": "data.win.system",
+    "_windows": "data.win.eventdata",
+    "_audit": "data.audit",
+    "_syscheck": "syscheck",
 }
-# Column and where in the alert its text is, in order of preference.
-_WINDOWS, _WINDOWS_DATA = "data.win.system", "data.win.eventdata"
+# Column and where its text is, in order of preference.
 _TEXTS = {
-    "_time": ["timestamp", f"{_WINDOWS}.systemTime"],
-    "_agent": ["agent.name"],
-    "_agent_ip": ["agent.ip"],
-    "_location": ["location"],
-    "_rule_id": ["rule.id"],
-    "_description": ["rule.description"],
-    "_groups_text": ["rule.groups"],
-    "_mitre_text": ["rule.mitre.id"],
-    "_event_code": [f"{_WINDOWS}.eventID", f"{_WINDOWS}.eventId"],
-    "_computer": [f"{_WINDOWS}.computer"],
+    "_agent_name": ["_agent.name"],
+    "_agent_ip": ["_agent.ip"],
+    "_rule_id": ["_rule.id"],
+    "_description": ["_rule.description"],
+    "_level_text": ["_rule.level"],
+    "_groups_text": ["_rule.groups"],
+    "_time": ["_timestamp", "_system.systemTime"],
+    "_event_code": ["_system.eventID", "_system.eventId"],
+    "_computer": ["_system.computer"],
     "_account": [
-        f"{_WINDOWS_DATA}.targetUserName", f"{_WINDOWS_DATA}.subjectUserName",
-        "data.audit.auid", "data.audit.uid",
-    ],
-    "_ip": [f"{_WINDOWS_DATA}.ipAddress"],
-    "_image": [f"{_WINDOWS_DATA}.newProcessName", f"{_WINDOWS_DATA}.processName"],
-    "_pid": [f"{_WINDOWS_DATA}.newProcessId", f"{_WINDOWS_DATA}.processId"],
-    "_command": [
-        f"{_WINDOWS_DATA}.commandLine", "data.audit.command", "data.audit.execve.a0",
+        "_windows.targetUserName", "_windows.subjectUserName", "_audit.auid", "_audit.uid",
     ],
-    "_file": ["syscheck.path"],
-    "_file_event": ["syscheck.event"],
-    "_md5": ["syscheck.md5_before", "syscheck.md5_after"],
-    "_sha256": ["syscheck.sha256_before", "syscheck.sha256_after"],
+    "_ip": ["_windows.ipAddress"],
+    "_image": ["_windows.newProcessName", "_windows.processName"],
+    "_pid": ["_windows.newProcessId", "_windows.processId"],
+    "_command": ["_windows.commandLine", "_audit.command", "_execve"],
+    "_file": ["_syscheck.path"],
+    "_file_event": ["_syscheck.event"],
+    "_md5": ["_syscheck.md5_before", "_syscheck.md5_after"],
+    "_sha256": ["_syscheck.sha256_before", "_syscheck.sha256_after"],
 }
+# JSON text of a list that holds texts only.
+_TEXT_LIST = r'^\[(?:"(?:[^"\\]++|\\.)*+"(?:,(?=")|(?=\])))*+\]$'
+
+
+def _text(*places: str) -> str:
+    """SQL of the first of several texts that is not blank."""
+    found = []
+    for place in places:
+        block, _, name = place.partition(".")
+        found.append(f"nullif({block}['{name}'], '')" if name else f"nullif({block}, '')")
+    return f"coalesce({', '.join(found)}, '')"
+
+
+def _object_or_missing(path: str) -> str:
+    value = f"try_variant_get(_doc, '$[0].{path}', 'variant')"
+    return f"({value} IS NULL OR startswith(schema_of_variant({value}), 'OBJECT'))"
 
 
 def normalize_wazuh(df: DataFrame, raw: str = "raw", path_style: str = "any") -> DataFrame:
@@ -134,49 +147,68 @@ def normalize_wazuh(df: DataFrame, raw: str = "raw", path_style: str = "any") ->
     whose rule, data or groups have the wrong kind, is ``failed``.
     """
     keep = kept_columns(df)
-    alerts = parse_alerts(df, raw)
-    wide = alerts.selectExpr(
-        *[f"`{c}`" for c in keep],
+    kept = [f"`{c}`" for c in keep]
+    blocks = parse_alerts(df, raw).selectExpr(
+        *kept,
+        "_line",
         "_single",
+        "_is_object",
+        "_doc",
         *[
-            f"{variant} IS NULL OR startswith(schema_of_variant({variant}), 'OBJECT') AS {name}"
-            for name, variant in _MUST_BE_OBJECTS.items()
+            f"try_variant_get(_doc, '$[0].{path}', 'map<string,string>') AS {name}"
+            for name, path in _BLOCKS.items()
         ],
-        *[
-            f"coalesce(schema_of_variant(try_variant_get(_alert, '$.{path}', 'variant')), 'VOID')"
-            f" AS {name}"
-            for name, path in (("_groups_kind", "rule.groups"), ("_event_kind", "syscheck.event"))
-        ],
-        "try_variant_get(_alert, '$.rule.groups', 'array<string>') AS _group_texts",
-        "try_variant_get(_alert, '$.rule.mitre.id', 'array<string>') AS _mitre",
-        f"{sql_strip(_text('rule.level'))} AS _level_text",
-        *[f"{_text(*paths)} AS {name}" for name, paths in _TEXTS.items()],
+        "try_variant_get(_doc, '$[0].timestamp', 'string') AS _timestamp",
+        "try_variant_get(_doc, '$[0].location', 'string') AS _location",
+    )
+    # A block that gave a map is an object; only the others need a closer look.
+    wide = blocks.selectExpr(
+        *kept,
+        "_line",
+        "_single",
+        "_is_object",
+        f"_rule IS NOT NULL OR {_object_or_missing('rule')} AS _rule_ok",
+        "_windows IS NOT NULL OR _system IS NOT NULL OR _audit IS NOT NULL OR "
+        f"{_object_or_missing('data')} AS _data_ok",
+        "_windows IS NOT NULL OR _system IS NOT NULL OR "
+        f"{_object_or_missing('data.win')} AS _win_ok",
+        "coalesce(_location, '') AS _location",
+        "_syscheck['event'] IS NULL OR schema_of_variant("
+        "try_variant_get(_doc, '$[0].syscheck.event', 'variant')) = 'STRING' AS _event_ok",
+        "CASE WHEN _rule['mitre'] IS NOT NULL THEN "
+        "try_variant_get(_doc, '$[0].rule.mitre.id', 'array<string>') END AS _mitre",
+        "CASE WHEN _rule['mitre'] IS NOT NULL THEN "
+        "try_variant_get(_doc, '$[0].rule.mitre.id', 'string') END AS _mitre_text",
+        "CASE WHEN startswith(_rule['groups'], '[') THEN "
+        "try_variant_get(_doc, '$[0].rule.groups', 'array<string>') END AS _group_texts",
+        "CASE WHEN _audit['execve'] IS NOT NULL THEN "
+        "try_variant_get(_doc, '$[0].data.audit.execve.a0', 'string') END AS _execve",
+        *_BLOCKS,
+        "_timestamp",
+    ).selectExpr(
+        *kept,
+        "_line", "_single", "_is_object", "_rule_ok", "_data_ok", "_win_ok", "_event_ok",
+        "_location", "_mitre", "_mitre_text", "_group_texts",
+        *[f"{_text(*places)} AS {name}" for name, places in _TEXTS.items()],
     )
     wide = wide.withColumn(
         "_techniques",
         F.coalesce(
             F.filter("_mitre", lambda t: t.isNotNull()),
-            F.when(F.col("_mitre_text") != "", F.array("_mitre_text")),
+            F.when(F.col("_mitre_text") != "", F.array(F.col("_mitre_text"))),
             empty_strings(),
         ),
-    ).withColumn("_level", F.coalesce(F.col("_level_text").try_cast("bigint"), F.lit(0)))
-    # Groups: nothing and a plain text count as no groups, a list must be all text.
-    kind = F.col("_groups_kind")
-    is_list = F.startswith(kind, F.lit("ARRAY"))
-    nothing = F.col("_groups_text").isin("0", "false")
-    groups_ok = (
-        F.when(
-            is_list,
-            (F.size("_group_texts") == 0)
-            | ((kind == "ARRAY<STRING>") & ~F.exists("_group_texts", lambda g: g.isNull())),
-        )
-        .otherwise((kind.isin("VOID", "STRING")) | F.startswith(kind, F.lit("OBJECT")) | nothing)
-    )
-    event_ok = F.col("_event_kind").isin("VOID", "STRING")
+    ).withColumn("_level", F.coalesce(whole_number(F.col("_level_text")), F.lit(0)))
+    # Groups: nothing, a plain text and an object count as no groups; a list must be
+    # all text; any other value that is not zero makes the record fail.
+    listed = F.col("_group_texts").isNotNull()
+    groups_ok = F.when(
+        listed, F.col("_groups_text").rlike(_TEXT_LIST)
+    ).otherwise(~F.col("_groups_text").rlike(r"^(?:true|-?(?!0$)[0-9][0-9.eE+-]*)$"))
     staged = (
         wide.withColumn("_groups_ok", groups_ok)
         .withColumn(
-            "_groups", F.when(is_list, F.col("_group_texts")).otherwise(empty_strings())
+            "_groups", F.when(listed, F.col("_group_texts")).otherwise(empty_strings())
         )
         .withColumn(
             "_class", alert_category(F.col("_groups"), F.col("_event_code"), F.col("_description"))
@@ -192,13 +224,17 @@ def normalize_wazuh(df: DataFrame, raw: str = "raw", path_style: str = "any") ->
         file_type = F.when(F.lower(file_event) == word, kind_name).otherwise(file_type)
     outcomes = F.create_map(*[F.lit(cell) for row in fixed.WAZUH_OUTCOMES for cell in row])
 
-    blocks_ok = F.col("_rule_kind") & F.col("_data_kind") & F.col("_win_kind")
-    failed = ~F.col("_source_kind") | ~blocks_ok | ~F.col("_groups_ok") | ~event_ok
+    sound = reduce(
+        lambda a, b: a & b,
+        [F.col(c) for c in
+         ("_is_object", "_rule_ok", "_data_ok", "_win_ok", "_groups_ok", "_event_ok")],
+    )
+    failed = ~sound
     # A text the VARIANT parser refuses may still be an object that repeats a key;
     # a reader taking the last of them sees a record, so it counts as failed.
-    boxed = F.concat(F.lit("["), strip(F.col(raw)), F.lit("]"))
+    boxed = F.concat(F.lit("["), F.col("_line"), F.lit("]"))
     repeated = F.coalesce(F.size(F.from_json(boxed, "array<string>")) == 1, F.lit(False))
-    is_object_text = F.startswith(strip(F.col(raw)), F.lit("{"))
+    is_object_text = F.startswith(F.col("_line"), F.lit("{"))
     # Elements of a JSON array that are no objects reach this job as JSON text.
     return shape_event(
         staged,
@@ -215,7 +251,7 @@ def normalize_wazuh(df: DataFrame, raw: str = "raw", path_style: str = "any") ->
             "event.outcome": F.coalesce(F.try_element_at(outcomes, code), F.lit("unknown")),
             "event.severity": level_severity(F.col("_level")),
             "event.original_event_id": F.col("_rule_id"),
-            "host.name": F.when(F.col("_agent") != "", F.col("_agent")).otherwise(
+            "host.name": F.when(F.col("_agent_name") != "", F.col("_agent_name")).otherwise(
                 F.col("_computer")
             ),
             "host.ip": F.when(F.col("_agent_ip") != "", F.array("_agent_ip")),
@@ -237,7 +273,7 @@ def normalize_wazuh(df: DataFrame, raw: str = "raw", path_style: str = "any") ->
                 F.lit("rule_id"), F.col("_rule_id"),
                 F.lit("rule_level"), F.col("_level").cast("string"),
                 F.lit("description"), F.col("_description"),
-                F.lit("agent"), F.col("_agent"),
+                F.lit("agent"), F.col("_agent_name"),
                 F.lit("location"), F.col("_location"),
             ),
             "tags": tag_union(F.col("_techniques"), F.col("_groups")),
