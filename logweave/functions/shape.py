@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
@@ -43,6 +43,22 @@ def parsed_time(created: Column) -> Column:
     )
 
 
+_METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+
+
+def keep_methods_compilable(spark: SparkSession) -> None:
+    """Let Spark split generated code that the JVM would only interpret.
+
+    HotSpot never compiles a method over 8000 bytes of byte code.  A wide projection
+    fused into one stage easily exceeds that and then runs many times slower; over
+    this limit Spark runs its operators one by one, with their code split into
+    small methods.  A limit set by the user stays.
+    """
+    default = "65535"
+    if spark.conf.get(_METHOD_LIMIT, default) == default:
+        spark.conf.set(_METHOD_LIMIT, "8000")
+
+
 def computed_once(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:
     """Fix columns that are to be computed once per row, however they are used later.
 
@@ -96,6 +112,7 @@ def shape_event(
     ``df``.  ``keep`` columns are carried along.  ``raw`` feeds the content id
     that stands in when ``df`` has no ``event_uid`` column.
     """
+    keep_methods_compilable(df.sparkSession)
     schema = event_schema()
     values = dict(values)
     if "host.name" in values:

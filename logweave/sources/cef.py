@@ -11,7 +11,6 @@ from logweave.functions.text import (
     contains_any,
     empty_strings,
     null_to_blank,
-    sql_strip,
     sql_text,
     strip,
     whole_number,
@@ -50,19 +49,19 @@ def extension_pairs(extensions: Column) -> Column:
 
 def unique_pairs(pairs: Column) -> Column:
     """Pairs as a dictionary keeps them: place of the first, value of the last."""
-    keys = F.transform(pairs, lambda p: p["key"])
+    keys = pairs["key"]
     last = lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)
-    return F.when(
-        F.size(F.array_distinct(keys)) == F.size(keys), pairs
-    ).otherwise(F.transform(F.array_distinct(keys), last))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs).otherwise(
+        F.transform(F.array_distinct(keys), last)
+    )
 
 
-def field_of_key(key: Column) -> Column:
-    """Event field a key feeds, NULL for a key without meaning."""
-    table = F.create_map(
-        *[F.lit(x) for field, keys in fixed.FIELD_ALIASES for key_ in keys for x in (key_, field)]
+def object_pairs(fields: Column) -> Column:
+    """``ARRAY<STRUCT<key, value>>`` of a JSON object, values trimmed."""
+    return F.transform(
+        F.map_entries(fields),
+        lambda p: F.struct(p["key"].alias("key"), strip(p["value"]).alias("value")),
     )
-    return F.try_element_at(table, F.translate(F.lower(key), "- ", "__"))
 
 
 def outcome_of(word: Column) -> Column:
@@ -127,27 +126,33 @@ def parse_records(df: DataFrame, raw: str = "raw") -> DataFrame:
     ).withColumn(
         "_pairs",
         F.when(F.col("_header_ok"), extension_pairs(F.col("_h_extensions"))).otherwise(
-            F.map_entries("_object")
+            object_pairs(F.col("_object"))
         ),
     )
-    return pairs.withColumn("_pairs", unique_pairs(F.col("_pairs")))
+    unique = unique_pairs(F.col("_pairs"))
+    # Only JSON knows fields without a value; they feed nothing.
+    filled = F.filter(unique, lambda p: p["value"].isNotNull())
+    return pairs.withColumn("_pairs", F.when(F.col("_header_ok"), unique).otherwise(filled))
 
 
 def map_fields(df: DataFrame) -> DataFrame:
-    """Add ``_fields`` and ``_values``: event fields of ``_pairs``, last pair first."""
-    mapped = F.reverse(F.filter("_pairs", lambda p: p["value"].isNotNull()))
+    """Replace ``_pairs`` by ``_keys`` and ``_values``, last pair first."""
+    backwards = df.withColumn("_pairs", F.reverse("_pairs"))
     return (
-        df.withColumn("_mapped", mapped)
-        .withColumn("_fields", F.transform("_mapped", lambda p: field_of_key(p["key"])))
-        .withColumn("_values", F.col("_mapped.value"))
-        .drop("_mapped", "_pairs")
+        backwards.withColumn(
+            "_keys",
+            F.transform(F.col("_pairs.key"), lambda k: F.translate(F.lower(k), "- ", "__")),
+        )
+        .withColumn("_values", F.col("_pairs.value"))
+        .drop("_pairs")
     )
 
 
-def field(name: str) -> str:
-    """SQL of the trimmed value of the last pair feeding a field, NULL without one."""
-    place = f"CAST(array_position(_fields, {sql_text(name)}) AS INT) - 1"
-    return sql_strip(f"get(_values, {place})")
+def field(keys: list[str]) -> str:
+    """SQL of the value of the last pair with one of the keys, NULL without one."""
+    places = [f"nullif(array_position(_keys, {sql_text(key)}), 0)" for key in keys]
+    first = places[0] if len(places) == 1 else f"least({', '.join(places)})"
+    return f"get(_values, CAST({first} AS INT) - 1)"
 
 
 def normalize_cef(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -165,7 +170,7 @@ def normalize_cef(df: DataFrame, raw: str = "raw") -> DataFrame:
         "_header_ok",
         "_object",
         *["_h_" + name for name in _HEADER_CELLS],
-        *[f"{field(name)} AS _f_{name}" for name, _ in fixed.FIELD_ALIASES],
+        *[f"{field(keys)} AS _f_{name}" for name, keys in fixed.FIELD_ALIASES],
     )
     f = {name: F.col("_f_" + name) for name, _ in fixed.FIELD_ALIASES}
     h = {name: null_to_blank(F.col("_h_" + name)) for name in _HEADER_CELLS}
