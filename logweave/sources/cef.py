@@ -11,6 +11,7 @@ from logweave.functions.text import (
     contains_any,
     empty_strings,
     null_to_blank,
+    sql_strip,
     sql_text,
     strip,
     whole_number,
@@ -26,42 +27,42 @@ def header_severity(severity: Column) -> Column:
     return F.least(number, F.lit(10)) * 10
 
 
-def extension_pairs(extensions: Column) -> Column:
-    r"""``ARRAY<STRUCT<key, value>>`` of CEF extension text, in order, with repeats.
+# A key is a whole word before ``=``; white space around key and sign is no value.
+_KEY = r"(?U)(?<!\w)(\w+)="
+_KEY_AND_SPACE = r"(?U)[\s\x1c-\x1f]*(?<!\w)\w+=[\s\x1c-\x1f]*"
 
-    A key is a whole word before ``=``; its value runs to the next key.  Keys are
-    put on lines of their own first, which a one-line text allows.
-    """
-    lines = F.split(
-        F.regexp_replace(
-            F.concat(F.lit(" "), extensions), F.lit(r"(?U)(?<!\w)(\w+)="), F.lit("\n$1=")
-        ),
-        "\n",
-    )
-    return F.transform(
-        F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))),
-        lambda line: F.struct(
-            F.substring_index(line, "=", 1).alias("key"),
-            strip(F.substring(line, F.instr(line, "=") + 1, F.length(line))).alias("value"),
-        ),
-    )
 
+def extension_keys(extensions: Column) -> Column:
+    """The keys of CEF extension text, in order, with repeats."""
+    return F.regexp_extract_all(extensions, F.lit(_KEY), F.lit(1))
 
-def unique_pairs(pairs: Column) -> Column:
-    """Pairs as a dictionary keeps them: place of the first, value of the last."""
-    keys = pairs["key"]
-    last = lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1)
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs).otherwise(
-        F.transform(F.array_distinct(keys), last)
-    )
 
+def extension_values(extensions: Column) -> Column:
+    """The trimmed values of CEF extension text; each runs to the next key."""
+    # What stands before the first key belongs to none.
+    pieces = F.split(strip(extensions), _KEY_AND_SPACE)
+    return F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
 
-def object_pairs(fields: Column) -> Column:
-    """``ARRAY<STRUCT<key, value>>`` of a JSON object, values trimmed."""
-    return F.transform(
-        F.map_entries(fields),
-        lambda p: F.struct(p["key"].alias("key"), strip(p["value"]).alias("value")),
-    )
+
+def extension_pairs(extensions: Column) -> Column:
+    """``ARRAY<STRUCT<key, value>>`` of CEF extension text."""
+    keys = extension_keys(extensions).alias("key")
+    return F.arrays_zip(keys, extension_values(extensions).alias("value"))
+
+
+def _as_dictionary(df: DataFrame) -> DataFrame:
+    """Keep the place of a repeated key's first pair and the value of its last."""
+    keys, values = F.col("_keys"), F.col("_values")
+    single = F.size(F.array_distinct(keys)) == F.size(keys)
+
+    def last_value(key: Column) -> Column:
+        back = F.array_position(F.reverse(keys), key).cast("int")
+        return F.get(values, F.size(keys) - back)
+
+    return df.withColumn(
+        "_values",
+        F.when(single, values).otherwise(F.transform(F.array_distinct(keys), last_value)),
+    ).withColumn("_keys", F.when(single, keys).otherwise(F.array_distinct(keys)))
 
 
 def outcome_of(word: Column) -> Column:
@@ -94,7 +95,7 @@ def keyword_category(text: Column, has_address: Column) -> Column:
 
 
 def parse_records(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add ``_format`` (cef, json or NULL), the CEF header cells and ``_pairs``."""
+    """Add ``_format`` (cef, json or NULL), the CEF header cells, ``_keys, _values``."""
     line = strip(F.col(raw))
     formatted = df.withColumn("_line", line).withColumn(
         "_format",
@@ -114,7 +115,7 @@ def parse_records(df: DataFrame, raw: str = "raw") -> DataFrame:
     cells = split.withColumn("_header_ok", F.coalesce(header_ok, F.lit(False))).withColumn(
         "_object", F.when(F.size("_objects") == 1, F.get("_objects", F.lit(0)))
     )
-    pairs = cells.select(
+    with_header = cells.select(
         *[F.col(f"`{c}`") for c in df.columns],
         "_format",
         "_header_ok",
@@ -123,36 +124,41 @@ def parse_records(df: DataFrame, raw: str = "raw") -> DataFrame:
             F.when(F.col("_header_ok"), F.get("_cells", F.lit(i + 1))).alias("_h_" + name)
             for i, name in enumerate(_HEADER_CELLS)
         ],
-    ).withColumn(
-        "_pairs",
-        F.when(F.col("_header_ok"), extension_pairs(F.col("_h_extensions"))).otherwise(
-            object_pairs(F.col("_object"))
-        ),
     )
-    unique = unique_pairs(F.col("_pairs"))
-    # Only JSON knows fields without a value; they feed nothing.
-    filled = F.filter(unique, lambda p: p["value"].isNotNull())
-    return pairs.withColumn("_pairs", F.when(F.col("_header_ok"), unique).otherwise(filled))
+    from_header, extensions = F.col("_header_ok"), F.col("_h_extensions")
+    return _as_dictionary(
+        with_header.withColumn(
+            "_keys",
+            F.when(from_header, extension_keys(extensions)).otherwise(F.map_keys("_object")),
+        ).withColumn(
+            "_values",
+            F.when(from_header, extension_values(extensions)).otherwise(F.map_values("_object")),
+        )
+    )
 
 
 def map_fields(df: DataFrame) -> DataFrame:
-    """Replace ``_pairs`` by ``_keys`` and ``_values``, last pair first."""
-    backwards = df.withColumn("_pairs", F.reverse("_pairs"))
-    return (
-        backwards.withColumn(
-            "_keys",
-            F.transform(F.col("_pairs.key"), lambda k: F.translate(F.lower(k), "- ", "__")),
-        )
-        .withColumn("_values", F.col("_pairs.value"))
-        .drop("_pairs")
+    """Normalize ``_keys`` and turn both arrays round, so the last pair comes first."""
+    # Only JSON knows fields without a value; those feed nothing.
+    missing = F.exists("_values", lambda v: v.isNull())
+    has_value = lambda _, i: F.get("_values", i).isNotNull()
+    filled = df.withColumn(
+        "_keys", F.when(missing, F.filter("_keys", has_value)).otherwise(F.col("_keys"))
+    ).withColumn(
+        "_values", F.when(missing, F.array_compact("_values")).otherwise(F.col("_values"))
+    )
+    spelled = F.transform("_keys", lambda k: F.translate(F.lower(k), "- ", "__"))
+    return filled.withColumn("_keys", F.reverse(spelled)).withColumn(
+        "_values", F.reverse("_values")
     )
 
 
 def field(keys: list[str]) -> str:
-    """SQL of the value of the last pair with one of the keys, NULL without one."""
+    """SQL of the trimmed value of the last pair with one of the keys, or NULL."""
     places = [f"nullif(array_position(_keys, {sql_text(key)}), 0)" for key in keys]
     first = places[0] if len(places) == 1 else f"least({', '.join(places)})"
-    return f"get(_values, CAST({first} AS INT) - 1)"
+    value = f"get(_values, CAST({first} AS INT) - 1)"
+    return f"CASE WHEN _header_ok THEN {value} ELSE {sql_strip(value)} END"
 
 
 def normalize_cef(df: DataFrame, raw: str = "raw") -> DataFrame:
