@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import logweave
+
 #: A word: what stands between these characters (space, tab to carriage return).
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -33,6 +39,39 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def place(path: str) -> tuple[fs.FileSystem, str]:
+    """A store that this process reaches, by the path's scheme, and the path in it."""
+    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    root = Path(logweave.__file__).parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    folder = shared_folder(spark, "package")
+    where, name = place(folder)
+    where.create_dir(name, recursive=True)
+    with where.open_output_stream(f"{name}/logweave.zip") as out:
+        out.write(packed.getvalue())
+    context.addPyFile(f"{folder}/logweave.zip")
+    _SHIPPED.add(context.applicationId)
+
+
+def arrow_map(frame: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with this package on the workers."""
+    ship(frame.sparkSession)
+    return frame.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
