@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.llm import chat, exact_dedup, language, mixing, quality, secret_scan, token_store
+from logweave.llm import (
+    chat,
+    exact_dedup,
+    language,
+    mixing,
+    quality,
+    secret_scan,
+    substring_dedup,
+    token_store,
+)
 from logweave.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +44,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).drop("intervals")
+
+
 @query
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts look like the template's own marks."""
