@@ -30,6 +30,10 @@ STATE_STORE = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    # Hundreds of stores may share an executor's disk: none reserves space ahead, and each is closed after its commit.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 #: Stands for a null id, so that it loses against every other one.
 NO_ID = (1 << 63) - 1
