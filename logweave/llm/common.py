@@ -39,6 +39,33 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+#: Spark's own bounded Bloom filter (8 MB at most) of a join's small side, tested where the large side is read;
+#: by default Spark asks for 10 GB of the large side before it takes the trouble.
+PRUNE = {
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1MB",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
+}
+
+
+def written_matches(rows: DataFrame, wanted: DataFrame, on: list[str], name: str) -> DataFrame:
+    """The join of rows with long texts and a written table of wanted keys, computed once.
+
+    Rows whose first key a Bloom filter rules out are not shuffled; what it lets through by mistake, the join drops.
+    """
+    spark = rows.sparkSession
+    before = {key: spark.conf.get(key, None) for key in PRUNE}
+    for key, value in PRUNE.items():
+        spark.conf.set(key, value)
+    try:
+        # The comparison tells the optimiser that the wanted side is selective.
+        picked = wanted.filter(F.col(on[0]) >= F.lit(-(1 << 63)))
+        return written(rows.join(picked.hint("merge"), on), name)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def place(path: str) -> tuple[fs.FileSystem, str]:
     """A store that this process reaches, by the path's scheme, and the path in it."""
     return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)

@@ -12,6 +12,7 @@ from logweave.llm import (
     exact_dedup,
     language,
     mixing,
+    near_dedup,
     quality,
     secret_scan,
     substring_dedup,
@@ -71,6 +72,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents")).drop("tag")
+
+
 @query
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents")).select(
