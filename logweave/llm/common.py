@@ -45,6 +45,9 @@ PRUNE = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1MB",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1GB",
+    # Tables of wanted keys grow with the documents: one way to join for every size.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
 }
 
 
@@ -60,7 +63,7 @@ def written_matches(rows: DataFrame, wanted: DataFrame, on: list[str], name: str
     try:
         # The comparison tells the optimiser that the wanted side is selective.
         picked = wanted.filter(F.col(on[0]) >= F.lit(-(1 << 63)))
-        return written(rows.join(picked.hint("merge"), on), name)
+        return written(rows.join(picked, on), name)
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)

@@ -212,10 +212,13 @@ def substring_dedup(documents: DataFrame, width: int = WIDTH, piece: int = PIECE
         common.as_binary(F.col("text")).alias("words"),
     )
     found = common.written(find_runs(rows, width, piece), "passage-documents")
-    per_document = shared_runs(found).groupBy("doc_id", "tag").agg(
-        F.collect_list(F.struct("key", "start", "n", "whole")).alias("spans")
+    per_document = common.written(
+        shared_runs(found).groupBy("doc_id", "tag").agg(
+            F.collect_list(F.struct("key", "start", "n", "whole")).alias("spans")
+        ),
+        "passage-spans",
     )
-    involved = common.written(rows.join(per_document, ["doc_id", "tag"]), "passage-involved")
+    involved = common.written_matches(rows, per_document, ["doc_id", "tag"], "passage-involved")
     windows = common.written(open_windows(involved, width), "passage-windows")
     first = windows.groupBy("key", "window").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     repeated = (
