@@ -124,13 +124,13 @@ def decisions(
     texts = documents.select(
         _id(F.col("doc_id")).alias("doc_id"), text.alias("content"), digest(text).alias("digest")
     )
-    of_hits = common.written(
-        texts.join(hits.select("doc_id").distinct(), "doc_id", "left_semi"), "dedup-texts"
-    )
+    wanted = common.written(hits.select("doc_id").distinct(), "dedup-hits")
+    of_hits = common.written_matches(texts, wanted, ["doc_id"], "dedup-texts")
     # Where an id stands on several texts of one digest, the smallest text is the kept one.
-    keepers = (
+    keepers = common.written(
         of_hits.join(hits.filter("doc_id = keep_id").distinct(), ["doc_id", "digest"])
-        .groupBy("digest").agg(F.min("content").alias("keep_content"))
+        .groupBy("digest").agg(F.min("content").alias("keep_content")),
+        "dedup-kept",
     )
     unlike = common.written(
         of_hits.join(keepers, "digest").filter("content <> keep_content")

@@ -6,7 +6,7 @@ rows, are matched.  Only built-in functions are used.
 
 * Spans are code points, end exclusive; matches are leftmost and don't overlap within a kind; a match that is
   shorter than its rule demands is dropped after matching.
-* Null texts count as empty.  Repeated rows are scanned alike, a null or repeated id shares the candidates of all its rows.
+* Null texts count as empty.  Repeated rows are scanned alike; rows are told apart by id and a hash of the text, so ids may repeat or be null.
 * An empty table gives an empty result; extra columns are ignored.
 """
 
@@ -31,6 +31,9 @@ class Rule:
     least: int = 1  # characters of the group; shorter matches are dropped
 
 
+#: Stands for a null id in joins.
+NO_ID = (1 << 63) - 1
+
 #: The base kinds, in their order.
 BASE = [
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -51,8 +54,8 @@ RULES = BASE + MORE
 
 
 def postings(documents: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(trigram, folds, doc_id): which of the trigrams that the rules need stand in which row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """doc_id, tag, trigram: which of the trigrams that the rules need stand in which row."""
+    text = F.col("text")
     wanted = {False: set(), True: set()}
     for rule in rules:
         for conjunction in trigrams.query(rule.pattern, rule.folds) or []:
@@ -62,14 +65,14 @@ def postings(documents: DataFrame, rules: list[Rule]) -> DataFrame:
         for folds, needed in wanted.items() for t in sorted(needed)
     ]
     return (
-        documents.select("doc_id", text.alias("plain"), F.lower(text).alias("folded"))
-        .select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("trigram"))
+        documents.select("doc_id", "tag", text.alias("plain"), F.lower(text).alias("folded"))
+        .select("doc_id", "tag", F.explode(F.array_compact(F.array(*found))).alias("trigram"))
     )
 
 
 def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
-    """doc_id and the kinds whose Boolean query its postings meet."""
-    has = index.groupBy("doc_id").agg(F.collect_set("trigram").alias("has"))
+    """doc_id, tag and the kinds whose Boolean query its postings meet."""
+    has = index.groupBy("doc_id", "tag").agg(F.collect_set("trigram").alias("has"))
     holds = []
     for rule in rules:
         query = trigrams.query(rule.pattern, rule.folds)
@@ -82,7 +85,7 @@ def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
             met = met | (F.size(F.array_intersect("has", F.array(*map(F.lit, terms)))) == len(terms))
         holds.append(F.when(met, F.lit(rule.kind)))
     kinds = F.array_compact(F.array(*holds))
-    return has.select("doc_id", kinds.alias("kinds")).filter(F.size("kinds") > 0)
+    return has.select("doc_id", "tag", kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
 def _spans(rule: Rule, order: int, text: Column) -> Column:
@@ -116,20 +119,37 @@ def _spans(rule: Rule, order: int, text: Column) -> Column:
 
 
 def scan(documents: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """doc_id and ``found``: array<struct<start, kind, end>>, sorted; ``kind`` numbers the rules."""
-    index = common.written(postings(documents, rules), "secret-postings")
-    picked = candidates(index, rules).withColumnRenamed("doc_id", "picked_id")
-    rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.join(picked, F.col("doc_id").eqNullSafe(F.col("picked_id")), "left")
+    """doc_id and ``found``: array<struct<start, kind, end>>, sorted; ``kind`` numbers the rules.
+
+    Rules without a trigram query run where the texts are read.  For the others only the texts of candidate
+    rows move; their spans, a few numbers a row, are joined to the rest.
+    """
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    each = []
-    for order, rule in enumerate(rules):
-        may = (
-            F.array_contains("kinds", rule.kind) if trigrams.query(rule.pattern, rule.folds) is not None
-            else F.col("text").rlike(rule.pattern)
-        )
-        each.append(F.when(may, _spans(rule, order, F.col("text"))).otherwise(none))
-    return rows.select("doc_id", F.array_sort(F.concat(*each)).alias("found"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = documents.select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("tag"), text.alias("text")
+    )
+    open_rules = {k for k, r in enumerate(rules) if trigrams.query(r.pattern, r.folds) is None}
+    index = common.written(postings(rows, rules), "secret-postings")
+    picked = common.written(candidates(index, rules), "secret-candidates")
+    verified = [
+        F.when(F.array_contains("kinds", rule.kind), _spans(rule, k, F.col("text"))).otherwise(none)
+        for k, rule in enumerate(rules) if k not in open_rules
+    ]
+    hits = (
+        common.written_matches(rows, picked, ["doc_id", "tag"], "secret-texts")
+        .select("doc_id", "tag", F.concat(*verified).alias("picked_found"))
+        .filter(F.size("picked_found") > 0).dropDuplicates(["doc_id", "tag"])
+    )
+    scanned = [
+        F.when(F.col("text").rlike(rules[k].pattern), _spans(rules[k], k, F.col("text"))).otherwise(none)
+        for k in sorted(open_rules)
+    ]
+    everywhere = rows.select("doc_id", "tag", F.concat(none, *scanned).alias("open_found"))
+    return everywhere.join(hits, ["doc_id", "tag"], "left").select(
+        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
+        F.array_sort(F.concat("open_found", F.coalesce("picked_found", none))).alias("found"),
+    )
 
 
 def joined(found: Column, rules: list[Rule] = RULES) -> Column:
