@@ -6,6 +6,7 @@ import io
 import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -136,9 +137,8 @@ def word_hashes(texts: Sequence[bytes], ids: WordIds) -> tuple[np.ndarray, np.nd
     lists = [t.split() for t in texts]
     ends = np.zeros(len(lists) + 1, np.int64)
     np.cumsum([len(w) for w in lists], out=ends[1:])
-    flat = np.fromiter(
-        (h for words in lists for h in map(ids.__getitem__, words)), np.uint64, int(ends[-1])
-    )
+    words = chain.from_iterable(lists)
+    flat = np.fromiter(map(ids.__getitem__, words), np.uint64, int(ends[-1]))
     return flat, ends
 
 

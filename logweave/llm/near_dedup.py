@@ -16,6 +16,7 @@ link between components is lost, no bucket is capped, and pairs within a compone
   sequence is the one shingle; without words (or with a null text) the set is empty and linked with nothing.
 * A null id counts as larger than all others.  Rows that share an id and a text are one node.  Rows that share an id but not the text are
   nodes of their own.
+* Of a group the smallest id is kept (with repeated ids, also the smallest hash of the text).
 * An empty table gives an empty result; extra columns are ignored.
 """
 
@@ -337,11 +338,32 @@ def near_dedup(documents: DataFrame, percent: int = 85) -> DataFrame:
     named = found.select("doc_id", "tag", "n", node).join(roots, "node", "left").select(
         "doc_id", "tag", "n", F.coalesce("root", "node").alias("root")
     )
-    lowest = named.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component"))
+    lowest = named.filter("n > 0").groupBy("root").agg(F.min(F.struct("doc_id", "tag")).alias("lowest"))
     joined = named.join(lowest, "root", "left")
-    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    shown = lambda c: F.when(c != NO_ID, c)
+    alone = F.col("n") == 0
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("lowest.doc_id"))
     return joined.select(
-        shown(F.col("doc_id")).alias("doc_id"), "tag", F.col("n").alias("n_shingles"),
-        shown(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"),
+        _shown(F.col("doc_id")).alias("doc_id"), "tag", F.col("n").alias("n_shingles"),
+        _shown(component).alias("component_id"),
+        (alone | (F.struct("doc_id", "tag") == F.col("lowest"))).alias("kept"),
     )
+
+
+def _shown(doc_id):
+    return F.when(doc_id != NO_ID, doc_id)
+
+
+def keep_first(documents: DataFrame, percent: int = 85) -> DataFrame:
+    """The documents with one row of each group, and all without words; with their own columns."""
+    judged = common.written(near_dedup(documents, percent), "near-judged")
+    dropped = judged.filter(~F.col("kept")).select(
+        F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag")
+    ).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_tag"))
+    left = documents.join(dropped.hint("merge"), same, "left_anti")
+    again = judged.filter("kept and n_shingles > 0").groupBy("doc_id", "tag").count().filter("count > 1")
+    if again.isEmpty():
+        return left
+    # Rows that repeat both id and text are one document.
+    words = F.coalesce(F.col("text"), F.lit("")).rlike(common.WORD)
+    return left.filter(words).dropDuplicates(["doc_id", "text"]).unionByName(left.filter(~words))

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -61,7 +62,7 @@ def features(texts: list[bytes], known: Words) -> tuple[np.ndarray, np.ndarray,
         known.clear()
     lists = [t.split() for t in texts]
     counts = np.array([len(w) for w in lists], np.int64)
-    packed = np.fromiter((h for w in lists for h in map(known.__getitem__, w)), np.int64, int(counts.sum()))
+    packed = np.fromiter(map(known.__getitem__, chain.from_iterable(lists)), np.int64, int(counts.sum()))
     owner = np.repeat(np.arange(len(lists)), counts)
     same = np.zeros(len(packed), bool)
     same[1:] = (packed[1:] == packed[:-1]) & (owner[1:] == owner[:-1])
