@@ -119,14 +119,11 @@ def mix_counts(
 
 
 def mixed(documents: DataFrame, weights=cyclic_weights, max_epochs: float = 3.0, seed: int = 7) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with its own columns.
-
-    Counts are joined to the texts by id, so texts are not sorted with the running totals; rows
-    that share an id are told apart by the order of their texts.
-    """
-    counted = mix_counts(documents, weights, max_epochs, seed)
+    """The mix itself: each document as often as it is taken, with its own columns."""
+    rows = documents.select("doc_id", "text", "source", F.struct(*documents.columns).alias("mix_row"))
     return (
-        counted.filter(F.col("repeats") > 0)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
-        .select(*documents.columns)
+        mix_counts(rows, weights, max_epochs, seed)
+        .filter(F.col("repeats") > 0)
+        .select("mix_row", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
+        .select("mix_row.*")
     )

@@ -356,10 +356,11 @@ def _shown(doc_id):
 def keep_first(documents: DataFrame, percent: int = 85) -> DataFrame:
     """The documents with one row of each group, and all without words; with their own columns."""
     judged = common.written(near_dedup(documents, percent), "near-judged")
+    gone_id, gone_tag = (common.fresh(n, documents.columns) for n in ("gone_id", "gone_tag"))
     dropped = judged.filter(~F.col("kept")).select(
-        F.col("doc_id").alias("gone_id"), F.col("tag").alias("gone_tag")
+        F.col("doc_id").alias(gone_id), F.col("tag").alias(gone_tag)
     ).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_tag"))
+    same = F.col("doc_id").eqNullSafe(F.col(gone_id)) & (F.xxhash64("text") == F.col(gone_tag))
     left = documents.join(dropped.hint("merge"), same, "left_anti")
     again = judged.filter("kept and n_shingles > 0").groupBy("doc_id", "tag").count().filter("count > 1")
     if again.isEmpty():

@@ -148,21 +148,23 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = 8_000) -> np.nd
     return train(rows).astype(np.float32)
 
 
-def score(documents: DataFrame, weights: np.ndarray, keep: list[str], batch_bytes: int = 2 << 20) -> DataFrame:
-    """``score`` of every row beside the columns ``keep``."""
+def score(documents: DataFrame, weights: np.ndarray, keep: list[str], name: str = "score",
+          batch_bytes: int = 2 << 20) -> DataFrame:
+    """The score of every row, in a column ``name``, beside the columns ``keep``."""
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(weights)
-    rows = documents.select(*keep, common.as_binary(F.col("text")).alias("_words"))
-    schema = rows.drop("_words").withColumn("score", F.lit(0.0)).schema
+    words = common.fresh("words", [*keep, name])
+    rows = documents.select(*keep, common.as_binary(F.col("text")).alias(words))
+    schema = documents.select(*keep, F.lit(0.0).alias(name)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, known = shared.value, Words()
-        for batch in common.slices(batches, batch_bytes, "_words"):
-            owner, feature, value = features(batch.column("_words").to_pylist(), known)
+        for batch in common.slices(batches, batch_bytes, words):
+            owner, feature, value = features(batch.column(words).to_pylist(), known)
             total = np.bincount(owner, value * w[feature], batch.num_rows) + w[BIAS]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(sigmoid(total), pa.float64())],
-                names=[*keep, "score"],
+                names=[*keep, name],
             )
 
     return rows.transform(common.arrow_map, run, schema)
@@ -179,5 +181,6 @@ def classify(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with their own columns."""
-    scored = score(documents, learn(documents, labels), documents.columns)
-    return scored.filter(F.col("score") >= 0.5).select(*documents.columns)
+    name = common.fresh("score", documents.columns)
+    scored = score(documents, learn(documents, labels), documents.columns, name)
+    return scored.filter(F.col(name) >= 0.5).select(*documents.columns)
