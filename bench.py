@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from logweave import configure  # noqa: E402
 from logweave.functions import ids  # noqa: E402
 from logweave.operators import dispatch, flat, search, store  # noqa: E402
 from logweave.plans import rawlogs  # noqa: E402
@@ -43,6 +43,8 @@ def session() -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        # The folder that the cluster shares; on one machine, one of its own.
+        .config("spark.checkpoint.dir", os.environ.get("BENCH_SHARED_DIR", "/tmp/logweave-bench"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -102,7 +104,7 @@ def queries(spark: SparkSession, root: str) -> dict:
         ),
         "search_count": lambda: search.page_count(search.find_events(stored(), search="root")),
         "events_page": lambda: search.events_page(stored(), page=3),
-        "events_deep_page": lambda: search.events_page(stored(), page=5000, shallow_rows=1000),
+        "events_deep_page": lambda: search.events_page(stored(), page=5000),
         "export_rows": lambda: flat.export_rows(stored()),
         "export_json": lambda: store.export_json(stored()),
     }
@@ -114,7 +116,8 @@ def run(frame: DataFrame) -> None:
 
 def main() -> None:
     spark = session()
-    root = tempfile.mkdtemp(prefix="logweave-bench-")
+    configure(spark)
+    root = store.scratch_path(spark, "bench")
     prepare(spark, root)
     seconds = {}
     for name, build in queries(spark, root).items():

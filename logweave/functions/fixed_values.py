@@ -294,12 +294,8 @@ SYSMON_DATA_NAMES = _words(
     """
 )
 
-# Limits.
-ORIGINAL_LOG_MAX_CHARS = 4096
-MAX_FILE_MB = 50
-EXPORT_TOP_ROWS = 10_000
+# Rows of a page when none are asked for.
 DEFAULT_PAGE_ROWS = 50
-MAX_PAGE_ROWS = 200
 
 # Severity bands, lowest severity of each | name
 SEVERITY_BANDS = [

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from logweave.functions.fixed_values import ORIGINAL_LOG_MAX_CHARS, SCHEMA_VERSION
+from logweave.functions.fixed_values import SCHEMA_VERSION
 from logweave.functions.ids import content_id
 from logweave.schema import EVENT_COLUMNS, event_schema
 
@@ -22,21 +22,28 @@ def now_text() -> Column:
     return F.date_format(utc, _NOW_FORMAT)
 
 
-def parsed_time(created: Column) -> Column:
+def parsed_time(created: Column, time_zone: str = "UTC") -> Column:
     """Best-effort TIMESTAMP of a source time; NULL when it cannot be read.
 
-    The cheap shape tests keep unreadable text away from the formatters, which
+    Times without a zone are those of ``time_zone``, whatever the session's zone.  The cheap shape tests keep unreadable text away from the formatters, which
     would raise and catch an exception per row.
     """
+    def local(read: Column) -> Column:
+        # Spark reads in the session's zone: back to the clock's time, then out of the given zone.
+        clock = F.from_utc_timestamp(read, F.current_timezone())
+        return clock if time_zone == "UTC" else F.to_utc_timestamp(clock, time_zone)
+
+    zoned = created.rlike(r":\d{2}.*(Z|[+-]\d{2}:?\d{2})$")
     return (
-        F.when(created.like("____-__-__%"), created.try_cast("timestamp"))
+        F.when(created.like("____-__-__%") & zoned, created.try_cast("timestamp"))
+        .when(created.like("____-__-__%"), local(created.try_cast("timestamp")))
         .when(
             created.rlike(r"^\d{4} [A-Z][a-z]{2} \d{2} \d{2}:\d{2}:\d{2}$"),
-            F.try_to_timestamp(created, F.lit("yyyy MMM dd HH:mm:ss")),
+            local(F.try_to_timestamp(created, F.lit("yyyy MMM dd HH:mm:ss"))),
         )
         .when(
             created.rlike(r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AP]M$"),
-            F.try_to_timestamp(created, F.lit("M/d/yyyy h:mm:ss a")),
+            local(F.try_to_timestamp(created, F.lit("M/d/yyyy h:mm:ss a"))),
         )
         .when(created.rlike(r"^\d{10}$"), F.timestamp_seconds(created.try_cast("bigint")))
         .when(created.rlike(r"^\d{13}$"), F.timestamp_millis(created.try_cast("bigint")))
@@ -46,7 +53,7 @@ def parsed_time(created: Column) -> Column:
 _METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 
 
-def keep_methods_compilable(spark: SparkSession) -> None:
+def configure(spark: SparkSession) -> None:
     """Let Spark split generated code that the JVM would only interpret.
 
     HotSpot never compiles a method over 8000 bytes of byte code.  A wide projection
@@ -112,7 +119,6 @@ def shape_event(
     ``df``.  ``keep`` columns are carried along.  ``raw`` feeds the content id
     that stands in when ``df`` has no ``event_uid`` column.
     """
-    keep_methods_compilable(df.sparkSession)
     schema = event_schema()
     values = dict(values)
     if "host.name" in values:
@@ -204,9 +210,9 @@ def truncated_map(original_log: Column, max_chars: int) -> Column:
 
 
 def truncate_original_log(
-    events: DataFrame, max_chars: int = ORIGINAL_LOG_MAX_CHARS
+    events: DataFrame, max_chars: int = 0
 ) -> DataFrame:
-    """Cap the values of log.original_log; 0 switches the cap off."""
+    """Cut the values of log.original_log to so many characters; 0 keeps them whole."""
     if max_chars <= 0:
         return events
     return events.withColumn(

@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.functions import ids
-from logweave.functions.fixed_values import ORIGINAL_LOG_MAX_CHARS
 from logweave.functions.shape import (
     EVENT_ID,
     drop_original_log,
@@ -60,7 +59,7 @@ def source_kind(name: str) -> SourceKind:
     kind = _SOURCES.get(name.lower())
     if kind is None:
         raise ValueError(
-            f"Unknown source type: {name!r}. Supported: {', '.join(supported_sources())}"
+            f"no job is registered for {name!r}; there are {', '.join(supported_sources())}"
         )
     return kind
 
@@ -89,7 +88,7 @@ def normalize(
     documents: bool = True,
     id_mode: str = "stable",
     original_log: bool = True,
-    original_log_max_chars: int = ORIGINAL_LOG_MAX_CHARS,
+    original_log_max_chars: int = 0,
     **options,
 ) -> DataFrame:
     """Events of a table with a ``raw`` text column, all of one kind of source.
@@ -98,6 +97,7 @@ def normalize(
     ``id_mode``    ``stable`` numbers equal records and costs a shuffle of the raw
                    text; ``content`` lets equal records share an id; ``random``
                    draws ids.  An ``event_uid`` column in ``df`` overrides it.
+    ``original_log_max_chars``  cuts longer values of the original; 0 keeps them whole
     ``options``    passed to the job of the source, e.g. ``default_year``
     """
     kind = source_kind(source_type)
@@ -126,7 +126,7 @@ def normalize_mixed(
     documents: bool = True,
     id_mode: str = "stable",
     original_log: bool = True,
-    original_log_max_chars: int = ORIGINAL_LOG_MAX_CHARS,
+    original_log_max_chars: int = 0,
 ) -> DataFrame:
     """Events of a table whose rows name their source in ``source_col``.
 

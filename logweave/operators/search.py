@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logweave.functions.fixed_values import DEFAULT_PAGE_ROWS, EXPORT_TOP_ROWS, MAX_PAGE_ROWS
+from logweave.functions.fixed_values import DEFAULT_PAGE_ROWS
 from logweave.functions.text import like_term
 from logweave.operators.flat import LISTING_COLUMNS, SEARCHED_COLUMNS
 
-# A page may reach this many rows down before paging narrows the table first.
-_SHALLOW_ROWS = 100_000
-# Rows aimed at per range of ids when one load spans many pages.
-_ROWS_PER_RANGE = 50_000
+# Blocks that a page is looked for in, coarse to fine: day, minute and instant of the load, then ranges of ids.
+# Each holds at most some ten thousand of the next.
+_TIME_BLOCKS = (10, 16, 64)
+_ID_BLOCKS = (2, 4)
 
 
 def conditions(
@@ -55,74 +54,57 @@ def listing(table: DataFrame) -> DataFrame:
 
 
 def page_limits(page: int, per_page: int) -> tuple[int, int]:
-    """Offset and number of rows of a page, with both numbers forced into range."""
-    rows = max(1, min(MAX_PAGE_ROWS, per_page))
-    return (max(1, page) - 1) * rows, rows
+    """Offset and number of rows of a page; both numbers count from one."""
+    if page < 1 or per_page < 1:
+        raise ValueError(f"pages and their rows count from 1, not {page} and {per_page}")
+    return (page - 1) * per_page, per_page
 
 
 def events_page(
-    table: DataFrame,
-    page: int = 1,
-    per_page: int = DEFAULT_PAGE_ROWS,
-    shallow_rows: int = _SHALLOW_ROWS,
+    table: DataFrame, page: int = 1, per_page: int = DEFAULT_PAGE_ROWS
 ) -> DataFrame:
     """One page of the newest events first, equal load times ordered by id.
 
-    Near pages are a top-k.  A far page would make top-k carry every row before
-    it, so there the table is narrowed to the loads and id ranges that hold the
-    page first.
+    Sorting the whole table, or carrying every row before a far page, would not
+    do, so the page is looked for in blocks: rows are counted by day, the days that
+    hold the page by minute, and so on down to ranges of ids; only the last blocks'
+    rows are sorted.  Every page takes the same steps.  What comes back to
+    the driver are the blocks that the page touches, no more than it has rows, and one.
     """
     offset, rows = page_limits(page, per_page)
-    if offset + rows > shallow_rows:
-        table, offset = _narrowed(table, offset, rows, shallow_rows)
+    for size in _TIME_BLOCKS:
+        block = F.substring("indexed_at", 1, size)
+        table, offset = _narrowed(table, {"_time": block}, [F.desc("_time")], offset, rows)
+    for size in _ID_BLOCKS:
+        blocks = {"_time": F.col("indexed_at"), "_ids": F.substring("event_id", 1, size)}
+        table, offset = _narrowed(table, blocks, [F.desc("_time"), F.asc("_ids")], offset, rows)
     ordered = table.orderBy(F.desc("indexed_at"), "event_id")
     return listing(ordered.offset(offset).limit(rows))
 
 
 def _narrowed(
-    table: DataFrame, offset: int, rows: int, shallow_rows: int
+    table: DataFrame, blocks: dict[str, Column], order: list[Column], offset: int, rows: int
 ) -> tuple[DataFrame, int]:
-    """The part of the table holding rows ``[offset, offset + rows)``, and the offset in it.
-
-    Counts per load time find the loads of the page, counts per id prefix the id
-    ranges within them.  What comes back of either are the blocks the page
-    touches, so no more than it has rows, and one.
-    """
-    loads = table.groupBy("indexed_at").agg(F.count(F.lit(1)).alias("_rows"))
-    newest = Window.orderBy(F.desc("indexed_at"))
-    touched = _touched(loads, newest, F.lit(0), offset, rows).collect()
-    if not touched:
-        return table.limit(0), 0
-    starts = {load["indexed_at"]: load["_start"] for load in touched}
-    table = table.filter(F.col("indexed_at").isin(list(starts)))
-    if sum(load["_rows"] for load in touched) <= shallow_rows:
-        return table, offset - min(starts.values())
-
-    largest = max(load["_rows"] for load in touched)
-    digits = max(1, math.ceil(math.log(max(largest / _ROWS_PER_RANGE, 1), 16)))
-    ranges = table.groupBy(
-        "indexed_at", F.substring("event_id", 1, digits).alias("_prefix")
-    ).agg(F.count(F.lit(1)).alias("_rows"))
-    load_start = F.lit(None).cast("bigint")
-    for indexed_at, start in starts.items():
-        load_start = F.when(F.col("indexed_at") == indexed_at, start).otherwise(load_start)
-    in_load = Window.partitionBy("indexed_at").orderBy("_prefix")
-    touched = _touched(ranges, in_load, load_start, offset, rows).collect()
-    keys = [
-        (F.col("indexed_at") == r["indexed_at"]) & F.startswith("event_id", F.lit(r["_prefix"]))
-        for r in touched
-    ]
-    return table.filter(reduce(lambda a, b: a | b, keys)), offset - min(
-        r["_start"] for r in touched
+    """The blocks of the table that hold rows ``[offset, offset + rows)``, and the offset in them."""
+    counts = table.groupBy(*[c.alias(n) for n, c in blocks.items()]).agg(
+        F.count(F.lit(1)).alias("_rows")
     )
-
-
-def _touched(blocks: DataFrame, order, first: Column, offset: int, rows: int) -> DataFrame:
-    """Blocks of counted rows that overlap ``[offset, offset + rows)``, with their start."""
-    start = first + F.sum("_rows").over(order) - F.col("_rows")
-    return blocks.withColumn("_start", start).filter(
-        (F.col("_start") < offset + rows) & (F.col("_start") + F.col("_rows") > offset)
+    start = F.sum("_rows").over(Window.orderBy(*order)) - F.col("_rows")
+    touched = (
+        counts.withColumn("_start", start)
+        .filter((F.col("_start") < offset + rows) & (F.col("_start") + F.col("_rows") > offset))
+        .collect()
     )
+    if not touched:
+        return table.limit(0), 0
+    if len(blocks) == 1:
+        [(name, column)] = blocks.items()
+        table = table.filter(column.isin([r[name] for r in touched]))
+    else:
+        keys = F.struct(*blocks.values())
+        wanted = [F.struct(*[F.lit(r[n]).alias(n) for n in blocks]) for r in touched]
+        table = table.filter(keys.isin(wanted))
+    return table, offset - min(r["_start"] for r in touched)
 
 
 def page_count(table: DataFrame, per_page: int = DEFAULT_PAGE_ROWS) -> DataFrame:
@@ -149,17 +131,12 @@ def export_events(
     return found.orderBy(F.desc("indexed_at"), "event_id").limit(limit)
 
 
-def export_top(table: DataFrame, session_id: str = "") -> DataFrame:
-    """The newest events up to the fixed size of an export."""
-    return export_events(table, session_id, EXPORT_TOP_ROWS)
-
-
 def sessions_latest(sessions: DataFrame, limit: int = DEFAULT_PAGE_ROWS) -> DataFrame:
     """The newest sessions first."""
-    rows = max(1, min(MAX_PAGE_ROWS, limit))
+    _, rows = page_limits(1, limit)
     return sessions.orderBy(F.desc("created_at"), "session_id").limit(rows)
 
 
 def first_event(events: DataFrame) -> DataFrame:
-    """One normalized event, for calls that hand in a single record."""
-    return events.filter(F.col("_status") == "ok").limit(1)
+    """The event that comes first by its time, then by its id."""
+    return events.filter(F.col("_status") == "ok").orderBy("event.created", "event.id").limit(1)

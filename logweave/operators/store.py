@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import logging
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
+from pyspark.storagelevel import StorageLevel
 
 from logweave.functions.shape import now_text
 from logweave.operators import flat
@@ -36,6 +41,15 @@ def stored_schema() -> StructType:
     )
 
 
+# What the table is partitioned by: the source, and the day of the load.
+_PARTITIONS = ("source_type", "load_date")
+# Point lookups skip files by these filters; ids are sorted within files besides.
+_ID_FILTER = {
+    "parquet.bloom.filter.enabled#event_id": "true",
+    "parquet.bloom.filter.expected.ndv#event_id": str(_ROWS_PER_FILE),
+}
+
+
 def stored_rows(
     events: DataFrame, indexed_at: Column | None = None, session_id: str = "session_id"
 ) -> DataFrame:
@@ -124,19 +138,21 @@ def stage_by_source(raw: DataFrame, path: str, source_col: str = "source_type")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The stored events; an empty table reads as one without rows."""
-    return spark.read.schema(stored_schema()).parquet(path)
+    """The stored events with ``load_date``; an empty table reads as one without rows."""
+    schema = StructType(stored_schema().fields + StructType.fromDDL("load_date STRING").fields)
+    return spark.read.schema(schema).parquet(path)
 
 
-def write_events(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Append stored rows, partitioned by source.
+def write_events(rows: DataFrame, path: str, mode: str = "append", **options) -> None:
+    """Append stored rows, partitioned by source and day of the load.
 
-    Tasks write what they hold, so a source with most of the rows needs no
+    Tasks write what they hold, sorted by id, so a source with most of the rows needs no
     shuffle and lands in no single task.
     """
-    rows.write.mode(mode).partitionBy("source_type").option(
-        "maxRecordsPerFile", _ROWS_PER_FILE
-    ).parquet(path)
+    dated = rows.withColumn("load_date", F.substring("indexed_at", 1, 10))
+    dated.sortWithinPartitions(*_PARTITIONS, "event_id").write.mode(mode).partitionBy(
+        *_PARTITIONS
+    ).options(maxRecordsPerFile=_ROWS_PER_FILE, **_ID_FILTER, **options).parquet(path)
 
 
 def insert_if_absent(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -144,7 +160,8 @@ def insert_if_absent(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
     Equal ids mean equal events.  Copies collapse before the shuffle, so an id
     that fills much of the load stays small, and the anti join then reuses the
-    partitioning by id.
+    partitioning by id.  Of the stored events only the ids are read; a filter on
+    ``load_date`` of ``existing`` prunes them to the days on which the load can have been stored before.
     """
     return incoming.dropDuplicates(["event_id"]).join(
         existing.select("event_id"), "event_id", "left_anti"
@@ -159,33 +176,57 @@ def save_events(
     auto_save: bool = True,
     fallback_path: str | None = None,
     indexed_at: Column | None = None,
+    load_dates: list[str] | None = None,
 ) -> bool:
     """Insert good events whose id is not stored yet; True when they were stored.
 
-    When the table cannot be written, the load goes to ``fallback_path`` as JSON.
+    ``load_dates`` names the days of earlier loads that may hold the same events (a retried
+    load: today and yesterday); None compares with all days.
+
+    The load is computed once, before anything is written, so an error in it is raised.  When
+    the table cannot be written, the load goes to ``fallback_path`` as JSON.
     """
     if not (save and auto_save):
         return False
     spark = events.sparkSession
-    rows = stored_rows(events, indexed_at, session_id)
+    held = events.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if _exists(spark, path):
-            rows = insert_if_absent(read_events(spark, path), rows).select(
-                *stored_schema().names
-            )
-        write_events(rows, path)
-        return True
-    except Exception:
-        if fallback_path is None:
-            raise
-        _log.warning("storing failed, the load goes to %s", fallback_path, exc_info=True)
-        fallback(events, fallback_path, session_id)
-        return False
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+        held.count()
+        rows = stored_rows(held, indexed_at, session_id)
+        try:
+            stored = _stored_before(spark, path)
+            if stored is None:
+                rows = rows.dropDuplicates(["event_id"])
+            else:
+                if load_dates is not None:
+                    stored = stored.filter(F.col("load_date").isin(load_dates))
+                rows = insert_if_absent(stored, rows).select(*stored_schema().names)
+            write_events(rows, path)
+            return True
+        except (PySparkException, Py4JError):
+            if fallback_path is None:
+                raise
+            _log.warning("storing failed, the load goes to %s", fallback_path, exc_info=True)
+            fallback(held, fallback_path, session_id)
+            return False
+    finally:
+        held.unpersist()
+
+
+def _stored_before(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored events, None before the first load."""
+    return _if_there(lambda: read_events(spark, path))
+
+
+def _if_there(read: Callable[[], DataFrame]) -> DataFrame | None:
+    try:
+        found = read()
+        found.schema  # noqa: B018  a path is looked up no later than here
+        return found
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def fallback(events: DataFrame, path: str, session_id: str = "session_id") -> None:
@@ -209,44 +250,62 @@ def write_dead_letters(events: DataFrame, path: str, *carried: str) -> None:
     dead_letters(events, *carried).write.mode("append").json(path)
 
 
+_SAVED_DDL = SESSION_DDL + ", saved_at STRING, save_number BIGINT"
+
+
 def save_sessions(incoming: DataFrame, path: str) -> None:
-    """Append sessions; :func:`current_sessions` resolves those saved again."""
-    incoming.withColumn("saved_at", now_text()).write.mode("append").parquet(path)
+    """Append sessions; :func:`current_sessions` resolves those saved again, by the number of the save."""
+    spark = incoming.sparkSession
+    saved = _if_there(lambda: spark.read.schema(_SAVED_DDL).parquet(path))
+    last = 0 if saved is None else saved.agg(F.max("save_number")).first()[0] or 0
+    incoming.withColumn("saved_at", now_text()).withColumn(
+        "save_number", F.lit(last + 1).cast("bigint")
+    ).write.mode("append").parquet(path)
 
 
 def current_sessions(spark: SparkSession, path: str) -> DataFrame:
     """The sessions after every upsert so far."""
-    if not _exists(spark, path):
+    saved = _if_there(lambda: spark.read.schema(_SAVED_DDL).parquet(path))
+    if saved is None:
         return spark.createDataFrame([], SESSION_DDL)
-    saved = spark.read.schema(SESSION_DDL + ", saved_at STRING").parquet(path)
-    return _resolved(saved, "saved_at")
+    order = F.struct("save_number", "saved_at", "total_events", "failed_count")
+    return _resolved(saved.withColumn("_order", order), "_order")
 
 
 def clear_session(spark: SparkSession, path: str, session_id: str) -> int:
     """Remove the events of one session and return how many there were.
 
-    Only the source partitions that hold the session are rewritten.
+    Only the partitions (a source's loads of a day) that hold the session are rewritten.
     """
     table = read_events(spark, path)
-    mine = F.col("session_id") == session_id
-    # One row per source, a handful at most.
+    mine = F.coalesce(F.col("session_id") == session_id, F.lit(False))
+    # A row per partition that holds the session: as many as days on which it was loaded.
     counts = (
-        table.groupBy("source_type")
+        table.groupBy(*_PARTITIONS)
         .agg(F.count_if(mine).alias("mine"), F.count_if(~mine).alias("others"))
         .filter("mine > 0")
         .collect()
     )
-    kept = [r["source_type"] for r in counts if r["others"]]
-    emptied = [r["source_type"] for r in counts if not r["others"]]
+
+    def held(partitions: list) -> Column:
+        same = [
+            F.col("source_type").eqNullSafe(r["source_type"])
+            & F.col("load_date").eqNullSafe(r["load_date"])
+            for r in partitions
+        ]
+        return reduce(lambda a, b: a | b, same)
+
+    kept = [r for r in counts if r["others"]]
     if kept:
-        table.filter(F.col("source_type").isin(kept) & ~F.coalesce(mine, F.lit(False))).write.mode(
-            "overwrite"
-        ).option("partitionOverwriteMode", "dynamic").partitionBy("source_type").parquet(path)
-    columns = StructType([f for f in stored_schema().fields if f.name != "source_type"])
-    for source in emptied:
-        spark.createDataFrame([], columns).write.mode("overwrite").parquet(
-            f"{path}/source_type={source}"
+        write_events(
+            table.filter(held(kept) & ~mine), path, "overwrite", partitionOverwriteMode="dynamic"
         )
+    columns = StructType([f for f in stored_schema().fields if f.name != "source_type"])
+    for r in counts:
+        if not r["others"]:
+            spark.createDataFrame([], columns).write.mode("overwrite").parquet(
+                f"{path}/source_type={r['source_type']}/load_date={r['load_date']}"
+            )
     return sum(r["mine"] for r in counts)
 
 
@@ -255,7 +314,7 @@ def clear_all(spark: SparkSession, path: str, sessions_path: str | None = None)
     count = read_events(spark, path).count()
     spark.createDataFrame([], stored_schema()).write.mode("overwrite").parquet(path)
     if sessions_path is not None:
-        no_sessions = spark.createDataFrame([], SESSION_DDL + ", saved_at STRING")
+        no_sessions = spark.createDataFrame([], _SAVED_DDL)
         no_sessions.write.mode("overwrite").parquet(sessions_path)
     return count
 
@@ -281,14 +340,8 @@ def write_csv(events: DataFrame, path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh path in the folder shared by the cluster.
-
-    ``spark.checkpoint.dir`` names that folder; only where it is unset, as in
-    tests on one machine, a local folder takes its place.
-    """
+    """A fresh path in the folder that all of the cluster reaches, ``spark.checkpoint.dir``."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="logweave-")
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

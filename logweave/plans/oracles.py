@@ -537,12 +537,14 @@ ORACLES: dict[str, str] = {
         FROM stored ORDER BY substr(stored.indexed_at, 1, 9) DESC, event_id LIMIT 70 OFFSET 770""",
     "get_event": f"""{_STORED} SELECT event_id, event_action AS action, src_port, tags
         FROM stored WHERE event_id = '17'""",
-    "export_top": f"""{_STORED} SELECT {_LISTED} FROM stored
-        ORDER BY indexed_at DESC, event_id LIMIT 10000""",
+    "export_newest": f"""{_STORED} SELECT {_LISTED} FROM stored
+        ORDER BY indexed_at DESC, event_id LIMIT 300""",
+    "export_session": f"{_STORED} SELECT event_id, event_action FROM stored WHERE session_id = 's5'",
     "sessions_latest": f"""{_STORED} SELECT session_id, 'syslog' AS source_type, '' AS filename,
         min(indexed_at) AS created_at, {_SESSION_SUMS} FROM stored GROUP BY session_id
         ORDER BY created_at DESC, session_id LIMIT 5""",
-    "first_event": f"{_STORED} SELECT event_id, event_action FROM stored WHERE event_id = '17'",
+    "first_event": f"""{_STORED} SELECT event_id, event_action FROM stored
+        ORDER BY created_at, event_id LIMIT 1""",
     "insert_if_absent": f"""{_STORED} SELECT event_id, event_action, session_id FROM stored
         WHERE number % 2 = 0 AND number % 3 <> 0""",
     "session_upsert": f"""{_STORED},
@@ -569,7 +571,8 @@ ORACLES: dict[str, str] = {
         CAST(0 AS BIGINT) AS failed FROM stored GROUP BY session_id""",
     "clear_session": f"""{_STORED} SELECT session_id, count(*) AS events,
         (SELECT count(*) FROM stored WHERE session_id = 's3') AS removed
-        FROM stored WHERE session_id <> 's3' GROUP BY session_id""",
+        FROM (SELECT session_id FROM stored UNION ALL SELECT NULL FROM stored)
+        WHERE session_id IS DISTINCT FROM 's3' GROUP BY session_id""",
     "clear_all": "SELECT CAST(0 AS BIGINT) AS left_over, count(*) AS removed FROM events",
     "syslog_files": f"""{_STORED} SELECT process_name AS process, 'ok' AS status,
         count(*) AS events, CAST(sum(src_port) AS BIGINT) AS port_sum FROM stored GROUP BY 1""",
@@ -586,6 +589,7 @@ ORACLES: dict[str, str] = {
         CAST(sum(event_id % 150) AS BIGINT) AS severity_sum
         FROM (SELECT event_id, {_JSON_ROWS['outcome']} AS outcome FROM events),
           (VALUES ('lines'), ('documents')) AS m(mode) GROUP BY 1, 2""",
-    "file_size_guard": "SELECT count(*) AS records FROM events",
+    "file_size_guard": """SELECT CASE WHEN event_id % 10 = 0 THEN 'rejected' ELSE 'kept' END AS part,
+        count(*) AS records FROM events GROUP BY 1""",
 }
 ORACLES["export_csv"] = ORACLES["export_rows"]

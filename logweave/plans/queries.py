@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions import ids, text
-from logweave.functions.shape import drop_original_log, truncate_original_log
+from logweave.functions.shape import configure, drop_original_log, truncate_original_log
 from logweave.operators import dispatch, flat, search, store
 from logweave.plans import rawlogs
 from logweave.sources import cef, records, sysmon, syslog, wazuh, wel
@@ -18,7 +18,11 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(function: Query) -> Query:
-    QUERIES[function.__name__] = function
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        configure(spark)
+        return function(spark, sf_dir)
+
+    QUERIES[function.__name__] = run
     return function
 
 
@@ -714,7 +718,7 @@ def events_page(spark, sf_dir):
 def events_deep_page(spark, sf_dir):
     """A far page, reached by narrowing to load times and id ranges."""
     rows = _stored(spark, sf_dir).withColumn("indexed_at", F.substring("indexed_at", 1, 9))
-    return search.events_page(rows, page=12, per_page=70, shallow_rows=100)
+    return search.events_page(rows, page=12, per_page=70)
 
 
 @query
@@ -729,8 +733,21 @@ def get_event(spark, sf_dir):
 
 
 @query
-def export_top(spark, sf_dir):
-    return search.listing(search.export_top(_stored(spark, sf_dir)))
+def export_newest(spark, sf_dir):
+    """An export cut to a number of the caller's own."""
+    return search.listing(search.export_events(_stored(spark, sf_dir), limit=300))
+
+
+@query
+def export_session(spark, sf_dir):
+    """All events of one session, from a stored table, as JSON files."""
+    path, out = store.scratch_path(spark, "events"), store.scratch_path(spark, "json")
+    store.write_events(_stored(spark, sf_dir), path)
+    store.write_json(search.export_events(store.read_events(spark, path), session_id="s5"), out)
+    return spark.read.text(out).select(
+        F.get_json_object("value", "$.event.id").alias("event_id"),
+        F.get_json_object("value", "$.event.action").alias("event_action"),
+    )
 
 
 @query
@@ -741,9 +758,10 @@ def sessions_latest(spark, sf_dir):
 
 @query
 def first_event(spark, sf_dir):
-    """A call with a single record: its first event only."""
-    found = search.get_event(_stored(spark, sf_dir), "17").withColumn("_status", F.lit("ok"))
-    return search.first_event(found).select("event_id", "event_action")
+    """The first event of a whole load."""
+    return search.first_event(_syslog_load(spark, sf_dir)).select(
+        F.col("event.id").alias("event_id"), F.col("event.action").alias("event_action")
+    )
 
 
 # ---- storing ------------------------------------------------------------------
@@ -794,10 +812,11 @@ def dropped_original_log(spark, sf_dir):
 
 @query
 def write_read_back(spark, sf_dir):
-    """Two loads with half their events in common, stored and read again."""
+    """Two loads with half their events in common, the first with repeated ids, stored and read again."""
     path = store.scratch_path(spark, "events")
     load = _syslog_load(spark, sf_dir)
-    store.save_events(load.filter(F.col("event_id") % 3 != 0), path, indexed_at=F.col("iso"))
+    first = load.filter(F.col("event_id") % 3 != 0)
+    store.save_events(first.unionByName(first), path, indexed_at=F.col("iso"))
     store.save_events(load, path, indexed_at=F.col("iso"))
     return search.listing(store.read_events(spark, path))
 
@@ -852,7 +871,8 @@ def export_csv(spark, sf_dir):
 @query
 def clear_session(spark, sf_dir):
     path = store.scratch_path(spark, "events")
-    store.write_events(_stored(spark, sf_dir), path)
+    stored = _stored(spark, sf_dir)
+    store.write_events(stored.unionByName(stored.withColumn("session_id", F.lit(None).cast("string"))), path)
     removed = store.clear_session(spark, path, "s3")
     left = store.read_events(spark, path).groupBy("session_id").agg(
         F.count(F.lit(1)).alias("events")
@@ -934,18 +954,24 @@ def json_files(spark, sf_dir):
 
 @query
 def file_size_guard(spark, sf_dir):
-    """Every record is either in a file within the limit or in a rejected file."""
+    """Records of files within the limit, and those of rejected files, apart."""
     path = store.scratch_path(spark, "sizes")
     raw = _records(spark, sf_dir, rawlogs.SYSLOG_SQL)
-    small = raw.filter(F.col("event_id") % 10 == 0).select("raw")
-    small.coalesce(1).write.text(f"{path}/part=a")
-    raw.filter(F.col("event_id") % 10 != 0).select("raw").coalesce(1).write.text(f"{path}/part=b")
-    limit = 0.1
-    files = f"{path}/part=*"
-    kept = records.read_lines(spark, files, max_file_mb=limit)
-    rejected = records.rejected_files(spark, files, limit)
+    # Files of some few records each, and files that one long record takes over the limit.
+    raw.filter(F.col("event_id") % 10 != 0).select("raw").write.text(f"{path}/part=a")
+    raw.filter(F.col("event_id") % 10 == 0).select(
+        F.concat("raw", F.repeat(F.lit("x"), F.lit(2_000_000))).alias("raw")
+    ).write.option("maxRecordsPerFile", 2).text(f"{path}/part=b")
+    files, limit = f"{path}/part=*", 1.5
+    kept = records.read_lines(spark, f"{path}/part=b", max_file_mb=limit).unionByName(
+        records.read_lines(spark, f"{path}/part=a")
+    )
+    rejected = records.rejected_files(spark, files, limit).filter(
+        F.contains(records.SOURCE_FILE, F.lit("part=b"))
+    )
     held_back = records.read_lines(spark, files).join(rejected, records.SOURCE_FILE, "left_semi")
-    return kept.unionByName(held_back).agg(F.count(F.lit(1)).alias("records"))
+    count = lambda rows, name: rows.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("records"))
+    return count(kept, "kept").unionByName(count(held_back, "rejected"))
 
 
 __all__ = ["FLAT_FIELDS", "QUERIES"]

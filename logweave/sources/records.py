@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logweave.functions.fixed_values import LINE_BREAK, MAX_FILE_MB
+from logweave.functions.fixed_values import LINE_BREAK
+from logweave.functions.shape import EVENT_ID
 from logweave.functions.text import strip
 from logweave.sources import wel
 
@@ -21,7 +22,19 @@ def _others(df: DataFrame, raw: str) -> list[Column]:
 
 
 def _exploded(df: DataFrame, raw: str, pieces: Column) -> DataFrame:
-    return df.select(*_others(df, raw), F.explode(pieces).alias(raw))
+    """A row per piece, and one with a NULL text for a document without any."""
+    rows = df.select(*_others(df, raw), F.posexplode_outer(pieces).alias("_place", raw))
+    return numbered_ids(rows, "_place").drop("_place")
+
+
+def numbered_ids(rows: DataFrame, place: str) -> DataFrame:
+    """Ids of a document extended by the place of the record, but for the first one."""
+    if EVENT_ID not in rows.columns:
+        return rows
+    own = F.when(
+        F.col(place) > 0, F.concat(F.col(EVENT_ID).cast("string"), F.lit("-"), F.col(place) + 1)
+    ).otherwise(F.col(EVENT_ID).cast("string"))
+    return rows.withColumn(EVENT_ID, own)
 
 
 # ---- text columns -------------------------------------------------------------
@@ -97,7 +110,7 @@ def _within_limit(df: DataFrame, max_file_mb: int | None) -> DataFrame:
 
 
 def rejected_files(
-    spark: SparkSession, path: str, max_file_mb: int = MAX_FILE_MB
+    spark: SparkSession, path: str, max_file_mb: float
 ) -> DataFrame:
     """Files over the limit.  Only their names and sizes are looked at."""
     return (
@@ -122,11 +135,11 @@ def read_lines(spark: SparkSession, path: str, max_file_mb: int | None = None) -
 
 
 def read_documents(
-    spark: SparkSession, path: str, max_file_mb: int | None = MAX_FILE_MB
+    spark: SparkSession, path: str, max_file_mb: float | None = None
 ) -> DataFrame:
     """Whole files, one row each, for JSON documents that span lines.
 
-    A document has to fit into one task, hence the size limit by default.
+    A document is one task's work; ``rejected_files`` names those over a limit that is set.
     """
     return _read_text(spark, path, max_file_mb, wholetext=True)
 
@@ -137,8 +150,17 @@ def read_sysmon(spark: SparkSession, path: str, max_file_mb: int | None = None)
 
 
 def fragments(pieces: DataFrame, raw: str = "raw") -> DataFrame:
-    """Cut pieces that were split at the closing tag down to whole elements."""
-    element = F.concat(F.regexp_extract(F.col(raw), _EVENT_START, 0), F.lit("</Event>"))
+    """Cut pieces that were split at the closing tag down to whole elements.
+
+    What a file that breaks off leaves after its last element has open sections; it
+    keeps its text without a closing tag, and its record is ``dropped``.
+    """
+    start = F.regexp_extract(F.col(raw), _EVENT_START, 0)
+    closed = F.endswith(F.rtrim(F.col(raw)), F.lit(">"))
+    for section in ("System", "EventData"):
+        opened = F.col(raw).rlike(rf"(?i)<{section}[\s>]")
+        closed = closed & (~opened | F.col(raw).rlike(rf"(?i)</{section}\s*>"))
+    element = F.when(closed, F.concat(start, F.lit("</Event>"))).otherwise(start)
     return pieces.filter(F.col(raw).rlike(_EVENT_START[:-2])).select(
         element.alias(raw), *_others(pieces, raw)
     )

@@ -37,7 +37,9 @@ _PATTERNS = {
 
 def parse_lines(df: DataFrame, raw: str = "raw", default_year: int | None = None) -> DataFrame:
     """Split lines into ``_time, _host, _program, _pid, _message`` (NULL: no layout)."""
-    year = F.lit(default_year) if default_year is not None else F.year(F.current_timestamp())
+    year = F.lit(default_year) if default_year is not None else F.year(
+        F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    )
     parts = df.withColumn(
         "_parts",
         F.split(F.regexp_replace(strip(F.col(raw)), F.lit(_LINE), F.lit(_LINE_PARTS)), "\n", 8),
@@ -71,7 +73,7 @@ def _families(program: Column, message: Column) -> Column:
     )
 
 
-# What a message means, first hit wins.  ``{1}`` stands for capture group 1 of the
+# What a message means, first hit wins.  ``{1}`` stands for capture group 1 of the
 # family's patterns, a condition ``1`` for "group 1 was found".
 # family | condition | category | type | action | severity | outcome | user | ip | port | command | tag
 _MEANINGS = [
@@ -81,25 +83,24 @@ sshd         | 1  | authentication | start | SSH accepted ({1})    | 0  | succes
 sshd         | 5  | authentication | start | SSH failed ({5})      | 30 | failure | {6}  | {7}  | {8}  |     | T1110
 sshd         | 9  | authentication | start | SSH invalid user      | 35 | failure | {9}  | {10} |      |     | T1110
 sshd         | 11 | authentication | end   | SSH disconnected      | 0  | unknown | {11} | {12} | {13} |     |
-sshd         |    | network        | info  | sshd: {80}            | 0  | unknown |      |      |      |     |
+sshd         |    | network        | info  | sshd: {message}            | 0  | unknown |      |      |      |     |
 sudo         | 1  | process        | start | sudo: {1} ran as {2}  | 20 | success | {1}  |      |      | {3} | T1548.003
-sudo         |    | process        | info  | sudo: {80}            | 10 | unknown |      |      |      |     |
+sudo         |    | process        | info  | sudo: {message}            | 10 | unknown |      |      |      |     |
 pam          | 1  | authentication | start | PAM session opened ({1}) | 0 | success | {2} |     |      |     |
 pam          | 3  | authentication | start | PAM authentication failure | 30 | failure | {3} |  |      |     | T1078
-pam          |    | authentication | info  | PAM: {80}             | 0  | unknown |      |      |      |     |
-account      |    | iam            | {del} | {program}: {80}       | 25 | success | {account} |  |     |     | T1136
+pam          |    | authentication | info  | PAM: {message}             | 0  | unknown |      |      |      |     |
+account      |    | iam            | {del} | {program}: {message}       | 25 | success | {account} |  |     |     | T1136
 su           | 1  | authentication | start | su to {1} by {2}      | 20 | success | {1}  |      |      |     | T1548
 su           | 3  | authentication | start | Failed su to {3}      | 35 | failure | {3}  |      |      |     | T1548
 cron         | 1  | process        | start | cron: {1}             | 0  | success | {1}  |      |      | {2} |
 cron+systemd | 1  | process        | start | cron: {1}             | 0  | success | {1}  |      |      | {2} |
 cron+systemd | 3  | process        | info  | systemd: {3} {4}      | {3}? | {3}? |      |      |      |     |
 systemd      | 1  | process        | info  | systemd: {1} {2}      | {1}? | {1}? |      |      |      |     |
-             |    | process        | info  | {program}: {100}      | 0  | unknown |      |      |      |     |
+             |    | process        | info  | {program}: {message}      | 0  | unknown |      |      |      |     |
 """.strip("\n").splitlines()
 ]
 _SLOTS = {
-    "{80}": "substring(_message, 1, 80)",
-    "{100}": "substring(_message, 1, 100)",
+    "{message}": "_message",
     "{program}": "_program",
     "{del}": "CASE WHEN contains(lower(_program), 'del') THEN 'deletion' ELSE 'creation' END",
     "{account}": "_account",
@@ -198,7 +199,7 @@ def normalize_syslog(
                 F.lit("process"), F.col("_program"),
                 F.lit("pid"), F.when(pid != "", pid),
                 F.lit("host"), F.col("_host"),
-                F.lit("msg"), F.substring("_message", 1, 512),
+                F.lit("msg"), F.col("_message"),
             ),
             "tags": of("tags"),
         },

@@ -211,7 +211,7 @@ def normalize_wel(
                 F.lit("EventID"), c["eventid"],
                 F.lit("TimeCreated"), c["timecreated"],
                 F.lit("Computer"), c["computername"],
-                F.lit("Message"), F.substring(c["message"], 1, 256),
+                F.lit("Message"), c["message"],
             ),
             "tags": empty_strings(),
         },

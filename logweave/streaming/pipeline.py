@@ -46,16 +46,17 @@ def normalize_stream(
 
 
 def without_repeats(events: DataFrame, horizon: str = "1 hour") -> DataFrame:
-    """Drop events whose id was loaded within the horizon.
+    """Drop events whose id was loaded within the horizon, from the same file and session.
 
-    The watermark is on the load time, since the event's own time may be missing
+    Equal lines of different files or sessions are events of their own.  The watermark is on the load time, since the event's own time may be missing
     or lack its year.
     """
+    origin = [c for c in (SOURCE_FILE, "session_id") if c in events.columns]
     return (
         events.withColumn("event_id", F.col("event.id"))
         .withColumn("loaded_at", F.current_timestamp())
         .withWatermark("loaded_at", horizon)
-        .dropDuplicatesWithinWatermark(["event_id"])
+        .dropDuplicatesWithinWatermark(["event_id", *origin])
         .drop("event_id")
     )
 
@@ -69,17 +70,19 @@ def store_stream(
     session_id: str = SOURCE_FILE,
     dead_letter_path: str | None = None,
     available_now: bool = True,
+    load_dates: list[str] | None = None,
     **options,
 ) -> StreamingQuery:
     """Normalize and store every micro-batch of records; a session is a file by default.
 
-    A repeated batch inserts nothing twice, as its ids are stored already.
+    A repeated batch inserts nothing twice, as its ids are stored already.  ``load_dates`` is that
+    of ``store.save_events``: the days whose stored ids a batch is compared with.
     """
 
     def save(batch: DataFrame, number: int) -> None:
         held = dispatch.normalize(batch, source_type, documents=False, **options).persist()
         try:
-            store.save_events(held, events_path, session_id)
+            store.save_events(held, events_path, session_id, load_dates=load_dates)
             store.save_sessions(store.session_rollup(held, session_id), sessions_path)
             if dead_letter_path is not None:
                 bad = store.dead_letters(held, "raw", session_id)

@@ -79,7 +79,7 @@ SYSLOG = [
     (HEAD + "cron: Started x.", "ok", {"event.action": "cron: Started x."}),
     (HEAD + "sshd: Failed none for u from 1.1.1.1 port 1 Accepted x for y from 2.2.2.2 port 2",
      "ok", {"event.action": "SSH accepted (x)", "user.name": "y"}),
-    (HEAD + "kernel: " + "é" * 120, "ok", {"event.action": "kernel: " + "é" * 100}),
+    (HEAD + "kernel: " + "é" * 120, "ok", {"event.action": "kernel: " + "é" * 120}),
 ]
 
 
@@ -138,7 +138,7 @@ WEL = [
         "log.original_log.Message": 'a "b", c\nd'}),
     ('Id,Message\n4624,5" disk\n4625,y', ["ok", "ok"], {"log.original_log.Message": '5" disk'}),
     ("eventid,cmdline\n4688,run", ["ok"], {"process.command_line": "run"}),
-    ("Id,Message\n4624," + "m" * 300, ["ok"], {"log.original_log.Message": "m" * 256}),
+    ("Id,Message\n4624," + "m" * 300, ["ok"], {"log.original_log.Message": "m" * 300}),
 ]
 
 
@@ -230,10 +230,26 @@ def test_cef_and_json(spark, raw, statuses, expected):
     check(got[0], statuses[0], expected)
 
 
-def test_original_log_cap(spark):
+def test_original_log_is_whole_unless_cut(spark):
     df = spark.createDataFrame([(json.dumps({"k": "v" * 5000}),)], "raw STRING")
-    [row] = truncate_original_log(normalize_cef(df)).select("log.original_log").collect()
-    assert row[0] == {"k": "v" * 4096 + "…"}
+    whole, cut = dispatch.normalize(df, "cef"), dispatch.normalize(df, "cef", original_log_max_chars=100)
+    assert whole.select("log.original_log").first()[0] == {"k": "v" * 5000}
+    assert cut.select("log.original_log").first()[0] == {"k": "v" * 100 + "…"}
+    assert truncate_original_log(normalize_cef(df)).select("log.original_log").first()[0] == {"k": "v" * 5000}
+
+
+def test_documents_without_records_leave_a_row(spark):
+    for source, text in (("sysmon", "garbage"), ("cef", "[5,6]"), ("syslog", " \n "), ("wazuh", "[]")):
+        df = spark.createDataFrame([(text, 7)], "raw STRING, event_uid BIGINT")
+        rows = dispatch.normalize(df, source).collect()
+        assert [r["_status"] != "ok" for r in rows] == [True], source
+
+
+def test_records_of_a_document_have_ids_of_their_own(spark):
+    lines = "\n".join(f"2024-01-01T00:00:0{k}Z h p: m" for k in range(3))
+    df = spark.createDataFrame([(lines, "d1"), (lines, "d2")], "raw STRING, event_uid STRING")
+    ids = [r[0] for r in dispatch.normalize(df, "syslog").select("event.id").collect()]
+    assert sorted(ids) == ["d1", "d1-2", "d1-3", "d2", "d2-2", "d2-3"]
 
 
 def test_a_load_without_events_leaves_no_session(spark):

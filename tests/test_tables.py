@@ -75,9 +75,13 @@ def test_ids_repeat_and_number_copies(spark, monkeypatch):
 def test_far_pages_equal_near_ones(spark):
     rows = _stored(spark, SF_DIR).withColumn("indexed_at", F.substring("indexed_at", 1, 9)).cache()
     for page in (1, 7, 14, 15, 99):
-        near = search.events_page(rows, page, 70).collect()
-        assert search.events_page(rows, page, 70, shallow_rows=1).collect() == near
-    assert search.page_limits(0, 999) == (0, 200)
+        ordered = rows.orderBy(F.desc("indexed_at"), "event_id")
+        want = search.listing(ordered.offset((page - 1) * 70).limit(70)).collect()
+        assert search.events_page(rows, page, 70).collect() == want
+    assert search.page_limits(3, 999) == (1998, 999)
+    for wrong in ((0, 5), (1, 0)):
+        with pytest.raises(ValueError):
+            search.page_limits(*wrong)
 
 
 @pytest.mark.parametrize("term, hit, miss", [
@@ -183,7 +187,8 @@ def test_batch_equals_stream(spark, tmp_path):
 def test_stream_without_repeats(spark, tmp_path):
     source = str(tmp_path / "in")
     line = "2024-01-01T00:00:00Z h p: m"
-    spark.createDataFrame([(line,), (line,), (line + "2",)], "v STRING").write.text(source)
+    for k, lines in enumerate(([line], [line, line + "2", line + "2"])):
+        spark.createDataFrame([(x,) for x in lines], "v STRING").coalesce(1).write.mode("append").text(source)
     events = pipeline.without_repeats(
         pipeline.normalize_stream(pipeline.stream_lines(spark, source), "syslog")
     )
@@ -191,7 +196,8 @@ def test_stream_without_repeats(spark, tmp_path):
     events.select("event.action").writeStream.option(
         "checkpointLocation", str(tmp_path / "check")
     ).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
-    assert sorted(r[0] for r in spark.read.parquet(out).collect()) == ["p: m", "p: m2"]
+    # The equal lines stand in files of their own, so both are events.
+    assert sorted(r[0] for r in spark.read.parquet(out).collect()) == ["p: m", "p: m", "p: m2"]
 
 
 def test_sample_event(spark):
@@ -221,3 +227,78 @@ def test_sample_event(spark):
     assert row["user"].asDict() == {"name": "jdoe", "domain": "WIN11X01", "id": None}
     assert row["tags"] == ["T1059.001"] and row["network"] is None and row["file"] is None
     assert flat is not None
+
+
+def test_clearing_keeps_rows_without_session(spark, tmp_path):
+    path = str(tmp_path / "events")
+    rows = _stored(spark, SF_DIR).limit(2).collect()
+    one, other = (spark.createDataFrame([r], store.stored_schema()) for r in rows)
+    store.write_events(one.withColumn("session_id", F.lit("x")).unionByName(
+        other.withColumn("session_id", F.lit(None).cast("string"))), path)
+    assert store.clear_session(spark, path, "x") == 1
+    assert [r[0] for r in store.read_events(spark, path).select("session_id").collect()] == [None]
+
+
+def test_the_later_of_two_saves_wins(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "sessions")
+    monkeypatch.setattr(store, "now_text", lambda: F.lit("2024-01-01T00:00:00.000Z"))
+    for total in (5, 3):
+        store.save_sessions(spark.createDataFrame([("s", "cef", "f", "c", total, 0)], store.SESSION_DDL), path)
+    assert [r["total_events"] for r in store.current_sessions(spark, path).collect()] == [3]
+
+
+def test_a_broken_load_is_an_error_not_a_fallback(spark, tmp_path):
+    broken = _syslog_load(spark, SF_DIR).withColumn("session_id", F.raise_error(F.lit("bad")).cast("string"))
+    with pytest.raises(Exception, match="bad"):
+        store.save_events(broken, str(tmp_path / "t"), fallback_path=str(tmp_path / "aside"))
+    assert not (tmp_path / "aside").exists()
+
+
+def test_lookups_and_clearing_prune(spark, tmp_path):
+    path = str(tmp_path / "events")
+    store.write_events(_stored(spark, SF_DIR), path)
+    day = store.read_events(spark, path).select(F.min("load_date")).first()[0]
+    known = store.read_events(spark, path).filter(F.col("load_date") == day)
+    text_plan = plan(store.insert_if_absent(known, _stored(spark, SF_DIR)))
+    assert "ReadSchema: struct<event_id:string>" in text_plan
+    assert "PartitionFilters: [isnotnull(load_date" in text_plan
+    assert search.get_event(store.read_events(spark, path), "17").count() == 1
+
+
+def test_file_that_breaks_off_gives_no_event(spark, tmp_path):
+    whole = ("<Event><System><EventID>1</EventID><Computer>h</Computer></System>"
+             "<EventData><Data Name='Image'>a</Data></EventData></Event>")
+    (tmp_path / "a.xml").write_text("<Events>" + whole + whole[:60])
+    events = sysmon.normalize_sysmon(records.read_sysmon(spark, str(tmp_path / "a.xml")))
+    assert sorted(r[0] for r in events.select("_status").collect()) == ["dropped", "ok"]
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    line = spark.createDataFrame([("Apr  3 01:02:03 h p: m",), ("2024-04-03T01:02:03+02:00 h p: m",)], "raw STRING")
+    seen = set()
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "America/New_York", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        events = syslog.normalize_syslog(line, default_year=2024)
+        seen.add(tuple(r[0] for r in events.select(F.unix_seconds("event.created_ts")).collect()))
+    spark.conf.set("spark.sql.session.timeZone", before)
+    assert seen == {(1712106123, 1712098923)}
+
+
+def test_nothing_is_cut(spark, tmp_path):
+    message = "long " * 1000
+    (tmp_path / "a.log").write_text(f"2024-01-01T00:00:00Z h p: {message}\n")
+    (tmp_path / "b.json").write_text('{"message": "' + "x" * (51 << 20) + '"}')
+    [row] = syslog.normalize_syslog(records.read_lines(spark, str(tmp_path / "a.log"))).select(
+        "event.action", F.col("log.original_log")["msg"]).collect()
+    assert row[1] == message.strip() and row[0] == f"p: {message.strip()}"
+    documents = records.read_documents(spark, str(tmp_path / "b.json"))
+    assert [r[0] for r in documents.select(F.length("raw")).collect()] == [(51 << 20) + 15]
+
+
+def test_no_scratch_folder_is_an_error():
+    from types import SimpleNamespace
+
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        store.scratch_path(unset, "x")
