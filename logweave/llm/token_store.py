@@ -50,30 +50,41 @@ MANIFEST = ("shard int, path string, n_docs bigint, n_tokens bigint, n_bytes big
 # ---- encoding -------------------------------------------------------------------
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file, with the ids of pieces remembered.
+    """Ids of texts by a tokenizer file, with the ids of frequent words remembered.
 
     A byte-level pre-tokenizer never joins characters across a space that begins a word, nor across the
     end of a run of letters before other ASCII, so a text's ids are those of such pieces one after the other.
-    Other kinds of tokenizer get the whole text.
+    Runs of letters go to the merges directly.  Other kinds of tokenizer get the whole text.
     """
 
     #: A space before a character that is certainly no white space.
     CUT = re.compile(" (?=[!-~¡-ɏ])")
     ODD = re.compile(" (?![!-~¡-ɏ])")
-    CORE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-@\\[-`{-~].*)", re.DOTALL)
+    #: Letters (after a space or not), and what follows them in ASCII.
+    CORE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-@\\[-`{-~].*)?", re.DOTALL)
     #: Two words with one line end between them, which is then a piece of its own.
     LINES = re.compile("( ?\\S+)(\\n)([!-~¡-ɏ]\\S*)")
 
-    def __init__(self, path: str, most: int = 700_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, most: int = 600_000):
+        from tokenizers import Tokenizer, models
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
-        before = rules.get("pre_tokenizer") or {}
+        before, model = rules.get("pre_tokenizer") or {}, rules["model"]
         self.by_piece = (
-            before.get("type") == "ByteLevel" and before.get("use_regex", True)
+            model.get("type", "BPE") == "BPE"
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix",
+                                               "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+            and before.get("type") == "ByteLevel" and before.get("use_regex", True)
             and not before.get("add_prefix_space") and not rules.get("normalizer")
             and not rules.get("post_processor")
             and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"]
@@ -81,6 +92,10 @@ class Encoder:
         )
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.most, self.words, self.parts = most, {}, {}
+        if self.by_piece:
+            merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+            self.bpe = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
+            self.letters = byte_letters()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
@@ -90,34 +105,48 @@ class Encoder:
     def _pieces(self, text: str) -> list[str]:
         return self.CUT.split(text) if self.ODD.search(text) else text.split(" ")
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of words that begin with a space; a word is its letters and what follows them."""
-        split = []
-        for word in new:
-            lines = self.LINES.fullmatch(" " + word)
-            parts = []
-            for part in lines.groups() if lines else (" " + word,):
-                core = self.CORE.fullmatch(part)
-                parts += core.groups() if core else (part,)
-            split.append(parts)
-        missing = list({p for parts in split for p in parts if p not in self.parts})
-        self.parts.update(zip(missing, self._ids(missing), strict=True))
-        for word, parts in zip(new, split, strict=True):
-            self.words[word] = b"".join([self.parts[p] for p in parts])
+    def _run(self, letters: str) -> bytes:
+        """Ids of a run of letters, which is one pre-token."""
+        mapped = letters.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.bpe.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+
+    def _part(self, part: str) -> bytes:
+        """Ids of other pieces, remembered: there are few."""
+        if part not in self.parts:
+            self.parts[part] = self._ids([part])[0]
+        return self.parts[part]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word with or without the space before it: its letters and what follows them."""
+        core = self.CORE.fullmatch(word)
+        if core and (core[2] is None or "\n" not in core[2]):
+            return self._run(core[1]) + (self._part(core[2]) if core[2] else b"")
+        lines = self.LINES.fullmatch(word)
+        if lines:
+            return self._word(lines[1]) + self._part("\n") + self._word(lines[3])
+        return self._part(word)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._ids(texts)
-        if len(self.words) > self.most or len(self.parts) > self.most:
-            self.words, self.parts = {}, {}
-        pieces = [self._pieces(t) for t in texts]
-        new = set(chain.from_iterable(p[1:] for p in pieces)).difference(self.words)
-        if new:
-            self._learn(list(new))
-        heads = list({p[0] for p in pieces if p[0] not in self.parts})
-        self.parts.update(zip(heads, self._ids(heads), strict=True))
-        get = self.words.__getitem__
-        return [self.parts[p[0]] + b"".join(map(get, p[1:])) for p in pieces]
+        if len(self.words) > self.most:
+            self.words = {}
+        if len(self.parts) > self.most // 4:
+            self.parts = {}
+        out, words, get = [], self.words, self.words.get
+        for text in texts:
+            pieces = self._pieces(text)
+            head = pieces[0]
+            pieces[0] = ""
+            found = list(map(get, pieces))
+            found[0] = self._word(head)
+            if None in found:
+                for k, piece in enumerate(pieces):
+                    if found[k] is None:
+                        found[k] = words[piece] = get(piece) or self._word(" " + piece)
+            out.append(b"".join(found))
+        return out
 
 
 # ---- files ----------------------------------------------------------------------
