@@ -87,7 +87,7 @@ def queries(spark: SparkSession, root: str) -> dict:
             records.read_sysmon(spark, f"{root}/sysmon")
         ),
         "normalize_wel": lambda: wel.normalize_wel(
-            records.read_wel(spark, f"{root}/wel"), keep=[records.SOURCE_FILE]
+            records.read_wel(spark, f"{root}/wel")
         ),
         "syslog_by_action": lambda: syslog.normalize_syslog(lines("syslog"))
         .groupBy("event.action", "event.outcome").count(),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
@@ -50,13 +52,25 @@ def parsed_time(created: Column, time_zone: str = "UTC") -> Column:
     )
 
 
+def scratch_path(spark: SparkSession, purpose: str) -> str:
+    """A fresh path in the folder that all of the cluster reaches, ``spark.checkpoint.dir``."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
+    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 _METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
+_REPEATED_KEYS = "spark.sql.variant.allowDuplicateKeys"
 
 
 def configure(spark: SparkSession) -> None:
-    """Let Spark split generated code that the JVM would only interpret.
+    """Settings of a session that the jobs run better with; call it once, they never change any.
+
+    JSON objects that repeat a key are read with the last of them (without the setting,
+    Wazuh alerts that do so are ``failed``).
 
-    HotSpot never compiles a method over 8000 bytes of byte code.  A wide projection
+    Spark splits generated code that the JVM would only interpret.  HotSpot never compiles a method over 8000 bytes of byte code.  A wide projection
     fused into one stage easily exceeds that and then runs many times slower; over
     this limit Spark runs its operators one by one, with their code split into
     small methods.  A limit set by the user stays.
@@ -64,6 +78,7 @@ def configure(spark: SparkSession) -> None:
     default = "65535"
     if spark.conf.get(_METHOD_LIMIT, default) == default:
         spark.conf.set(_METHOD_LIMIT, "8000")
+    spark.conf.set(_REPEATED_KEYS, "true")
 
 
 def computed_once(df: DataFrame, keep: list[str], columns: list[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from logweave.functions.shape import (
     shape_event,
     truncate_original_log,
 )
+from logweave.operators import store
 from logweave.sources import records
 from logweave.sources.cef import normalize_cef
 from logweave.sources.sysmon import normalize_sysmon
@@ -127,23 +128,30 @@ def normalize_mixed(
     id_mode: str = "stable",
     original_log: bool = True,
     original_log_max_chars: int = 0,
+    stage: bool = True,
 ) -> DataFrame:
     """Events of a table whose rows name their source in ``source_col``.
 
-    One filtered branch per source, united by name.  Keep a large raw table
-    partitioned by the source (see ``store.stage_by_source``): each branch then
-    reads its own partition only, so the union reads the table once.
+    One filtered branch per source, united by name.  The table is written by source
+    first (``store.stage_by_source``, which a table may have passed already), so the input is read
+    once and each branch then reads its own partition only; ``stage=False`` lets every branch scan the input.
     """
+    if stage and store.SOURCE_KEY not in df.columns:
+        df = store.stage_by_source(df, store.scratch_path(df.sparkSession, "mixed"), source_col)
     key = F.lower(F.col(source_col))
-    carried = df.columns
+    if store.SOURCE_KEY in df.columns:
+        key = F.col(store.SOURCE_KEY)
+    carried = [c for c in df.columns if c != store.SOURCE_KEY]
     branches = []
     for name in supported_sources():
-        branch = df.filter(key == name)
+        branch = df.filter(key == name).select(*[F.col(f"`{c}`") for c in carried])
         events = normalize(
             branch, name, documents, id_mode, original_log, original_log_max_chars
         )
         branches.append(events.select(*[F.col(f"`{c}`") for c in _order(events, carried)]))
-    others = df.filter(key.isNull() | ~key.isin(supported_sources()))
+    others = df.filter(key.isNull() | ~key.isin(supported_sources())).select(
+        *[F.col(f"`{c}`") for c in carried]
+    )
     if id_mode != "content" and EVENT_ID not in others.columns:
         others = _with_ids(others, id_mode)
     unknown = _unknown_source(others)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import logging
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.storagelevel import StorageLevel
 
-from logweave.functions.shape import now_text
+from logweave.functions.shape import now_text, scratch_path
 from logweave.operators import flat
 from logweave.schema import EVENT_COLUMNS, event_schema
 
@@ -41,6 +40,9 @@ def stored_schema() -> StructType:
     )
 
 
+# The partition column of a staged table.
+SOURCE_KEY = "_source_key"
+
 # What the table is partitioned by: the source, and the day of the load.
 _PARTITIONS = ("source_type", "load_date")
 # Point lookups skip files by these filters; ids are sorted within files besides.
@@ -125,16 +127,16 @@ def _resolved(rows: DataFrame, round_col: str) -> DataFrame:
 
 
 def stage_by_source(raw: DataFrame, path: str, source_col: str = "source_type") -> DataFrame:
-    """Write a mixed raw table partitioned by source and read it back.
+    """Write a mixed raw table partitioned by source and read it back, with ``SOURCE_KEY``.
 
     One pass over the input; afterwards every branch of ``normalize_mixed``
     reads its own partition and no other.
     """
-    raw.withColumn("source_key", F.lower(source_col)).write.mode("overwrite").option(
+    keyed = raw.withColumn(SOURCE_KEY, F.lower(source_col))
+    keyed.write.mode("overwrite").option(
         "maxRecordsPerFile", _ROWS_PER_FILE
-    ).partitionBy("source_key").parquet(path)
-    staged = raw.sparkSession.read.parquet(path)
-    return staged.drop(source_col).withColumnRenamed("source_key", source_col)
+    ).partitionBy(SOURCE_KEY).parquet(path)
+    return raw.sparkSession.read.schema(keyed.schema).parquet(path)
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
@@ -337,11 +339,3 @@ def write_csv(events: DataFrame, path: str) -> None:
     flat.export_rows(events).write.mode("overwrite").csv(
         path, header=True, escape='"', emptyValue="", nullValue=""
     )
-
-
-def scratch_path(spark: SparkSession, purpose: str) -> str:
-    """A fresh path in the folder that all of the cluster reaches, ``spark.checkpoint.dir``."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
-    return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -544,6 +544,7 @@ def staged_sources(spark, sf_dir):
     )
     staged = store.stage_by_source(mixed, store.scratch_path(spark, "staged"))
     events = dispatch.normalize_mixed(staged, id_mode="content")
+    events = events.withColumn("source_type", F.lower("source_type"))
     return dispatch.outcome_counts(events, "source_type")
 
 
@@ -918,13 +919,16 @@ def sysmon_files(spark, sf_dir):
 
 @query
 def wel_files(spark, sf_dir):
-    """CSV files with a header, a quoted break in one cell, read by header."""
+    """CSV files of two layouts with headers of their own, a quoted break in one cell."""
     path = store.scratch_path(spark, "csv")
     rows = rawlogs.wel_rows(rawlogs.events_table(spark, sf_dir)).withColumn(
         "Message", F.concat(F.lit('said "'), "TargetUserName", F.lit('",\nthen left'))
     )
-    rows.drop("row_id").write.csv(path, header=True, escape='"', quoteAll=True)
-    events = wel.normalize_wel(records.read_wel(spark, path), keep=[records.SOURCE_FILE])
+    for k in range(2):
+        part = rows.filter(F.col("row_id") % 2 == k).drop("row_id")
+        columns = part.columns[::-1] if k else part.columns
+        part.select(*columns).write.csv(f"{path}/layout={k}", header=True, escape='"', quoteAll=True)
+    events = wel.normalize_wel(records.read_wel(spark, f"{path}/layout=*", multi_line=True))
     return events.groupBy(
         F.col("event.original_event_id").alias("code"),
         F.col("_status").alias("status"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logweave.functions.fixed_values import LINE_BREAK
-from logweave.functions.shape import EVENT_ID
+from logweave.functions.shape import EVENT_ID, scratch_path
 from logweave.functions.text import strip
 from logweave.sources import wel
 
@@ -59,7 +59,7 @@ def sysmon_records(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 def wel_records(df: DataFrame, raw: str = "raw") -> DataFrame:
     """One row per CSV row of a document with its own header."""
-    return wel.rows_from_text(df, raw)
+    return numbered_ids(wel.rows_from_text(df, raw), "_place").drop("_place")
 
 
 def _json_pieces(text: Column, element: Column, line: Column) -> Column:
@@ -122,7 +122,7 @@ def rejected_files(
 
 
 def _read_text(spark: SparkSession, path: str, max_file_mb: int | None, **options) -> DataFrame:
-    lines = _within_limit(spark.read.options(**options).text(path), max_file_mb)
+    lines = _within_limit(spark.read.format("text").options(**options).load(path), max_file_mb)
     return lines.select(
         F.make_valid_utf8("value").alias("raw"),
         F.col("_metadata.file_path").alias(SOURCE_FILE),
@@ -169,21 +169,31 @@ def fragments(pieces: DataFrame, raw: str = "raw") -> DataFrame:
 def read_wel(
     spark: SparkSession,
     path: str,
-    multi_line: bool = True,
-    max_file_mb: int | None = None,
+    multi_line: bool = False,
+    max_file_mb: float | None = None,
 ) -> DataFrame:
-    """Rows of CSV exports that share one header, plus ``source_file``.
+    """Rows of CSV exports, each file with a header of its own, plus ``source_file``.
 
-    With ``multi_line`` a cell may hold line breaks and every file is one task;
-    without it, large files are split.
+    Large files are split by line.  With ``multi_line`` a cell may hold line breaks, and a file is one
+    task's work; without it, a line with an open quote fails.  Cells are found by position, so that orders,
+    repeated headers and headers that differ in case give what a text column with the same document gives.
     """
-    options = {
-        "header": True, "multiLine": multi_line, "quote": '"', "escape": '"',
-        "mode": "PERMISSIVE", "encoding": "UTF-8", "ignoreLeadingWhiteSpace": False,
-        "ignoreTrailingWhiteSpace": False,
-    }
-    header = spark.read.options(**options, inferSchema=False).csv(path).columns
-    columns = ", ".join(f"`{c}` STRING" for c in [*header, wel.EXTRA_CELL])
-    rows = spark.read.options(**options, enforceSchema=True).schema(columns).csv(path)
-    rows = _within_limit(rows, max_file_mb)
-    return rows.select("*", F.col("_metadata.file_path").alias(SOURCE_FILE))
+    if multi_line:
+        return wel_records(_read_text(spark, path, max_file_mb, wholetext=True))
+    lines = _within_limit(spark.read.text(path), max_file_mb)
+    rows = lines.select(
+        strip(F.make_valid_utf8("value")).alias("raw"),
+        F.col("_metadata.file_path").alias(SOURCE_FILE),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_place"),
+    ).filter("raw <> ''")
+    # A file's header is the first line of its first block; lines of a block keep their order.  The table of
+    # headers, a row per file, is written first, so that Spark knows its size when it picks the join.
+    first = rows.filter("_start = 0").groupBy(SOURCE_FILE).agg(
+        F.min(F.struct("_place", "raw")).alias("_first")
+    ).select(SOURCE_FILE, F.col("_first._place").alias("_at"), F.col("_first.raw").alias("_line"))
+    folder = scratch_path(spark, "headers")
+    first.write.parquet(folder)
+    headers = spark.read.schema(first.schema).parquet(folder)
+    below = rows.join(headers, SOURCE_FILE).filter("_place <> _at")
+    return wel.rows_from_lines(below.select("raw", SOURCE_FILE, "_line"), "_line")

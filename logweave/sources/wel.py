@@ -74,6 +74,25 @@ def logon_type_name(logon_type: Column) -> Column:
     )
 
 
+def cells(record: Column) -> Column:
+    """Cells of a CSV record, without their quotes."""
+    found = F.regexp_extract_all(
+        F.concat(F.lit(","), record), F.lit(rf",({_CELL})"), F.lit(1)
+    )
+    return F.transform(
+        found,
+        lambda c: F.when(
+            F.startswith(c, F.lit('"')),
+            F.replace(
+                F.regexp_replace(
+                    c, F.lit(r'(?s)^"((?:[^"]++|"")*+)"?(.*)$'), F.lit("$1$2")
+                ),
+                F.lit('""'), F.lit('"'),
+            ),
+        ).otherwise(c),
+    )
+
+
 def rows_from_text(df: DataFrame, raw: str = "raw") -> DataFrame:
     """CSV documents in a text column: a row per CSV row, as ``_header`` and ``_cells``.
 
@@ -82,38 +101,36 @@ def rows_from_text(df: DataFrame, raw: str = "raw") -> DataFrame:
     becomes the text of the row.
     """
     others = [F.col(f"`{c}`") for c in df.columns if c != raw]
-
-    def cells(record: Column) -> Column:
-        found = F.regexp_extract_all(
-            F.concat(F.lit(","), record), F.lit(rf",({_CELL})"), F.lit(1)
-        )
-        return F.transform(
-            found,
-            lambda c: F.when(
-                F.startswith(c, F.lit('"')),
-                F.replace(
-                    F.regexp_replace(
-                        c, F.lit(r'(?s)^"((?:[^"]++|"")*+)"?(.*)$'), F.lit("$1$2")
-                    ),
-                    F.lit('""'), F.lit('"'),
-                ),
-            ).otherwise(c),
-        )
-
     records = df.select(
         *others,
         F.filter(
             F.regexp_extract_all(strip(F.col(raw)), F.lit(_CSV_RECORD), F.lit(0)),
             lambda r: r != "",
         ).alias("_records"),
-    ).filter(F.size("_records") > 1)
+    )
     return records.select(
         *others,
         F.transform(cells(F.get("_records", F.lit(0))), strip).alias("_header"),
-        F.explode(F.slice("_records", 2, F.size("_records") - 1)).alias(raw),
+        F.posexplode_outer(
+            F.slice("_records", 2, F.greatest(F.size("_records") - 1, F.lit(0)))
+        ).alias("_place", raw),
     ).withColumn("_cells", cells(F.col(raw)))
 
 
+def rows_from_lines(lines: DataFrame, header: str, raw: str = "raw") -> DataFrame:
+    """The same of lines that carry the text of their file's header in a column ``header``.
+
+    A line with an open quote has no cells and fails.
+    """
+    others = [F.col(f"`{c}`") for c in lines.columns if c not in (raw, header)]
+    quotes = F.length(raw) - F.length(F.replace(F.col(raw), F.lit('"')))
+    return lines.select(
+        *others, raw,
+        F.transform(cells(F.col(header)), strip).alias("_header"),
+        F.when(quotes % 2 == 0, cells(F.col(raw))).alias("_cells"),
+    )
+
+
 def _canonical_from_columns(df: DataFrame, keep: list[str]) -> DataFrame:
     """Canonical columns of a table read with its header; no data is scanned for it."""
     csv_columns = [c for c in df.columns if c not in keep]
@@ -146,7 +163,7 @@ def _canonical_from_arrays(df: DataFrame, keep: list[str], raw: str) -> DataFram
         return sql_strip(f"coalesce(get(_cells, {at}), '')") + f" AS _c_{name}"
 
     fields = [cell(name, spellings) for name, spellings in fixed.WINDOWS_COLUMNS]
-    fields.append("size(_cells) > size(_header) AS _too_long")
+    fields.append("coalesce(size(_cells) > size(_header), FALSE) AS _too_long")
     fields.append(f"`{raw}` AS _raw")
     return computed_once(df.withColumn("_backwards", F.reverse("_header")), keep, fields)
 

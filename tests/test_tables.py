@@ -1,15 +1,18 @@
 """Invariants over whole tables, files, streams and plans."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from logweave import configure
 from logweave.functions import ids, text
 from logweave.operators import dispatch, flat, search, store
 from logweave.plans import rawlogs
 from logweave.plans.queries import _mixed_load, _stored, _syslog_load
 from logweave.schema import EVENT_COLUMNS, event_schema
-from logweave.sources import records, sysmon, syslog, wel
+from logweave.sources import records, sysmon, syslog, wazuh, wel
 from logweave.streaming import pipeline
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -149,13 +152,52 @@ def test_invalid_utf8_and_large_files(spark, tmp_path):
 
 def test_csv_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Id,Message\n4624,"x\ny"\n4625\n4688,m,extra\n')
-    rows = records.read_wel(spark, str(tmp_path / "a.csv"))
-    events = wel.normalize_wel(rows, keep=[records.SOURCE_FILE])
+    rows = records.read_wel(spark, str(tmp_path / "a.csv"), multi_line=True)
+    events = wel.normalize_wel(rows)
     got = {r[0]: (r[1], r[2]) for r in events.select(
         "event.original_event_id", "_status", F.col("log.original_log")["Message"]).collect()}
     assert got == {"4624": ("ok", "x\ny"), "4625": ("ok", ""), "4688": ("failed", "m")}
 
 
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_csv_headers_of_each_file(spark, tmp_path, multi_line):
+    files = {"a": "Id,Computer,User\n4624,h,u\n", "b": "User,Id,Computer\nu,4624,h\n",
+             "c": "id,Id,Computer\n1,4624,h\n", "d": "Id,Computer,Computer\n4624,x,h\n",
+             "e": "Id,Computer\n4624,h,\n4624,h\n"}
+    for name, text_ in files.items():
+        (tmp_path / f"{name}.csv").write_text(text_)
+    read = records.read_wel(spark, str(tmp_path / "*.csv"), multi_line=multi_line)
+    texts = spark.createDataFrame([(n, t) for n, t in files.items()], "source_file STRING, raw STRING")
+
+    def got(rows):
+        events = wel.normalize_wel(rows).select("source_file", "_status", "host.name", "event.original_event_id")
+        return sorted((r[0][-5:].removesuffix(".csv")[-1], *r[1:]) for r in events.collect())
+
+    assert got(read) == got(records.wel_records(texts))
+    assert [r[1:3] for r in got(read)] == [("ok", "h")] * 4 + [("failed", "h"), ("ok", "h")]
+
+
+def test_open_quote_fails_by_line(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Id,Message\n4624,"x\ny"\n4625,z\n')
+    events = wel.normalize_wel(records.read_wel(spark, str(tmp_path / "a.csv")))
+    assert sorted(r[0] for r in events.select("_status").collect()) == ["failed", "failed", "ok"]
+
+
+def test_repeated_keys_are_read_where_configured(spark):
+    alert = '{"rule":{"level":3,"level":7,"groups":["a"]},"agent":{"name":"h"},"agent":{"name":"g"}}'
+    session = spark.newSession()
+    configure(session)
+    [row] = wazuh.normalize_wazuh(session.createDataFrame([(alert,)], "raw STRING")).select(
+        "_status", "host.name", "event.severity").collect()
+    assert tuple(row) == ("ok", "g", 35)
+
+
+def test_mixed_input_is_read_once(spark):
+    text_plan = plan(_mixed_load(spark, SF_DIR))
+    scans = re.findall(r"PartitionFilters: \[isnotnull\(_source_key#\d+\), \(_source_key#\d+ = (\w+)\)", text_plan)
+    assert "events.parquet" not in text_plan and sorted(scans) == sorted(dispatch.supported_sources())
+
+
 def test_pretty_json(spark):
     [row] = store.export_json(_syslog_load(spark, SF_DIR).limit(1), pretty=True).collect()
     assert row[0].startswith('{\n  "schema_version"')
