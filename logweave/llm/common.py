@@ -126,7 +126,7 @@ def as_binary(text: Column) -> Column:
 class WordIds(dict):
     """64-bit hash of each word, remembered; ``bound()`` between batches keeps it small."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 19):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:

@@ -7,10 +7,9 @@ bands of registers find candidates; the similarity of a candidate pair is estima
 registers jointly by maximum likelihood, and what isn't ruled out by that is verified on the full sets.
 
 Equal sets are one node.  In each bucket every node is compared with the first one only, and the links that
-hold are joined to components.  Buckets whose members are then all in one component are done.  In the others, nodes of
-different components are compared by their registers, inside of a task and in blocks; the candidates are verified
-like the others, first the sixteen likeliest for two components, then all that are left.  So no
-link between components is lost, no bucket is capped, and pairs within a component are never listed.
+hold are joined to components.  Buckets whose members are then all in one component are done.  In the others
+all nodes of different components are compared on their full sets, inside of a task and in blocks; only links that join
+components leave the task.  So no link between components is lost, no bucket is capped, and pairs within a bucket are never listed.
 
 * Words are lower-cased (A-Z) and split at ``[\\x20\\x09-\\x0D]+``.  With fewer words than a shingle, the whole
   sequence is the one shingle; without words (or with a null text) the set is empty and linked with nothing.
@@ -71,8 +70,8 @@ def sketch(members: np.ndarray) -> np.ndarray:
     if not len(members):
         return np.zeros(REGISTERS, np.uint16)
     low = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(members), 1024):
-        values = members[None, k : k + 1024] * _TIMES
+    for k in range(0, len(members), 256):
+        values = members[None, k : k + 256] * _TIMES
         values ^= _PLUS
         values ^= values >> np.uint64(31)
         values *= np.uint64(0x9E3779B97F4A7C15)
@@ -186,18 +185,20 @@ def _registers(values: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint16).reshape(len(values), REGISTERS)
 
 
+def sets_of(wanted: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and members of the wanted nodes, computed once."""
+    wanted = common.written(wanted.join(nodes.select("node", "doc_id", "tag"), "node"), "near-wanted")
+    texts = common.written_matches(rows, wanted, ["doc_id", "tag"], "near-texts")
+    # Rows that repeat an id and a text give their node's set more than once.
+    return common.written(full_sets(texts).dropDuplicates(["node"]), "near-sets")
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) with 100 * intersection >= percent * union of the full sets.
 
     Each node's set is that of its first document; only the texts of nodes in pairs move.
     """
-    wanted = common.written(
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        .join(nodes.select("node", "doc_id", "tag"), "node"),
-        "near-wanted",
-    )
-    texts = common.written_matches(rows, wanted, ["doc_id", "tag"], "near-texts")
-    sets = common.written(full_sets(texts), "near-sets")
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, rows)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("members").alias(f"s_{c}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,56 +238,64 @@ def open_buckets(found: DataFrame, roots: DataFrame) -> DataFrame:
     )
 
 
-def across(members: DataFrame, nodes: DataFrame, tested: DataFrame | None, most: int, threshold: float) -> DataFrame:
-    """Candidate pairs between components: for each two components and group its ``most`` likeliest ones (0: all).
+#: Columns of one dense slice of a group's incidence matrix.
+SLICE = 8192
+
 
-    A bucket's nodes are dealt into blocks; each pair of blocks is a group of at most ``2 * BLOCK`` nodes, whose
-    registers are compared as arrays.  Only pairs that pass leave the task.
+def across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components, on full sets: enough of them to join all that are linked.
+
+    A bucket's nodes are dealt into blocks; each pair of blocks is a group of at most ``2 * BLOCK`` nodes.  Its
+    intersections are one product of the incidence matrix of the shingles that two nodes of the group share at least,
+    in slices.  No pair leaves the task but for the links that join two components of the group.
     """
-    dealt = members.join(nodes.select("node", "n", "registers"), "node").withColumn(
+    dealt = members.join(sets, "node").withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     )
     spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "node", "root", "n", "registers",
+        "block", "node", "root", "members",
     )
 
     def compare(key, table):
-        node, root, block, n = (table.column(c).to_numpy() for c in ("node", "root", "block", "n"))
-        regs = _registers(table.column("registers").to_pylist())
-        i, j = key[1].as_py(), key[2].as_py()
-        right = np.flatnonzero(block == j)
-        out = {"a": [], "b": [], "est": [], "of": [], "to": []}
-        for k in np.flatnonzero(block == i):
-            other = right[(root[right] != root[k]) & ((node[right] > node[k]) if i == j else True)]
-            other = other[np.minimum(n[other], n[k]) >= threshold * np.maximum(n[other], n[k])]
-            if not len(other):
-                continue
-            # Far fewer equal registers than the threshold asks for need no estimate.
-            other = other[(regs[other] == regs[k]).mean(axis=1) >= threshold - 2 * MARGIN]
-            if not len(other):
-                continue
-            est = likely(regs[k][None], regs[other], np.full(len(other), float(n[k])), n[other].astype(float))
-            good = est >= threshold - MARGIN
-            other, est = other[good], est[good]
-            out["a"] += [int(node[k])] * len(other)
-            out["b"] += node[other].tolist()
-            out["est"] += est.tolist()
-            out["of"] += [int(root[k])] * len(other)
-            out["to"] += root[other].tolist()
-        found = pa.table({c: pa.array(v, pa.float64() if c == "est" else pa.int64()) for c, v in out.items()})
-        if most and found.num_rows > most:
-            frame = found.to_pandas().sort_values(["est", "a", "b"], ascending=[False, True, True])
-            frame = frame[(frame.groupby(["of", "to"]).cumcount() < most)]
-            found = pa.Table.from_pandas(frame, found.schema, preserve_index=False)
-        return found.select(["a", "b"])
+        node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
+        held = [np.frombuffer(m, np.uint64) for m in table.column("members").to_pylist()]
+        size = np.array([len(m) for m in held], np.float64)
+        owner = np.repeat(np.arange(len(held)), size.astype(np.int64))
+        _, place, count = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        number = np.cumsum(count > 1) - 1
+        shared = count[place] > 1
+        owner, column = owner[shared], number[place[shared]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        left, right = (np.flatnonzero(block == key[k].as_py()) for k in (1, 2))
+        both = np.zeros((len(left), len(right)), np.float64)
+        for low in range(0, int(number[-1]) + 1, SLICE):
+            k = slice(*np.searchsorted(column, [low, low + SLICE]))
+            dense = np.zeros((len(held), SLICE), np.float32)
+            dense[owner[k], column[k] - low] = 1
+            both += dense[left] @ dense[right].T
+        union = size[left][:, None] + size[right] - both
+        linked = (100 * both >= percent * union) & (root[left][:, None] != root[right])
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out_a, out_b = [], []
+        for x, y in zip(*[v.tolist() for v in np.nonzero(linked)], strict=True):
+            p, q = find(int(root[left[x]])), find(int(root[right[y]]))
+            if p != q:
+                parent[p] = q
+                out_a.append(int(node[left[x]]))
+                out_b.append(int(node[right[y]]))
+        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
     common.ship(members.sparkSession)
-    pairs = (
-        spread.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
-    return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
+    return spread.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def find_roots(nodes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -298,23 +307,17 @@ def find_roots(nodes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
         found.join(leads.filter("size > 1"), "key").filter("node <> lead")
         .select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
     )
-    tested = common.written(pairs, "near-pairs")
-    likely_pairs = common.written(estimated(tested, nodes, threshold), "near-likely")
+    likely_pairs = common.written(
+        estimated(common.written(pairs, "near-pairs"), nodes, threshold), "near-likely"
+    )
     links = common.written(verified(likely_pairs, nodes, rows, percent), "near-links")
     roots = components(links)
-    for most in (16, 0):
-        members = common.written(open_buckets(found, roots), "near-open")
-        if members.isEmpty():
-            break
-        pairs = common.written(across(members, nodes, tested, most, threshold), "near-pairs")
-        if pairs.isEmpty():
-            continue
-        tested = tested.unionByName(pairs)
-        more = common.written(verified(pairs, nodes, rows, percent), "near-links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = components(links)
-    return roots
+    members = common.written(open_buckets(found, roots), "near-open")
+    if members.isEmpty():
+        return roots
+    sets = sets_of(members.select("node").distinct(), nodes, rows)
+    more = common.written(across(members, sets, percent), "near-links")
+    return roots if more.isEmpty() else components(links.unionByName(more))
 
 
 def near_dedup(documents: DataFrame, percent: int = 85) -> DataFrame:
