@@ -189,11 +189,11 @@ def test_trigram_queries_hold(rule):
         "assign": ["password = 'abcdef1'", "API_KEY:zzzzzz", "apikey=123456", "xToKeN=abc.def", "secret=abcdefg"],
         "access": ["AKIA" + "B" * 16], "hex": ["0123456789abcdef01234567"], "pem": ["-----BEGIN RSA PRIVATE KEY-----"],
         "github": ["ghp_" + "a" * 36, "gho_" + "a" * 40], "slack": ["xoxb-1234567890", "xoxs-abcdefghijk"],
-        "jwt": ["eyJhbGciOi.eyJzdWIiOi.abcdefgh1"], "google": ["AIza" + "c" * 35],
+        "jwt": ["eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh1"], "google": ["AIza" + "c" * 35],
     }[rule.kind]
     query = trigrams.query(rule.pattern, rule.folds)
     for text in examples:
-        assert re.search(rule.pattern.replace("(?i:", "(?i:"), text)
+        assert re.search(rule.pattern, text)
         seen = text.lower() if rule.folds else text
         assert query is None or any(all(t in seen for t in c) for c in query)
     assert (query is None) == (rule.kind == "hex")
@@ -211,7 +211,7 @@ def brute_secrets(text):
 def test_secrets(spark, odd, empty, documents):
     hard = ["secret: token: abcdefgh", "password=ab token=token=abcdefgh", "é😀 passwd='longenough' AKIA" + "Z9" * 9,
             "AKIAAKIA" + "Q" * 12, "AKIA" + "Q" * 10 + " AKIA" + "Q" * 16, "a" * 23 + " " + "b" * 30 + "g" + "c" * 24,
-            "api_key\"  := \"x\" apikey: ABCDEF", "ghp_" + "a" * 40 + " xoxb-1234567890-x eyJhbGciOi.eyJzdWIiOi.abcdefgh1",
+            "api_key\"  := \"x\" apikey: ABCDEF", "ghp_" + "a" * 40 + " xoxb-1234567890-x eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh1",
             "PASSWORD=\"abcdef" * 3, "-----BEGIN EC PRIVATE KEY-----\n", "toKen=ſſabcdefg"]
     frame = spark.createDataFrame([helpers.row(k, t) for k, t in enumerate(hard)], helpers.SCHEMA)
     for table in (odd, frame, documents, empty):
