@@ -29,6 +29,18 @@ def test_stages(spark, sf):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, docs.collect()))
 
 
+def test_near_dedup_stage_links_from_80_percent(spark, sf):
+    """Copies with two words replaced: 0.818 and exactly 0.8 alike are one group, 0.798 is not."""
+    rows = []
+    for k, length in enumerate((104, 94, 93)):
+        words = [f"d{k}w{x}" for x in range(length)]
+        edited = [f"new{x}" if x in (20, 60) else w for x, w in enumerate(words)]
+        rows += [helpers.row(2 * k, " ".join(words)), helpers.row(2 * k + 1, " ".join(edited))]
+    kept = corpus_pipeline.near_dedup_stage(spark, spark.createDataFrame(rows, helpers.SCHEMA), sf)
+    near = helpers.brute_near([(r[0], r[1]) for r in rows], percent=80)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [d for d, _, c in near if d == c] == [0, 2, 4, 5]
+
+
 def test_empty_and_odd(spark, sf, odd, empty):
     for start in (empty, odd):
         docs = start
