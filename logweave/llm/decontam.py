@@ -6,7 +6,7 @@ symbols: each step emits the current word and moves on if a random bit of (step,
 a few edits apart then differ in few places.  Each repetition samples ``SAMPLED`` of those places as a bucket key;
 a window and an item of its length that share a key in any repetition are compared exactly.
 
-* Repetitions: as many as the items themselves need for the target recall at the largest distance allowed.
+* Repetitions: for each length of items as many as these need for the target recall at the largest distance allowed.
 * Only windows that share enough runs of ``q`` words with an item, each within ``k`` words of its place there, are
   embedded.  That loses none: ``k`` edits touch at most ``k * q`` of the ``n - q + 1`` runs of an item of ``n`` words.
 * Items go to the executors in blocks of ``BLOCK`` items, each block against all documents; items of fewer than
@@ -32,6 +32,9 @@ from logweave.llm import common
 
 RATE, LEAST, SAMPLED, BLOCK = 0.2, 5, 3, 20_000
 TARGET_RECALL = 0.99
+#: Edited copies at least that the repetitions of a length are measured on.
+TRIALS = 1000
+ROUND = 8
 
 
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
@@ -78,6 +81,13 @@ def plan(length: int, repetitions: int, seed: int = 9) -> tuple[np.ndarray, np.n
     return places, random.integers(1, 1 << 63, repetitions, np.uint64)
 
 
+def rounds(length: int, repetitions: int) -> tuple[np.ndarray, np.ndarray]:
+    """The plan in rounds of ``ROUND`` repetitions, so that more repetitions begin with the same ones."""
+    parts = [plan(length, ROUND, 9 + k) for k in range(-(-repetitions // ROUND))]
+    places, seeds = (np.concatenate(v) for v in zip(*parts, strict=True))
+    return places[:repetitions], seeds[:repetitions]
+
+
 def distances(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Edit distances of the rows of a (padded with 0, of the given lengths) and b."""
     n = b.shape[1]
@@ -92,41 +102,57 @@ def distances(a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return result
 
 
+def edited(words: np.ndarray, random: np.random.Generator) -> np.ndarray:
+    """A window of an item's length (padded with 0) after the largest number of random edits allowed."""
+    changed, edits = words.tolist(), int(RATE * len(words))
+    kinds, fresh = random.integers(3, size=edits).tolist(), random.integers(1, 1 << 62, edits).tolist()
+    for kind, new, at in zip(kinds, fresh, random.random(edits).tolist(), strict=True):
+        p = int(at * len(changed))
+        if kind == 0:
+            changed[p] = new
+        elif kind == 1:
+            changed.insert(p, new)
+        else:
+            del changed[p]
+    window = np.zeros(len(words), np.uint64)
+    cut = changed[: len(words)]
+    window[: len(cut)] = cut
+    return window
+
+
 def repetitions_for(items: list[np.ndarray], target: float, seed: int = 4) -> int:
-    """So many that items with the largest number of edits still meet one bucket with the target's chance.
+    """So many that items of one length, at the largest distance, meet one bucket with the target's chance.
 
-    Measured on (at most 500 of) the items with random substitutions, insertions and deletions.
+    Measured on edited copies of all items, ``TRIALS`` at least, with the very repetitions of ``rounds``.
     """
-    random = np.random.default_rng(seed)
-    met = []
-    for words in items[:: max(1, len(items) // 500)]:
-        changed = words.tolist()
-        for _ in range(int(RATE * len(words))):
-            kind, p = random.integers(3), int(random.integers(len(changed)))
-            if kind == 0:
-                changed[p] = int(random.integers(1, 1 << 62))
-            elif kind == 1:
-                changed.insert(p, int(random.integers(1, 1 << 62)))
-            else:
-                del changed[p]
-        window = np.zeros(len(words), np.uint64)
-        cut = changed[: len(words)]
-        window[: len(cut)] = cut
-        places, seeds = plan(len(words), 64, seed)
-        keys = walk(np.stack([words, window]), places, seeds)
-        met.append((keys[0] == keys[1]).mean())
-    # Items differ: the mean chance to meet in none of R repetitions is averaged over them.
-    met = np.array(met)
-    need = 1
-    while np.mean((1 - met) ** need) > 1 - target and need < 512:
-        need += 1
-    return need
+    random, length = np.random.default_rng(seed), len(items[0])
+    left = [words for words in items for _ in range(-(-TRIALS // len(items)))]
+    most = int((1 - target) * len(left))
+    left = np.stack([np.stack([words, edited(words, random)]) for words in left])
+    done = 0
+    while True:
+        places, seeds = (v[done:] for v in rounds(length, done + ROUND))
+        met = np.concatenate([
+            walk(part[:, 0], places, seeds) == walk(part[:, 1], places, seeds)
+            for part in np.array_split(left, -(-len(left) // 512))
+        ])
+        unmet = (~np.logical_or.accumulate(met, axis=1)).sum(axis=0)
+        if unmet[-1] <= most:
+            return done + int(np.argmax(unmet <= most)) + 1
+        left, done = left[~met.any(axis=1)], done + ROUND
+
+
+def repetitions_by_length(items: list[tuple[int, np.ndarray]], target: float = TARGET_RECALL) -> dict[int, int]:
+    by_length: dict[int, list[np.ndarray]] = {}
+    for _, words in items:
+        by_length.setdefault(len(words), []).append(words)
+    return {n: repetitions_for(same, target) for n, same in by_length.items()}
 
 
 class Index:
     """Items by length, their bucket keys, and the runs of words that a match can't lack."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]], target: float = TARGET_RECALL):
+    def __init__(self, items: list[tuple[int, np.ndarray]], repetitions: dict[int, int] | None = None):
         self.items = items
         words = [w for _, w in items]
         self.edits = np.array([int(RATE * len(w)) for w in words], np.int64)
@@ -134,13 +160,16 @@ class Index:
         self.q = int(min([3, *(self.lengths // (self.edits + 1))]))
         #: Runs of q words that a window within the edits shares with its item at least.
         self.needed = np.maximum(self.lengths + 1 - self.q * (self.edits + 1), 1)
-        self.repetitions = repetitions_for(words, target)
+        self.repetitions = repetitions or repetitions_by_length(items)
         self.by_length = {
             n: np.flatnonzero(self.lengths == n) for n in sorted(set(self.lengths.tolist()))
         }
         self.keys = {}
+        #: Place of an item among those of its length.
+        self.place = np.zeros(len(words), np.int64)
         for n, which in self.by_length.items():
-            places, seeds = plan(n, self.repetitions)
+            self.place[which] = np.arange(len(which))
+            places, seeds = rounds(n, self.repetitions[n])
             self.keys[n] = (places, seeds, walk(np.stack([words[k] for k in which]), places, seeds))
         grams = [common.rolling(w, self.q) for w in words]
         gram = np.concatenate(grams)
@@ -152,7 +181,7 @@ class Index:
         self.filter[(self.gram & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def windows(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Distinct (document, length, start) of all windows with enough runs of an item's words."""
+        """Distinct (document, start, item) of all windows with enough runs of an item's words."""
         hashes = common.rolling(flat, self.q)
         at = np.flatnonzero(self.filter[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)])
         low = np.searchsorted(self.gram, hashes[at], side="left")
@@ -181,7 +210,7 @@ class Index:
         each = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
         start = np.clip(np.repeat(first, spread) + each, 0, np.repeat(np.maximum(size - 1, 0), spread))
         return np.unique(np.stack([
-            np.repeat(owner[k], spread), np.repeat(self.lengths[item[k]], spread), start
+            np.repeat(owner[k], spread), start, np.repeat(item[k], spread)
         ], axis=1), axis=0)
 
     def matches(self, flat: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -189,35 +218,37 @@ class Index:
         best: dict[tuple[int, int], tuple[int, int]] = {}
         found = self.windows(flat, ends)
         padded = np.concatenate([flat, np.zeros(1, np.uint64)])
-        for n in np.unique(found[:, 1]).tolist():
-            all_rows = found[found[:, 1] == n]
+        length = self.lengths[found[:, 2]]
+        for n in np.unique(length).tolist():
+            all_rows = found[length == n]
             for k in range(0, len(all_rows), 2048):
                 rows = all_rows[k : k + 2048]
-                size = np.minimum(ends[rows[:, 0] + 1] - ends[rows[:, 0]] - rows[:, 2], n)
+                # Rows of a window stand together; its items are compared where they share a key with it.
+                new = np.ones(len(rows), bool)
+                new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
+                of, begin = np.cumsum(new) - 1, ends[rows[new, 0]] + rows[new, 1]
+                size = np.minimum(ends[rows[new, 0] + 1] - begin, n)
                 steps = np.arange(n)
-                place = np.where(steps < size[:, None], (ends[rows[:, 0]] + rows[:, 2])[:, None] + steps, len(flat))
+                place = np.where(steps < size[:, None], begin[:, None] + steps, len(flat))
                 window = padded[place]
                 places, seeds, keys = self.keys[n]
                 mine = walk(window, places, seeds)
-                which = self.by_length[n]
-                meets = np.zeros((len(rows), len(which)), bool)
-                for r in range(self.repetitions):
-                    meets |= mine[:, r, None] == keys[:, r]
-                w, i = np.nonzero(meets)
-                if not len(w):
+                meets = np.flatnonzero((mine[of] == keys[self.place[rows[:, 2]]]).any(axis=1))
+                if not len(meets):
                     continue
-                words = np.stack([self.items[which[x]][1] for x in i])
+                w, i = of[meets], rows[meets, 2]
+                words = np.stack([self.items[x][1] for x in i])
                 apart = distances(window[w], words, size[w])
-                for x in np.flatnonzero(apart <= self.edits[which[i]]):
-                    pair = (int(rows[w[x], 0]), int(which[i[x]]))
-                    value = (int(apart[x]), int(rows[w[x], 2]))
+                for x in np.flatnonzero(apart <= self.edits[i]):
+                    pair = (int(rows[meets[x], 0]), int(i[x]))
+                    value = (int(apart[x]), int(rows[meets[x], 1]))
                     if pair not in best or value < best[pair]:
                         best[pair] = value
         return [(d, self.items[i][0], s, a) for (d, i), (a, s) in best.items()]
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
-    """The items in blocks of bounded size."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, np.ndarray]], dict[int, int]]]:
+    """The items in blocks of bounded size, with the repetitions of each length of items."""
     forms = Forms()
     parts = -(-benchmark.count() // BLOCK)
     for part in range(parts):
@@ -230,7 +261,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
             if len(words) >= LEAST:
                 items.append((row["item_id"], words))
         if items:
-            yield items
+            yield items, repetitions_by_length(items)
 
 
 _INDEXES: dict[int, Index] = {}
@@ -240,7 +271,7 @@ def _index(shared) -> Index:
     """The index of a broadcast, built once per Python worker."""
     if id(shared.value) not in _INDEXES:
         _INDEXES.clear()
-        _INDEXES[id(shared.value)] = Index(shared.value)
+        _INDEXES[id(shared.value)] = Index(*shared.value)
     return _INDEXES[id(shared.value)]
 
 
@@ -252,8 +283,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     rows = documents.select("doc_id", F.xxhash64("text").alias("tag"), common.as_binary(F.col("text")).alias("words"))
 
-    def against(items: list[tuple[int, np.ndarray]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(items)
+    def against(block: tuple[list[tuple[int, np.ndarray]], dict[int, int]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index, forms = _index(shared), Forms()
@@ -269,7 +300,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return common.arrow_map(rows, run, MATCHES)
 
-    found = [against(items) for items in _blocks(benchmark)]
+    found = [against(block) for block in _blocks(benchmark)]
     if not found:
         return spark.createDataFrame([], MATCHES)
     return reduce(DataFrame.unionByName, found)
@@ -278,8 +309,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without a match, with their own columns; each block of items is one pass without a shuffle."""
     spark, clean = documents.sparkSession, documents
-    for items in _blocks(benchmark):
-        clean = common.arrow_map(clean, _clean_rows(spark.sparkContext.broadcast(items)), documents.schema)
+    for block in _blocks(benchmark):
+        clean = common.arrow_map(clean, _clean_rows(spark.sparkContext.broadcast(block)), documents.schema)
     return clean
 
 

@@ -312,6 +312,33 @@ def test_leaks(spark, sf, odd, empty):
     assert decontam.contaminated(odd, benchmark.limit(0)).count() == 0
 
 
+def test_recall_of_each_length():
+    """Long items among many short ones: windows at the largest distance share a key, and are found in documents."""
+    random, items = np.random.default_rng(8), []
+    for n, count in ((9, 600), (150, 8), (300, 8)):
+        items += [(1000 * n + k, random.integers(1, 1 << 62, n, np.uint64)) for k in range(count)]
+    index = decontam.Index(items)
+    for n, found in index.by_length.items():
+        windows, of = [], np.resize(np.arange(len(found)), 600)
+        for k in of:
+            words = items[found[k]][1].copy()
+            words[random.choice(n, int(decontam.RATE * n), replace=False)] = random.integers(
+                1, 1 << 62, int(decontam.RATE * n), np.uint64)
+            windows.append(words)
+        places, seeds, keys = index.keys[n]
+        met = (decontam.walk(np.stack(windows), places, seeds) == keys[of]).any(axis=1)
+        assert met.mean() >= 0.97, n
+        hits = 0
+        for k in range(40):
+            around = random.integers(1, 1 << 62, 30, np.uint64)
+            flat = np.concatenate([around[:17], windows[k], around[17:]])
+            for document, item, start, distance in index.matches(flat, np.array([0, len(flat)])):
+                most, hits = int(decontam.RATE * n), hits + 1
+                assert (document, item) == (0, items[found[of[k]]][0])
+                assert distance <= most and abs(start - 17) <= most
+        assert hits >= 39, n
+
+
 # ---- mixing --------------------------------------------------------------------
 
 
