@@ -585,6 +585,10 @@ ORACLES: dict[str, str] = {
         CAST(sum(event_id) AS BIGINT) AS pid_sum,
         'said "' || max(usr) || '",' || chr(10) || 'then left' AS last_message
         FROM base GROUP BY 1, 2""",
+    "wel_line_files": f"""WITH base AS ({_BASE}) SELECT mode, CAST({_WEL_CODE} AS VARCHAR) AS code,
+        CASE {_SIX} WHEN 5 THEN 'failed' ELSE 'ok' END AS status, count(*) AS events,
+        CAST(sum(event_id) AS BIGINT) AS pid_sum
+        FROM base, (VALUES ('whole'), ('lines')) AS m(mode) GROUP BY 1, 2, 3""",
     "json_files": f"""SELECT mode, outcome, count(*) AS events,
         CAST(sum(event_id % 150) AS BIGINT) AS severity_sum
         FROM (SELECT event_id, {_JSON_ROWS['outcome']} AS outcome FROM events),

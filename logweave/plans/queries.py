@@ -939,6 +939,26 @@ def wel_files(spark, sf_dir):
     )
 
 
+@query
+def wel_line_files(spark, sf_dir):
+    """CSV files without breaks in cells, read whole and split by line."""
+    path = store.scratch_path(spark, "csv")
+    rows = rawlogs.wel_rows(rawlogs.events_table(spark, sf_dir)).drop("row_id")
+    rows.write.csv(path, header=True, escape='"', quoteAll=True)
+    parts = [
+        wel.normalize_wel(read).groupBy(
+            F.lit(mode).alias("mode"),
+            F.col("event.original_event_id").alias("code"),
+            F.col("_status").alias("status"),
+        ).agg(F.count(F.lit(1)).alias("events"), F.sum("process.pid").alias("pid_sum"))
+        for mode, read in (
+            ("whole", records.read_wel(spark, path)),
+            ("lines", records.read_wel(spark, path, multi_line=False)),
+        )
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def json_files(spark, sf_dir):
     """Files of lines read as lines, and as whole documents."""

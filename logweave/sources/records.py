@@ -169,13 +169,13 @@ def fragments(pieces: DataFrame, raw: str = "raw") -> DataFrame:
 def read_wel(
     spark: SparkSession,
     path: str,
-    multi_line: bool = False,
+    multi_line: bool = True,
     max_file_mb: float | None = None,
 ) -> DataFrame:
     """Rows of CSV exports, each file with a header of its own, plus ``source_file``.
 
-    Large files are split by line.  With ``multi_line`` a cell may hold line breaks, and a file is one
-    task's work; without it, a line with an open quote fails.  Cells are found by position, so that orders,
+    A cell may hold line breaks, and a file is one task's work.  Without ``multi_line``, for files known to have
+    no breaks in cells, large files are split by line, and a line with an open quote fails.  Cells are found by position, so that orders,
     repeated headers and headers that differ in case give what a text column with the same document gives.
     """
     if multi_line:

@@ -177,6 +177,13 @@ def test_csv_headers_of_each_file(spark, tmp_path, multi_line):
     assert [r[1:3] for r in got(read)] == [("ok", "h")] * 4 + [("failed", "h"), ("ok", "h")]
 
 
+def test_csv_cells_with_breaks_are_whole_by_default(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Id,Message\n4624,"x\n4688,y\nz"\n4625,z\n')
+    events = wel.normalize_wel(records.read_wel(spark, str(tmp_path / "a.csv")))
+    got = events.select("event.original_event_id", "_status", F.col("log.original_log")["Message"]).collect()
+    assert sorted(map(tuple, got)) == [("4624", "ok", "x\n4688,y\nz"), ("4625", "ok", "z")]
+
+
 def test_open_quote_fails_by_line(spark, tmp_path):
     (tmp_path / "a.csv").write_text('Id,Message\n4624,"x\ny"\n4625,z\n')
     events = wel.normalize_wel(records.read_wel(spark, str(tmp_path / "a.csv")))
