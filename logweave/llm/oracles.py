@@ -82,4 +82,30 @@ SELECT CAST(conv_id AS BIGINT) AS conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op5_chat": OP5, "op1_exact_dedup": OP1, "op6_secret_scan": OP6, "op10_mixing": OP10}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+def _terms(table: str, key: str) -> str:
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"SELECT {key}, unnest(regexp_extract_all({lower}, '{TERM}')) AS term FROM {table}"
+
+
+OP12 = f"""
+WITH d AS ({_terms("documents", "doc_id")}),
+q AS (SELECT item_id, term, count(*) AS q FROM ({_terms("benchmark", "item_id")}) GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+a AS (SELECT count(*) AS n_documents, CAST(sum(n) AS BIGINT) AS n_terms FROM n),
+p AS (SELECT doc_id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_documents + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM p, a GROUP BY term, n_documents),
+m AS (SELECT doc_id, 100 - 25 + ((25 * n * n_documents) // n_terms) AS m FROM n, a),
+s AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank,
+  doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 20
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_chat": OP5, "op1_exact_dedup": OP1, "op6_secret_scan": OP6, "op10_mixing": OP10, "op12_ranked_search": OP12,
+}
