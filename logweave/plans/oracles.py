@@ -585,6 +585,16 @@ ORACLES: dict[str, str] = {
         CAST(sum(event_id) AS BIGINT) AS pid_sum,
         'said "' || max(usr) || '",' || chr(10) || 'then left' AS last_message
         FROM base GROUP BY 1, 2""",
+    "wel_split_files": f"""WITH base AS ({_BASE}), long AS (SELECT *,
+        repeat('said "' || usr || '",' || chr(10) || 'then left' || chr(10), 60) AS m FROM base)
+        SELECT CAST({_WEL_CODE} AS VARCHAR) AS code,
+        CASE {_SIX} WHEN 5 THEN 'failed' ELSE 'ok' END AS status, count(*) AS events,
+        CAST(sum(event_id) AS BIGINT) AS pid_sum, CAST(sum(length(m) - 1) AS BIGINT) AS characters,
+        left(max(m), -1) AS last_message
+        FROM long GROUP BY 1, 2""",
+    "json_array_files": f"""SELECT {_JSON_ROWS['outcome']} AS outcome, count(*) AS events,
+        CAST(sum(event_id % 150) AS BIGINT) AS severity_sum, count(*) AS good FROM events GROUP BY 1""",
+    "invalid_utf8": """SELECT event_id AS row_id, 'caf' || chr(65533) AS message, 'ok' AS status FROM events""",
     "wel_line_files": f"""WITH base AS ({_BASE}) SELECT mode, CAST({_WEL_CODE} AS VARCHAR) AS code,
         CASE {_SIX} WHEN 5 THEN 'failed' ELSE 'ok' END AS status, count(*) AS events,
         CAST(sum(event_id) AS BIGINT) AS pid_sum

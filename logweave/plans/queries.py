@@ -102,8 +102,10 @@ def _syslog_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows a load of syslog leaves in the stored table."""
-    return store.stored_rows(_syslog_load(spark, sf_dir), F.col("iso"))
+    """A stored table, written with one load of syslog and read again."""
+    path = store.scratch_path(spark, "stored")
+    store.write_events(store.stored_rows(_syslog_load(spark, sf_dir), F.col("iso")), path)
+    return store.read_events(spark, path)
 
 
 def _mixed_load(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -959,6 +961,61 @@ def wel_line_files(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@query
+def wel_split_files(spark, sf_dir):
+    """Long messages with breaks and quotes: a file is many blocks, and records cross their borders."""
+    path = store.scratch_path(spark, "csv")
+    long = F.repeat(F.concat(F.lit('said "'), "TargetUserName", F.lit('",\nthen left\n')), F.lit(60))
+    rows = rawlogs.wel_rows(rawlogs.events_table(spark, sf_dir)).drop("row_id").withColumn("Message", long)
+    rows.write.csv(path, header=True, escape='"', quoteAll=True)
+    events = wel.normalize_wel(records.read_wel(spark, path))
+    message = F.col("log.original_log")["Message"]
+    return events.groupBy(
+        F.col("event.original_event_id").alias("code"), F.col("_status").alias("status"),
+    ).agg(
+        F.count(F.lit(1)).alias("events"), F.sum("process.pid").alias("pid_sum"),
+        F.sum(F.length(message)).cast("long").alias("characters"), F.max(message).alias("last_message"),
+    )
+
+
+_ARRAY_ROWS = 20_000
+
+
+@query
+def json_array_files(spark, sf_dir):
+    """Files that are one array on one line each, with braces and quotes in texts: cut by many tasks."""
+    path = store.scratch_path(spark, "arrays")
+    raw = _records(spark, sf_dir, rawlogs.JSON_SQL)
+    pad = r"""',"pad":"' || repeat('} \\" ],[{ ', 100) || '"}'"""
+    file = f"CAST(event_id div {_ARRAY_ROWS} AS BIGINT) AS file"
+    rows = raw.selectExpr(file, "1 AS part", f"',' || left(raw, length(raw) - 1) || {pad} AS value")
+    # An array begins with a number, which is no event.
+    ends = raw.selectExpr(file).distinct().selectExpr("file", "inline(array(struct(0, '[5'), struct(2, ']'))) AS (part, value)")
+    rows.unionByName(ends).repartition("file").sortWithinPartitions("file", "part").select("file", "value").write.option(
+        "lineSep", " ").partitionBy("file").text(path)
+    events = cef.normalize_json(records.read_json(spark, f"{path}/file=*", "cef"))
+    return events.groupBy(F.col("event.outcome").alias("outcome")).agg(
+        F.count(F.lit(1)).alias("events"), F.sum("event.severity").alias("severity_sum"),
+        F.count_if(F.col("_status") == "ok").alias("good"),
+    )
+
+
+@query
+def invalid_utf8(spark, sf_dir):
+    """Bytes that are no UTF-8 become replacement characters, and lose no record."""
+    path = store.scratch_path(spark, "bytes")
+    raw = _records(spark, sf_dir, "iso || ' ' || host || ' app: caf'")
+    # A lone byte of a longer character, written as Latin-1.
+    raw.selectExpr("raw || chr(233) || ' ' || CAST(event_id AS STRING) AS value").write.option(
+        "encoding", "ISO-8859-1").csv(path, quote="", escape="", sep="\x01")
+    events = syslog.normalize_syslog(records.read_lines(spark, path))
+    message = F.col("log.original_log")["msg"]
+    return events.select(
+        F.regexp_extract(message, r" (\d+)$", 1).cast("long").alias("row_id"),
+        F.regexp_replace(message, r" \d+$", "").alias("message"), F.col("_status").alias("status"),
+    )
+
+
 @query
 def json_files(spark, sf_dir):
     """Files of lines read as lines, and as whole documents."""
@@ -982,18 +1039,14 @@ def file_size_guard(spark, sf_dir):
     path = store.scratch_path(spark, "sizes")
     raw = _records(spark, sf_dir, rawlogs.SYSLOG_SQL)
     # Files of some few records each, and files that one long record takes over the limit.
-    raw.filter(F.col("event_id") % 10 != 0).select("raw").write.text(f"{path}/part=a")
+    raw.filter(F.col("event_id") % 10 != 0).select("raw").write.option("maxRecordsPerFile", 2000).text(f"{path}/part=a")
     raw.filter(F.col("event_id") % 10 == 0).select(
         F.concat("raw", F.repeat(F.lit("x"), F.lit(2_000_000))).alias("raw")
     ).write.option("maxRecordsPerFile", 2).text(f"{path}/part=b")
     files, limit = f"{path}/part=*", 1.5
-    kept = records.read_lines(spark, f"{path}/part=b", max_file_mb=limit).unionByName(
-        records.read_lines(spark, f"{path}/part=a")
-    )
-    rejected = records.rejected_files(spark, files, limit).filter(
-        F.contains(records.SOURCE_FILE, F.lit("part=b"))
-    )
-    held_back = records.read_lines(spark, files).join(rejected, records.SOURCE_FILE, "left_semi")
+    kept = records.read_lines(spark, files, max_file_mb=limit)
+    held_back = records.read_lines(spark, files).join(
+        records.rejected_files(spark, files, limit), records.SOURCE_FILE, "left_semi")
     count = lambda rows, name: rows.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("records"))
     return count(kept, "kept").unionByName(count(held_back, "rejected"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from logweave.functions.fixed_values import LINE_BREAK
 from logweave.functions.shape import EVENT_ID, scratch_path
 from logweave.functions.text import strip
-from logweave.sources import wel
+from logweave.sources import blocks, wel
 
 SOURCE_FILE = "source_file"
 
@@ -80,23 +80,29 @@ def _array_elements(text: Column) -> Column:
     return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
 
 
+def _objects(elements: Column) -> Column:
+    return F.filter(elements, lambda e: F.startswith(e, F.lit("{")))
+
+
+def _alerts(elements: Column) -> Column:
+    return F.transform(
+        elements,
+        lambda e: F.when(F.startswith(e, F.lit("{")), e).otherwise(
+            F.concat(F.lit('{"_source":'), F.coalesce(F.to_json(F.array(e)), F.lit("[]")), F.lit("}"))
+        ),
+    )
+
+
 def cef_records(df: DataFrame, raw: str = "raw") -> DataFrame:
     """CEF lines and JSON objects; array elements that are no objects are left out."""
     text = strip(F.col(raw))
-    objects = F.filter(_array_elements(text), lambda e: F.startswith(e, F.lit("{")))
-    return _exploded(df, raw, _json_pieces(text, objects, _text_lines(text)))
+    return _exploded(df, raw, _json_pieces(text, _objects(_array_elements(text)), _text_lines(text)))
 
 
 def wazuh_records(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Alert objects; array elements that are no objects stay, as records that fail."""
     text = strip(F.col(raw))
-    elements = F.transform(
-        _array_elements(text),
-        lambda e: F.when(F.startswith(e, F.lit("{")), e).otherwise(
-            F.concat(F.lit('{"_source":'), F.coalesce(F.to_json(F.array(e)), F.lit("[]")), F.lit("}"))
-        ),
-    )
-    return _exploded(df, raw, _json_pieces(text, elements, _text_lines(text)))
+    return _exploded(df, raw, _json_pieces(text, _alerts(_array_elements(text)), _text_lines(text)))
 
 
 # ---- files --------------------------------------------------------------------
@@ -166,6 +172,39 @@ def fragments(pieces: DataFrame, raw: str = "raw") -> DataFrame:
     )
 
 
+def read_json(
+    spark: SparkSession, path: str, kind: str = "wazuh", max_file_mb: float | None = None
+) -> DataFrame:
+    """Records of JSON files: elements of an array, one object over many lines, or lines; plus ``source_file``.
+
+    Large arrays are cut by many tasks, whether they have line ends or not.  ``kind`` is ``wazuh``, where elements that are no
+    objects fail, or ``cef``, where they are left out.  An array with a broken element keeps its other records; a file
+    that isn't one whole array or object is read by line.
+    """
+    chosen = {"wazuh": _alerts, "cef": _objects}[kind]
+    pieces = blocks.json_pieces(spark, path, max_file_mb)
+    states = blocks.json_states(pieces)
+    folder = scratch_path(spark, "kinds")
+    blocks.json_kinds(states).write.parquet(folder)
+    kinds = spark.read.schema(f"{SOURCE_FILE} string, _kind string").parquet(folder)
+
+    def of(rows: DataFrame, wanted: str) -> DataFrame:
+        return rows.join(kinds.filter(F.col("_kind") == wanted), SOURCE_FILE, "left_semi")
+
+    elements = blocks.json_elements(blocks.json_states(of(pieces, "array")))
+    parts = F.array_sort(F.collect_list(F.struct("_start", "_place", "raw")))
+    objects = of(pieces, "object").groupBy(SOURCE_FILE).agg(parts.alias("_parts")).select(
+        F.array_join("_parts.raw", "}").alias("_text"), SOURCE_FILE)
+    return (
+        elements.select(F.explode(chosen(F.col("_elements"))).alias("raw"), SOURCE_FILE)
+        # The last piece ends with the brace or with blanks behind it.
+        .unionByName(objects.select(
+            F.when(F.endswith(strip(F.col("_text")), F.lit("}")), strip(F.col("_text")))
+            .otherwise(F.concat("_text", F.lit("}"))).alias("raw"), SOURCE_FILE))
+        .unionByName(of(read_lines(spark, path, max_file_mb), "lines").select("raw", SOURCE_FILE))
+    )
+
+
 def read_wel(
     spark: SparkSession,
     path: str,
@@ -174,12 +213,13 @@ def read_wel(
 ) -> DataFrame:
     """Rows of CSV exports, each file with a header of its own, plus ``source_file``.
 
-    A cell may hold line breaks, and a file is one task's work.  Without ``multi_line``, for files known to have
-    no breaks in cells, large files are split by line, and a line with an open quote fails.  Cells are found by position, so that orders,
-    repeated headers and headers that differ in case give what a text column with the same document gives.
+    Cells may hold line breaks; a large file is still cut by many tasks (see :mod:`logweave.sources.blocks`).
+    ``multi_line=False`` is for files known to have no breaks in cells: no shuffle is needed then, and a line with an
+    open quote fails.  Cells are found by position, so that orders, repeated headers and headers that differ in case
+    give what a text column with the same document gives.  A file without a row below its header gives none.
     """
     if multi_line:
-        return wel_records(_read_text(spark, path, max_file_mb, wholetext=True))
+        return _csv_records(blocks.csv_pieces(spark, path, max_file_mb))
     lines = _within_limit(spark.read.text(path), max_file_mb)
     rows = lines.select(
         strip(F.make_valid_utf8("value")).alias("raw"),
@@ -187,13 +227,36 @@ def read_wel(
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_place"),
     ).filter("raw <> ''")
-    # A file's header is the first line of its first block; lines of a block keep their order.  The table of
-    # headers, a row per file, is written first, so that Spark knows its size when it picks the join.
-    first = rows.filter("_start = 0").groupBy(SOURCE_FILE).agg(
-        F.min(F.struct("_place", "raw")).alias("_first")
-    ).select(SOURCE_FILE, F.col("_first._place").alias("_at"), F.col("_first.raw").alias("_line"))
-    folder = scratch_path(spark, "headers")
-    first.write.parquet(folder)
-    headers = spark.read.schema(first.schema).parquet(folder)
+    # A file's header is the first line of its first block; lines of a block keep their order.
+    first = rows.filter("_start = 0").groupBy(SOURCE_FILE).agg(F.min(F.struct("_place", "raw")).alias("_first"))
+    headers = _written_headers(first.select(
+        SOURCE_FILE, F.col("_first._place").alias("_at"), wel.header_cells(F.col("_first.raw")).alias("_header")))
     below = rows.join(headers, SOURCE_FILE).filter("_place <> _at")
-    return wel.rows_from_lines(below.select("raw", SOURCE_FILE, "_line"), "_line")
+    return wel.rows_from_lines(below.select("raw", SOURCE_FILE, "_header"))
+
+
+def _written_headers(headers: DataFrame) -> DataFrame:
+    """The table of headers, a row per file, is written first, so that Spark knows its size when it picks the join."""
+    folder = scratch_path(headers.sparkSession, "headers")
+    headers.write.parquet(folder)
+    return headers.sparkSession.read.schema(headers.schema).parquet(folder)
+
+
+def _csv_records(pieces: DataFrame) -> DataFrame:
+    at = F.struct("_start", "_place")
+    filled = strip(F.col("raw")) != ""
+    ends = pieces.filter(filled).groupBy(SOURCE_FILE).agg(
+        F.min(F.struct("_start", "_place", "raw", "_from_out")).alias("_first"), F.max(at).alias("_last"))
+    # A header over several lines: its file's records are cut for it; others have it in one line.
+    more = pieces.join(ends.filter("_first._from_out").select(SOURCE_FILE), SOURCE_FILE, "left_semi")
+    cut = blocks.csv_records(more).filter(filled).groupBy(SOURCE_FILE).agg(
+        F.min(F.struct("_start", "_place", "raw")).alias("_whole"))
+    first = ends.join(cut, SOURCE_FILE, "left")
+    # A carriage return alone ends a record as well.
+    lines = wel.split_records(F.coalesce("_whole.raw", "_first.raw"))
+    headers = _written_headers(first.select(
+        SOURCE_FILE, F.struct("_first._start", "_first._place").alias("_at"), "_last",
+        wel.header_cells(lines[0]).alias("_header"), F.slice(lines, 2, F.size(lines)).alias("_rest")))
+    records = blocks.csv_records(pieces).join(headers, SOURCE_FILE).filter(at.between(F.col("_at"), F.col("_last")))
+    rows = F.when(at == F.col("_at"), F.col("_rest")).otherwise(wel.split_records(F.col("raw")))
+    return wel.rows_from_records(records.select(F.explode(rows).alias("raw"), SOURCE_FILE, "_header"))

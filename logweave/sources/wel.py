@@ -93,6 +93,15 @@ def cells(record: Column) -> Column:
     )
 
 
+def split_records(text: Column) -> Column:
+    """Records of a CSV text; empty lines are none."""
+    return F.filter(F.regexp_extract_all(text, F.lit(_CSV_RECORD), F.lit(0)), lambda r: r != "")
+
+
+def header_cells(record: Column) -> Column:
+    return F.transform(cells(record), strip)
+
+
 def rows_from_text(df: DataFrame, raw: str = "raw") -> DataFrame:
     """CSV documents in a text column: a row per CSV row, as ``_header`` and ``_cells``.
 
@@ -101,34 +110,27 @@ def rows_from_text(df: DataFrame, raw: str = "raw") -> DataFrame:
     becomes the text of the row.
     """
     others = [F.col(f"`{c}`") for c in df.columns if c != raw]
-    records = df.select(
-        *others,
-        F.filter(
-            F.regexp_extract_all(strip(F.col(raw)), F.lit(_CSV_RECORD), F.lit(0)),
-            lambda r: r != "",
-        ).alias("_records"),
+    records = df.select(*others, split_records(strip(F.col(raw))).alias("_records"))
+    # Only the header goes along to the rows.  Both stand in one struct that a generator makes, so that Spark can't
+    # move the header's expression, and with it all of the records, behind the generator of the rows.
+    apart = F.struct(
+        header_cells(F.get("_records", F.lit(0))).alias("_header"),
+        F.slice("_records", 2, F.greatest(F.size("_records") - 1, F.lit(0))).alias("_below"),
     )
-    return records.select(
-        *others,
-        F.transform(cells(F.get("_records", F.lit(0))), strip).alias("_header"),
-        F.posexplode_outer(
-            F.slice("_records", 2, F.greatest(F.size("_records") - 1, F.lit(0)))
-        ).alias("_place", raw),
-    ).withColumn("_cells", cells(F.col(raw)))
+    documents = records.select(*others, F.inline(F.array(apart)))
+    rows = documents.select(*others, "_header", F.posexplode_outer("_below").alias("_place", raw))
+    return rows.withColumn("_cells", cells(F.col(raw)))
 
 
-def rows_from_lines(lines: DataFrame, header: str, raw: str = "raw") -> DataFrame:
-    """The same of lines that carry the text of their file's header in a column ``header``.
+def rows_from_records(records: DataFrame, raw: str = "raw") -> DataFrame:
+    """The same of records that carry their file's ``_header``."""
+    return records.withColumn("_cells", cells(F.col(raw)))
 
-    A line with an open quote has no cells and fails.
-    """
-    others = [F.col(f"`{c}`") for c in lines.columns if c not in (raw, header)]
+
+def rows_from_lines(lines: DataFrame, raw: str = "raw") -> DataFrame:
+    """The same of lines.  A line with an open quote has no cells and fails."""
     quotes = F.length(raw) - F.length(F.replace(F.col(raw), F.lit('"')))
-    return lines.select(
-        *others, raw,
-        F.transform(cells(F.col(header)), strip).alias("_header"),
-        F.when(quotes % 2 == 0, cells(F.col(raw))).alias("_cells"),
-    )
+    return lines.withColumn("_cells", F.when(quotes % 2 == 0, cells(F.col(raw))))
 
 
 def _canonical_from_columns(df: DataFrame, keep: list[str]) -> DataFrame:

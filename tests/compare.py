@@ -25,6 +25,8 @@ def _family(kind):
     kind = str(kind).upper()
     if kind in ("STRING", "VARCHAR"):
         return "text"
+    if kind in ("INT", "INTEGER"):
+        return "int"
     if kind in ("BIGINT", "LONG"):
         return "bigint"
     return kind
