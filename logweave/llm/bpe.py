@@ -22,9 +22,12 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import accumulate
+from functools import lru_cache
+from itertools import accumulate, filterfalse
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,37 +79,74 @@ class Splitter:
 
 
 class Ranks:
-    """Merges by rank, as of a ``.tiktoken`` file: a token in base64 and its rank in each line."""
+    """Merges by rank, as of a ``.tiktoken`` file: a token in base64 and its rank in each line.
 
-    def __init__(self, path: str, most: int = 1 << 19):
+    Ids travel as little-endian bytes of 32 bits.
+    """
+
+    #: Pieces of more bytes are merged one by one, with a heap.
+    SHORT = 64
+
+    def __init__(self, path: str, most: int = 1 << 18):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f) if token}
         self.most, self.known = most, {}
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: the neighbours of lowest rank merge first, the leftmost of equals."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        return self._short(piece) if len(piece) <= 128 else self._long(piece)
-
-    def _short(self, piece: bytes) -> list[int]:
-        get = self.ranks.get
-        cuts = list(range(len(piece) + 1))
-        rank = [get(piece[k : k + 2], NEVER) for k in range(len(piece) - 1)]
-        while rank:
-            best = min(rank)
-            if best == NEVER:
-                break
-            k = rank.index(best)
-            del cuts[k + 1], rank[k]
-            if k < len(rank):
-                rank[k] = get(piece[cuts[k] : cuts[k + 2]], NEVER)
-            if k:
-                rank[k - 1] = get(piece[cuts[k - 1] : cuts[k + 1]], NEVER)
-        return [self.ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _long(self, piece: bytes) -> list[int]:
-        """The same with a heap of merges, for runs of any length."""
+        # Every two tokens that join to a token, and its rank.
+        get, found = self.ranks.get, []
+        for token, rank in self.ranks.items():
+            for k in range(1, len(token)):
+                left, right = get(token[:k]), get(token[k:])
+                if left is not None and right is not None:
+                    found.append((left << 32 | right, rank))
+        table = np.array(sorted(found), np.int64).reshape(-1, 2)
+        self.pairs, self.joined = np.append(table[:, 0], NEVER), np.append(table[:, 1], NEVER)
+        self.bytes = np.array([get(bytes([b]), NEVER) for b in range(256)], np.int64)
+
+    @classmethod
+    @lru_cache(maxsize=2)
+    def of(cls, path: str) -> Ranks:
+        """The same for all tasks of a worker process, with what it has remembered."""
+        return cls(path)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.joined[at], NEVER)
+
+    def _together(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of many short pieces: in each round every piece makes its next merge, the leftmost of lowest rank."""
+        ids = self.bytes[np.frombuffer(b"".join(pieces), np.uint8)]
+        own = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+        rank = np.full(len(ids), NEVER)
+        rank[:-1] = np.where(own[1:] == own[:-1], self._rank(ids[:-1], ids[1:]), NEVER)
+        done = []
+        while len(ids):
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            low = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.append(first, len(ids))))
+            live = low < NEVER
+            if not live.all():
+                done.append((own[~live], ids[~live]))
+                ids, own, rank, low = ids[live], own[live], rank[live], low[live]
+                if not len(ids):
+                    break
+            at = np.flatnonzero(rank == low)
+            at = at[np.append(True, own[at][1:] != own[at][:-1])]
+            ids[at] = rank[at]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, own, rank = ids[keep], own[keep], rank[keep]
+            at -= np.arange(len(at))  # each piece before lost one
+            for k in (at, at[at > 0] - 1):
+                after = np.minimum(k + 1, len(ids) - 1)
+                rank[k] = np.where((after > k) & (own[after] == own[k]), self._rank(ids[k], ids[after]), NEVER)
+        own = np.concatenate([o for o, _ in done])
+        order = np.argsort(own, kind="stable")
+        data = np.concatenate([i for _, i in done])[order].astype("<i4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(own, minlength=len(pieces)))).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _alone(self, piece: bytes) -> bytes:
+        """Ids of one piece of any length, with a heap of merges."""
         get, n = self.ranks.get, len(piece)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         rank = [get(piece[k : k + 2], NEVER) for k in range(n)]
@@ -135,22 +175,65 @@ class Ranks:
         while k < n:
             out.append(self.ranks[piece[k : after[k]]])
             k = after[k]
+        return np.array(out, "<i4").tobytes()
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokens: the neighbours of lowest rank merge first, the leftmost of equals."""
+        out: list = [None] * len(pieces)
+        short = []
+        for k, piece in enumerate(pieces):
+            rank = self.ranks.get(piece)
+            if rank is not None:
+                out[k] = rank.to_bytes(4, "little")
+            elif len(piece) <= self.SHORT:
+                short.append(k)
+            else:
+                out[k] = self._alone(piece)
+        if short:
+            for k, ids in zip(short, self._together([pieces[k] for k in short]), strict=True):
+                out[k] = ids
         return out
 
-    def encode(self, pieces: list[str]) -> list[int]:
-        known, out = self.known, []
+    def encode(self, texts: list[list[str]]) -> list[bytes]:
+        """Ids of texts, given as their pre-tokens."""
+        known = self.known
         if len(known) > self.most:
             known.clear()
-        for piece in pieces:
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.merge(piece.encode())
-                if len(piece) <= 64:
-                    known[piece] = ids
-            out += ids
+        new = set()
+        for pieces in texts:
+            new.update(filterfalse(known.__contains__, pieces))
+        new = list(new)
+        known.update(zip(new, self.merge([p.encode() for p in new]), strict=True))
+        out = [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
+        for piece in new:  # long ones are not worth remembering
+            if len(piece) > self.SHORT:
+                del known[piece]
         return out
 
 
+class Tokens:
+    """The bytes of every id, for decoding."""
+
+    def __init__(self, ranks: Ranks):
+        size = max(ranks.ranks.values()) + 1
+        tokens = [b""] * size
+        for token, rank in ranks.ranks.items():
+            tokens[rank] = token
+        self.data = np.frombuffer(b"".join(tokens), np.uint8)
+        self.length = np.array([len(t) for t in tokens], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of all ids one after the other, and where each id's end."""
+        length = self.length[ids]
+        ends = np.cumsum(length)
+        if not len(ids):
+            return np.empty(0, np.uint8), ends
+        at = np.repeat(self.start[ids] - (ends - length), length)
+        at += np.arange(len(at))
+        return self.data[at], ends
+
+
 def default_ranks() -> str:
     import public_tokenizers
 
@@ -175,22 +258,28 @@ PIECES_TYPE = ("doc_id bigint, tag bigint, part bigint, last boolean, text strin
                "head array<int>, tail array<int>")
 
 
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)]) // 4
+    return pa.ListArray.from_arrays(
+        pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), "<i4").astype(np.int32)))
+
+
 def _ids(rows: list[tuple]) -> pa.RecordBatch:
+    """Of tuples of doc_id, tag, part and ids."""
     columns = list(zip(*rows, strict=True)) if rows else [[]] * len(IDS)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, IDS, strict=True)], schema=IDS)
+    keys = [pa.array(c, pa.int64()) for c in columns[:3]]
+    return pa.RecordBatch.from_arrays([*keys, _lists(columns[3])], schema=IDS)
 
 
 def _whole(documents: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Texts of one chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, splitter = Ranks(ranks), Splitter(pattern)
+        merges, splitter = Ranks.of(ranks), Splitter(pattern)
         for batch in common.slices(batches, 2 << 20, "text"):
-            texts = batch.column("text").to_pylist()
-            ids = [merges.encode(splitter.split(t or "")) for t in texts]
-            none = pa.array([0] * len(ids), pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), none, none, pa.array(ids, pa.list_(pa.int32()))], schema=IDS)
+            ids = merges.encode([splitter.split(t or "") for t in batch.column("text").to_pylist()])
+            none = pa.array(np.zeros(len(ids), np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), none, none, _lists(ids)], schema=IDS)
 
     return common.arrow_map(documents.select("doc_id", "text"), run, IDS_TYPE)
 
@@ -269,16 +358,16 @@ def _sure_pieces(rows: DataFrame, ranks: str, chunk: int) -> DataFrame:
     """Ids of chunks whose neighbours agree: the pre-tokens between the two cuts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges = Ranks(ranks)
+        merges = Ranks.of(ranks)
         for batch in common.slices(batches, 1 << 20, "text"):
-            out = []
+            out, texts = [], []
             for row in batch.to_pylist():
                 text, edges = row["text"], list(accumulate(row["lengths"], initial=0))
                 stop = len(text) if row["stop"] is None else chunk + row["stop"]
                 edges = [e for e in edges if row["cut"] <= e <= stop]
-                pieces = [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-                out.append((row["doc_id"], row["tag"], row["part"], merges.encode(pieces)))
-            yield _ids(out)
+                texts.append([text[a:b] for a, b in zip(edges, edges[1:], strict=False)])
+                out.append((row["doc_id"], row["tag"], row["part"]))
+            yield _ids([(*o, ids) for o, ids in zip(out, merges.encode(texts), strict=True)])
 
     return common.arrow_map(rows.select("doc_id", "tag", "part", "text", "lengths", "cut", "stop"), run, IDS_TYPE)
 
@@ -291,7 +380,7 @@ def _in_order(rows: DataFrame, ranks: str, pattern: str, chunk: int) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merges, splitter = Ranks(ranks), Splitter(pattern)
+        merges, splitter = Ranks.of(ranks), Splitter(pattern)
         carry, length, need = [], 0, 0
         for batch in batches:
             out = []
@@ -307,7 +396,7 @@ def _in_order(rows: DataFrame, ranks: str, pattern: str, chunk: int) -> DataFram
                         at -= len(pieces.pop())
                     carry, length = [text[at:]], len(text) - at
                     need = 2 * length
-                out.append((row["doc_id"], row["tag"], row["part"], merges.encode(pieces)))
+                out.append((row["doc_id"], row["tag"], row["part"], merges.encode([pieces])[0]))
                 if row["last"]:
                     carry, length, need = [], 0, 0
             yield _ids(out)
@@ -326,23 +415,35 @@ def _long(documents: DataFrame, ranks: str, pattern: str, chunk: int, overlap: i
     )
 
 
+def _parts(documents: DataFrame, ranks: str, pattern: str, chunk: int, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """Ids of texts of one chunk, and of longer ones."""
+    if not LOOK < overlap < chunk:
+        raise ValueError("the overlap must be shorter than a chunk and longer than what patterns look ahead")
+    long = F.coalesce(F.length("text"), F.lit(0)) > chunk
+    return (_whole(documents.filter(~long), ranks, pattern),
+            _long(documents.filter(long), ranks, pattern, chunk, overlap))
+
+
 def encode(documents: DataFrame, ranks: str | None = None, pattern: str | None = None,
            chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """``doc_id, tag, part, ids, whole``: a row per document, or several of a long text.
 
     Rows of one long text share ``tag`` and follow one another by ``part``; ``whole`` marks texts of one row.
     """
-    if not LOOK < overlap < chunk:
-        raise ValueError("the overlap must be shorter than a chunk and longer than what patterns look ahead")
-    ranks, pattern = ranks or default_ranks(), pattern or default_pattern()
-    long = F.coalesce(F.length("text"), F.lit(0)) > chunk
-    return _whole(documents.filter(~long), ranks, pattern).withColumn("whole", F.lit(True)).unionByName(
-        _long(documents.filter(long), ranks, pattern, chunk, overlap).withColumn("whole", F.lit(False))
-    )
+    short, long = _parts(documents, ranks or default_ranks(), pattern or default_pattern(), chunk, overlap)
+    return short.withColumn("whole", F.lit(True)).unionByName(long.withColumn("whole", F.lit(False)))
 
 
-def _decoder(ranks: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in Ranks(ranks).ranks.items()}
+def _of_tokens(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about so many ids."""
+    for batch in batches:
+        size = np.cumsum(pc.list_value_length(batch.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = size[start - 1] if start else 0
+            stop = max(int(np.searchsorted(size, before + most, side="right")), start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
@@ -352,10 +453,15 @@ def decode(encoded: DataFrame, ranks: str | None = None) -> DataFrame:
     schema = encoded.withColumn("data", F.lit(None).cast("binary")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _decoder(ranks).__getitem__
-        for batch in batches:
-            data = [b"".join(map(token, ids)) for ids in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[*names, "data"])
+        tokens = Tokens(Ranks.of(ranks))
+        for batch in _of_tokens(batches, 1 << 19):
+            lists = batch.column("ids")
+            data, ends = tokens.decode(lists.flatten().to_numpy())
+            rows = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            offsets = np.concatenate([[0], np.append(0, ends)[rows]]).astype(np.int32)
+            texts = pa.Array.from_buffers(
+                pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*names, "data"])
 
     return common.arrow_map(encoded, run, schema)
 
@@ -370,7 +476,7 @@ def _digest_rows(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = None
-        for batch in batches:
+        for batch in _of_tokens(batches, 1 << 19):
             out = []
             for doc_id, tag, ids, data in zip(
                 *[batch.column(c).to_pylist() for c in ("doc_id", "tag", "ids", "data")], strict=True
@@ -397,10 +503,12 @@ def _digest_rows(rows: DataFrame) -> DataFrame:
 def digests(documents: DataFrame, ranks: str | None = None, pattern: str | None = None,
             chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document, encoded and decoded again."""
-    decoded = decode(encode(documents, ranks, pattern, chunk, overlap), ranks)
-    short = decoded.filter("whole").select(
+    ranks = ranks or default_ranks()
+    # Each part is decoded by itself, so that neither is encoded for the other's digests.
+    whole, parts = _parts(documents, ranks, pattern or default_pattern(), chunk, overlap)
+    short = decode(whole, ranks).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("data", 256).alias("decoded_sha256"),
     )
-    return short.unionByName(_digest_rows(decoded.filter("NOT whole")))
+    return short.unionByName(_digest_rows(decode(parts, ranks)))

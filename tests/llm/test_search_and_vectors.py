@@ -235,13 +235,12 @@ def test_latin_split_equals_general(public):
         assert split.latin(text) == split.find(text)
 
 
-def test_long_merges_equal_short(public):
-    ranks, draw = bpe.Ranks(bpe.default_ranks()), random.Random(2)
-    token = bpe._decoder(bpe.default_ranks())
-    for _ in range(300):
-        piece = "".join(draw.choice("aabcdeothin'é") for _ in range(draw.randrange(2, 200))).encode()
-        assert ranks._short(piece) == ranks._long(piece)
-        assert b"".join(token[i] for i in ranks._long(piece)) == piece
-        break_at = draw.randrange(len(piece))
-        assert ranks.merge(piece[break_at:break_at + 1]) == [ranks.ranks[piece[break_at:break_at + 1]]]
-
+def test_merges_together_equal_one_by_one(public):
+    ranks, draw = bpe.Ranks.of(bpe.default_ranks()), random.Random(2)
+    tokens = bpe.Tokens(ranks)
+    pieces = ["".join(draw.choice("aabcdeothin'é中") for _ in range(draw.randrange(2, 60))).encode() for _ in range(500)]
+    together = ranks._together(pieces)
+    assert together == [ranks._alone(p) for p in pieces]
+    assert tokens.decode(np.frombuffer(b"".join(together), "<i4"))[0].tobytes() == b"".join(pieces)
+    assert [np.frombuffer(i, "<i4").tolist() for i in ranks.merge(pieces)] == [
+        public._encode_single_piece(p) for p in pieces]
