@@ -19,10 +19,15 @@ _ID_BLOCKS = (2, 4)
 
 
 def conditions(
-    source_type: str = "", host_name: str = "", search: str = "", session_id: str = ""
+    source_type: str = "", host_name: str = "", search: str = "", session_id: str = "",
+    since: str | None = None, until: str | None = None,
 ) -> list[Column]:
-    """The conditions of the filters that are set."""
+    """The conditions of the filters that are set; events from ``since`` on, and before ``until``."""
     found = []
+    if since is not None:
+        found.append(F.col("event.created_ts") >= F.lit(since).cast("timestamp"))
+    if until is not None:
+        found.append(F.col("event.created_ts") < F.lit(until).cast("timestamp"))
     if source_type:
         found.append(F.col("source_type") == source_type)
     if host_name:
@@ -41,10 +46,12 @@ def find_events(
     host_name: str = "",
     search: str = "",
     session_id: str = "",
+    since: str | None = None,
+    until: str | None = None,
 ) -> DataFrame:
     """Stored events that meet every filter set; all of them when none is."""
     return reduce(
-        DataFrame.filter, conditions(source_type, host_name, search, session_id), table
+        DataFrame.filter, conditions(source_type, host_name, search, session_id, since, until), table
     )
 
 

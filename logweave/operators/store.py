@@ -139,20 +139,30 @@ def stage_by_source(raw: DataFrame, path: str, source_col: str = "source_type")
     return raw.sparkSession.read.schema(keyed.schema).parquet(path)
 
 
-def read_events(spark: SparkSession, path: str) -> DataFrame:
-    """The stored events with ``load_date``; an empty table reads as one without rows."""
+def read_events(spark: SparkSession, *paths: str, base: str | None = None) -> DataFrame:
+    """The stored events with ``load_date``; an empty table reads as one without rows.
+
+    ``paths`` may be some files of the table at ``base``.
+    """
     schema = StructType(stored_schema().fields + StructType.fromDDL("load_date STRING").fields)
-    return spark.read.schema(schema).parquet(path)
+    reader = spark.read.schema(schema)
+    return (reader if base is None else reader.option("basePath", base)).parquet(*paths)
 
 
-def write_events(rows: DataFrame, path: str, mode: str = "append", **options) -> None:
+def write_events(
+    rows: DataFrame, path: str, mode: str = "append", by_time: bool = False, **options
+) -> None:
     """Append stored rows, partitioned by source and day of the load.
 
     Tasks write what they hold, sorted by id, so a source with most of the rows needs no
-    shuffle and lands in no single task.
+    shuffle and lands in no single task.  ``by_time`` deals the rows out by ranges of the event's own time, whose bounds
+    Spark samples, and sorts by it: a search of some hours then skips what lies outside of them
+    (``search.find_events`` with ``since`` and ``until``).
     """
     dated = rows.withColumn("load_date", F.substring("indexed_at", 1, 10))
-    dated.sortWithinPartitions(*_PARTITIONS, "event_id").write.mode(mode).partitionBy(
+    order = [*_PARTITIONS, F.col("event.created_ts" if by_time else "event_id")]
+    dealt = dated.repartitionByRange(*order) if by_time else dated
+    dealt.sortWithinPartitions(*order).write.mode(mode).partitionBy(
         *_PARTITIONS
     ).options(maxRecordsPerFile=_ROWS_PER_FILE, **_ID_FILTER, **options).parquet(path)
 
@@ -170,6 +180,23 @@ def insert_if_absent(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def insert_bucketed(rows: DataFrame, name: str, buckets: int = 64, path: str | None = None) -> DataFrame:
+    """Append stored rows whose id is new to a catalog table bucketed by id, and return the rows' plan before the write.
+
+    The table's files are dealt by a hash of the id already, so finding the new rows shuffles the load alone, once, and
+    nothing of what is stored; each load adds a file to a bucket and partition at most.  Ids sort within files, so the join merges.
+    """
+    spark = rows.sparkSession
+    dated = rows.withColumn("load_date", F.substring("indexed_at", 1, 10))
+    new = dated.repartition(buckets, "event_id").dropDuplicates(["event_id"])
+    if spark.catalog.tableExists(name):
+        new = new.join(spark.table(name).select("event_id").hint("merge"), "event_id", "left_anti").select(dated.columns)
+    writer = new.write.mode("append").format("parquet").partitionBy(*_PARTITIONS).bucketBy(
+        buckets, "event_id").sortBy("event_id").options(**_ID_FILTER)
+    (writer if path is None else writer.option("path", path)).saveAsTable(name)
+    return new
+
+
 def save_events(
     events: DataFrame,
     path: str,
@@ -217,10 +244,10 @@ def save_events(
 
 def _stored_before(spark: SparkSession, path: str) -> DataFrame | None:
     """The stored events, None before the first load."""
-    return _if_there(lambda: read_events(spark, path))
+    return if_there(lambda: read_events(spark, path))
 
 
-def _if_there(read: Callable[[], DataFrame]) -> DataFrame | None:
+def if_there(read: Callable[[], DataFrame]) -> DataFrame | None:
     try:
         found = read()
         found.schema  # noqa: B018  a path is looked up no later than here
@@ -258,7 +285,7 @@ _SAVED_DDL = SESSION_DDL + ", saved_at STRING, save_number BIGINT"
 def save_sessions(incoming: DataFrame, path: str) -> None:
     """Append sessions; :func:`current_sessions` resolves those saved again, by the number of the save."""
     spark = incoming.sparkSession
-    saved = _if_there(lambda: spark.read.schema(_SAVED_DDL).parquet(path))
+    saved = if_there(lambda: spark.read.schema(_SAVED_DDL).parquet(path))
     last = 0 if saved is None else saved.agg(F.max("save_number")).first()[0] or 0
     incoming.withColumn("saved_at", now_text()).withColumn(
         "save_number", F.lit(last + 1).cast("bigint")
@@ -267,7 +294,7 @@ def save_sessions(incoming: DataFrame, path: str) -> None:
 
 def current_sessions(spark: SparkSession, path: str) -> DataFrame:
     """The sessions after every upsert so far."""
-    saved = _if_there(lambda: spark.read.schema(_SAVED_DDL).parquet(path))
+    saved = if_there(lambda: spark.read.schema(_SAVED_DDL).parquet(path))
     if saved is None:
         return spark.createDataFrame([], SESSION_DDL)
     order = F.struct("save_number", "saved_at", "total_events", "failed_count")

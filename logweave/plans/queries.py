@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import ids, text
 from logweave.functions.shape import configure, drop_original_log, truncate_original_log
-from logweave.operators import dispatch, flat, search, store
+from logweave.operators import dispatch, flat, search, search_index, store
 from logweave.plans import rawlogs
 from logweave.sources import cef, records, sysmon, syslog, wazuh, wel
 
@@ -701,6 +702,41 @@ def search_events(spark, sf_dir):
     return search.listing(found)
 
 
+@query
+def insert_bucketed(spark, sf_dir):
+    """Two loads that overlap, into a table bucketed by id: every event once."""
+    name = f"events_{uuid.uuid4().hex}"
+    rows = store.stored_rows(_syslog_load(spark, sf_dir), F.col("iso"))
+    number = F.col("event_id").cast("bigint")
+    store.insert_bucketed(rows.filter(number % 3 != 0), name, 8, store.scratch_path(spark, "bucketed"))
+    store.insert_bucketed(rows.filter(number % 3 != 1), name, 8)
+    return search.listing(spark.table(name))
+
+
+@query
+def search_indexed(spark, sf_dir):
+    """The same kind of search through the trigram index, with files that the index doesn't know yet."""
+    path, index = store.scratch_path(spark, "stored"), store.scratch_path(spark, "grams")
+    rows = store.stored_rows(_syslog_load(spark, sf_dir), F.col("iso"))
+    early = F.col("indexed_at") < "2024-01-20"
+    store.write_events(rows.filter(early), path)
+    search_index.update_index(spark, path, index)
+    store.write_events(rows.filter(~early), path)
+    return search.listing(search_index.find_indexed(spark, path, index, "for root by u1%2"))
+
+
+@query
+def events_between(spark, sf_dir):
+    """Events of some hours, from a table that is clustered by the events' own time."""
+    path = store.scratch_path(spark, "clustered")
+    # One day's load of events of a month.
+    rows = store.stored_rows(_syslog_load(spark, sf_dir), F.lit("2024-02-01T00:00:00.000Z"))
+    store.write_events(rows, path, by_time=True)
+    found = search.find_events(
+        store.read_events(spark, path), since="2024-01-10T06:00:00Z", until="2024-01-10T09:30:00Z")
+    return found.select("event_id", "created_at", "event_action")
+
+
 @query
 def search_count(spark, sf_dir):
     found = search.find_events(_stored(spark, sf_dir), search="root")

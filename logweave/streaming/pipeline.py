@@ -61,6 +61,48 @@ def without_repeats(events: DataFrame, horizon: str = "1 hour") -> DataFrame:
     )
 
 
+def store_sessions(
+    lines: DataFrame,
+    source_type: str,
+    sessions_path: str,
+    checkpoint: str,
+    session_id: str = SOURCE_FILE,
+    available_now: bool = True,
+    **options,
+) -> StreamingQuery:
+    """Running totals of every session, saved with each micro-batch that changes them.
+
+    Spark's state store holds a row per session, so a session that arrives in many batches, or before and after a
+    restart, has the totals of all its records.  A repeated batch saves the same totals again.
+    """
+    events = normalize_stream(lines, source_type, **options)
+    writer = (
+        store.session_rollup(events, session_id).writeStream.outputMode("update")
+        .foreachBatch(lambda totals, number: store.save_sessions(totals, sessions_path))
+        .option("checkpointLocation", checkpoint)
+    )
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+class StoredStream:
+    """The queries of :func:`store_stream`: one stores events, one the sessions' totals."""
+
+    def __init__(self, events: StreamingQuery, sessions: StreamingQuery):
+        self.events, self.sessions = events, sessions
+
+    def awaitTermination(self) -> None:  # noqa: N802  named like that of one query
+        for query in (self.events, self.sessions):
+            query.awaitTermination()
+
+    def processAllAvailable(self) -> None:  # noqa: N802
+        for query in (self.events, self.sessions):
+            query.processAllAvailable()
+
+    def stop(self) -> None:
+        for query in (self.events, self.sessions):
+            query.stop()
+
+
 def store_stream(
     lines: DataFrame,
     source_type: str,
@@ -72,8 +114,8 @@ def store_stream(
     available_now: bool = True,
     load_dates: list[str] | None = None,
     **options,
-) -> StreamingQuery:
-    """Normalize and store every micro-batch of records; a session is a file by default.
+) -> StoredStream:
+    """Normalize and store every micro-batch of records, and the sessions' totals; a session is a file by default.
 
     A repeated batch inserts nothing twice, as its ids are stored already.  ``load_dates`` is that
     of ``store.save_events``: the days whose stored ids a batch is compared with.
@@ -83,7 +125,6 @@ def store_stream(
         held = dispatch.normalize(batch, source_type, documents=False, **options).persist()
         try:
             store.save_events(held, events_path, session_id, load_dates=load_dates)
-            store.save_sessions(store.session_rollup(held, session_id), sessions_path)
             if dead_letter_path is not None:
                 bad = store.dead_letters(held, "raw", session_id)
                 bad.write.mode("overwrite").json(f"{dead_letter_path}/batch={number}")
@@ -93,4 +134,5 @@ def store_stream(
     writer = lines.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    return StoredStream(writer.start(), store_sessions(
+        lines, source_type, sessions_path, f"{checkpoint.rstrip('/')}-sessions", session_id, available_now, **options))

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from logweave import configure
 from logweave.functions import ids, text
-from logweave.operators import dispatch, flat, search, store
+from logweave.operators import dispatch, flat, search, search_index, store
 from logweave.plans import rawlogs
 from logweave.plans.queries import _mixed_load, _stored, _syslog_load
 from logweave.schema import EVENT_COLUMNS, event_schema
@@ -98,7 +98,8 @@ def test_like_terms(spark, term, hit, miss):
 
 def test_filters_are_not_computed_twice(spark):
     """A search over fresh events keeps one pass of the patterns."""
-    found = search.find_events(_stored(spark, SF_DIR), search="root", host_name="host")
+    fresh = store.stored_rows(_syslog_load(spark, SF_DIR), F.col("iso"))
+    found = search.find_events(fresh, search="root", host_name="host")
     assert plan(found).count("Accepted (") == 1
 
 
@@ -233,6 +234,93 @@ def test_batch_equals_stream(spark, tmp_path):
     assert spark.read.json(paths[2]).count() == 1003 - len(wanted)
 
 
+def test_stream_sessions_over_batches(spark, tmp_path):
+    """A session over five batches, each after a restart, has the totals of a batch load; equal lines count."""
+    source = str(tmp_path / "in")
+    paths = [str(tmp_path / p) for p in ("events", "sessions", "check")]
+    line = "2024-01-01T00:00:00Z h p: m"
+    for k in range(5):
+        spark.createDataFrame([(f"{line}{k}",), (f"{line} again",), ("no log line",)][: 2 + k % 2], "v STRING").coalesce(
+            1).write.mode("append").text(source)
+        lines = pipeline.stream_lines(spark, source).withColumn("session_id", F.lit("s"))
+        pipeline.store_stream(lines, "syslog", *paths, session_id="session_id").awaitTermination()
+    whole = dispatch.normalize(
+        records.read_lines(spark, source).withColumn("session_id", F.lit("s")), "syslog", documents=False)
+    [want] = store.session_rollup(whole).collect()
+    [got] = store.current_sessions(spark, paths[1]).collect()
+    totals = ("session_id", "source_type", "total_events", "failed_count")
+    assert [got[c] for c in totals] == [want[c] for c in totals] and got["total_events"] >= 10
+
+
+def test_bucketed_insert_shuffles_the_load_only(spark, tmp_path):
+    name = "bucketed_events"
+    rows = _stored(spark, SF_DIR).drop("load_date")
+    try:
+        store.insert_bucketed(rows.limit(100), name, 4, str(tmp_path / "table"))
+        new = store.insert_bucketed(rows, name, 4)
+        before = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        text_plan = plan(new)
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        stored_side = text_plan[text_plan.index("SortMergeJoin"):]
+        assert text_plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in stored_side
+        assert spark.table(name).count() == spark.table(name).select("event_id").distinct().count() == rows.count()
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_search_index_reads_files_with_candidates(spark, tmp_path):
+    path, index = str(tmp_path / "events"), str(tmp_path / "index")
+    rows = _stored(spark, SF_DIR).drop("load_date")
+    for k in range(4):
+        some = rows.filter(F.col("event_id").cast("bigint") % 4 == k)
+        if k == 2:
+            some = some.withColumn("host_name", F.lit("rare%box"))
+        store.write_events(some, path)
+        if k < 3:
+            assert search_index.update_index(spark, path, index) > 0
+    files = len(store.read_events(spark, path).inputFiles())
+    new = len(search_index.candidate_files(spark, path, index, "no such text"))
+    assert 0 < new < files
+    rare = search_index.candidate_files(spark, path, index, r"re\%b_x")
+    assert new < len(rare) < files
+    assert search_index.needed_grams(r"re\%b_x") == ["e%b", "re%"] and search_index.needed_grams("a%b") == []
+    for term in (r"re\%b_x", "root", "u1%2", "%", "_", "no such text", "host3", "\\\\"):
+        wanted = search.find_events(store.read_events(spark, path), search=term)
+        found = search_index.find_indexed(spark, path, index, term)
+        assert sorted(r[0] for r in found.select("event_id").collect()) == sorted(
+            r[0] for r in wanted.select("event_id").collect())
+    assert search_index.update_index(spark, path, index) == new
+    assert search_index.update_index(spark, path, index) == 0
+    assert search_index.candidate_files(spark, path, index, "no such text") == []
+    assert search_index.find_indexed(spark, path, index, "no such text").collect() == []
+
+
+def test_files_clustered_by_time(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path, key = str(tmp_path / "events"), "spark.sql.adaptive.coalescePartitions.enabled"
+    rows = store.stored_rows(_syslog_load(spark, SF_DIR), F.lit("2024-02-01T00:00:00.000Z"))
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")  # the rows are few
+    try:
+        store.write_events(rows, path, by_time=True)
+    finally:
+        spark.conf.set(key, before)
+    ranges = []
+    for file in glob.glob(f"{path}/*/*/*.parquet"):
+        times = pq.read_table(file, columns=["event"]).column("event").combine_chunks().field("created_ts").to_pylist()
+        assert times == sorted(times)
+        ranges.append((times[0], times[-1]))
+    ranges.sort()
+    assert len(ranges) > 3 and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    found = search.find_events(store.read_events(spark, path), since="2024-01-10T06:00:00Z", until="2024-01-10T09:30:00Z")
+    assert "GreaterThanOrEqual(event.created_ts" in plan(found) and "LessThan(event.created_ts" in plan(found)
+    assert 0 < found.count() < rows.count()
+
+
 def test_stream_without_repeats(spark, tmp_path):
     source = str(tmp_path / "in")
     line = "2024-01-01T00:00:00Z h p: m"
