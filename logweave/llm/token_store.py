@@ -21,7 +21,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,9 @@ SKIPPABLE = struct.Struct("<II")
 ENTRY = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 HEADER = struct.Struct("<BBIQ")  # version, bytes of an id, end id, documents
 
+#: Tasks that read shards back; beyond it a task reads several.
+MOST_TASKS = 100_000
+
 MANIFEST = ("shard int, path string, n_docs bigint, n_tokens bigint, n_bytes bigint, "
             "first_id bigint, last_id bigint")
 
@@ -97,6 +100,12 @@ class Encoder:
             self.bpe = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
             self.letters = byte_letters()
 
+    @classmethod
+    @lru_cache(maxsize=2)
+    def of(cls, path: str) -> Encoder:
+        """The same for all tasks of a worker process, with the words it remembers."""
+        return cls(path)
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         kind = f"<u{self.width}"
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -238,7 +247,7 @@ def write_tokens(
     """Writes the shards; returns the manifest with ``start``, the ids in all shards before each."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of(tokenizer)
         shard = TaskContext.get().partitionId()
         path = f"{folder}/shard-{shard:06d}.tok"
         out = None
@@ -301,8 +310,9 @@ def read_tokens(manifest: DataFrame, doc_ids: list[int] | None = None, ids: bool
                         rows, held = [], 0
                 yield _batch(rows, schema)
 
-    # Each shard is a task's work: as many partitions as shuffle partitions, dealt by path.
-    return wanted.repartition("path").transform(common.arrow_map,
+    # A shard is a task's work; Spark keeps a stated number of partitions.
+    tasks = min(max(wanted.count(), 1), MOST_TASKS)
+    return wanted.repartitionByRange(tasks, "shard").transform(common.arrow_map,
         read, ", ".join(f"{n} {'array<bigint>' if n == 'ids' else 'bigint'}" for n in names)
     )
 
