@@ -2,13 +2,14 @@
 
 A turn's parts (text, image, audio, document) are flattened by a visitor into the text of one segment:
 ``<|im_start|>role\\n ... <|im_end|>\\n``.  Texts are escaped so that no control string can come from
-them; the other parts become numbered placeholders, with their references and the tokens that they will
+them, nor from neighbouring texts together, which are escaped as one; the other parts become numbered placeholders, with their references and the tokens that they will
 expand to.  Assistant texts are under the loss mask, as spans of code points of the segment.
 
 Segments are rows, ordered by conversation and turn, so a conversation with a third of all turns is spread
 like any other.  Only its digest reads its turns one after the other, as a stream with a state of constant size.
 
 * A null role or text counts as empty; a null ``conv_id`` is a conversation of its own; null turns come first.
+* A part of a type that no method visits is an attachment of kind ``other`` without tokens; a null type is text.
 * Turns that tie are ordered by role, then text; repeated rows are turns of their own.
 * An empty table gives an empty result; extra columns are ignored.
 """
@@ -62,28 +63,33 @@ class Visitor:
     def __init__(self, trained: bool, patch: int = 28, audio_rate: float = 12.5, page_tokens: int = 256):
         self.trained, self.patch, self.audio_rate, self.page_tokens = trained, patch, audio_rate, page_tokens
         self.out: list[str] = []
+        self.texts: list[str] = []
         self.length = 0
         self.loss: list[dict] = []
         self.attachments: list[dict] = []
 
     def visit(self, part: dict) -> None:
-        kind = part.get("type") or "text"
-        method = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"a part of unknown type {kind!r}")
-        method(part)
+        getattr(self, f"visit_{part.get('type') or 'text'}", self.visit_other)(part)
 
     def put(self, text: str) -> None:
         self.out.append(text)
         self.length += len(text)
 
     def visit_text(self, part: dict) -> None:
+        self.texts.append(part.get("text") or "")
+
+    def end_text(self) -> None:
+        """Neighbouring texts are escaped together: marks could arise where they meet."""
+        if not self.texts:
+            return
         begin = self.length
-        self.put(escape(part.get("text") or ""))
+        self.put(escape("".join(self.texts)))
+        self.texts = []
         if self.trained:
             self.loss.append({"begin": begin, "stop": self.length})
 
     def attach(self, kind: str, part: dict, tokens: int) -> None:
+        self.end_text()
         self.attachments.append(
             {"kind": kind, "ref": part.get("ref"), "position": self.length, "tokens": tokens}
         )
@@ -99,6 +105,9 @@ class Visitor:
     def visit_document(self, part: dict) -> None:
         self.attach("document", part, (part.get("pages") or 1) * self.page_tokens)
 
+    def visit_other(self, part: dict) -> None:
+        self.attach("other", part, 0)
+
 
 def text_part(text: Column) -> Column:
     """A plain text as the one part of a turn."""
@@ -128,6 +137,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
                 seen.put(f"{START}{escape_role(role)}\n")
                 for part in row["parts"] or []:
                     seen.visit(part or {})
+                seen.end_text()
                 seen.put(f"{END}\n")
                 rows.append({
                     "conv_id": row["conv_id"], "turn": row["turn"], "segment": "".join(seen.out),

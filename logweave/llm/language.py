@@ -9,12 +9,16 @@ batch walk through it in step, as arrays.
 * Whole texts are parsed, in pieces of ``PIECE`` characters that each begin a new phrase, for every language alike.
 * Ties go to the language that comes first by code point.
 * The sample: of each language the ``rows`` labelled texts that come first in a seeded hash order, from each
-  at most ``chars // rows`` characters from a place that the hash also picks.  This bound is for learning only.
+  a stretch from a place that the hash also picks, all of the same length: so much that all rows taken fill ``chars``
+  characters, short texts included.  A language with few rows is so learned from longer stretches.  This bound is for learning only.
+* A larger sample knows more strings, so a text needs fewer phrases of it by chance; counts are therefore multiplied by the
+  logarithm of the sample's length, to which the length of a longest match grows in proportion.
 * Repeated rows are predicted alike; an empty table gives an empty result; without any labelled text every row is ``und``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,20 +43,35 @@ def held_out(doc_id: Column) -> Column:
 def training_rows(documents: DataFrame, rows: int = 512, chars: int = 40_960) -> list[tuple[str, str]]:
     """At most ``rows`` excerpts of each language.
 
-    Spark keeps the first rows per language in each task before the shuffle, so a large language isn't gathered.
+    Spark keeps the first rows per language in each task before the shuffle, so a large language isn't gathered.  The table of ids
+    that is broadcast has ``rows`` rows per language at most (more only where rows repeat an id).
     """
-    each = chars // rows
-    order = F.xxhash64(F.lit(3), "doc_id")
-    first = Window.partitionBy("lang").orderBy(order, "doc_id", "excerpt")
+    usable = documents.filter(
+        ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    order = [F.xxhash64(F.lit(3), "doc_id"), F.col("doc_id"), F.xxhash64("text")]
+    first = Window.partitionBy("lang").orderBy(*order)
+    # The ids alone are ranked, at most ``rows`` of a language; then their texts are fetched.
+    picked = usable.select("lang", "doc_id", F.row_number().over(first).alias("k")).filter(F.col("k") <= rows)
+    ids = picked.select("lang", F.col("doc_id").alias("id")).distinct()
+    # No text gives more than all of the budget; what each gives follows from the number of rows taken.
+    excerpt = (f"substring(text, cast(pmod(xxhash64(7, doc_id), greatest(char_length(text) - {chars // rows}, 0) + 1) "
+               f"as int) + 1, {chars})")
     found = (
-        documents.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-        .filter(F.char_length("text") >= 40)
-        .select("lang", "doc_id", F.expr(
-            f"substring(text, cast(pmod(xxhash64(7, doc_id), greatest(char_length(text) - {each}, 0) + 1) as int) + 1, {each})"
-        ).alias("excerpt"))
-        .withColumn("k", F.row_number().over(first)).filter(F.col("k") <= rows)
+        usable.withColumnRenamed("lang", "of").join(
+            F.broadcast(ids), (F.col("of") == F.col("lang")) & F.col("doc_id").eqNullSafe(F.col("id")))
+        .select("lang", F.expr(excerpt).alias("excerpt"), F.row_number().over(first).alias("k"))
+        .filter(F.col("k") <= rows)
     )
-    return [(r["lang"], r["excerpt"]) for r in found.orderBy("lang", "k").collect()]
+    taken = Window.partitionBy("lang").orderBy(F.char_length("excerpt"), "k")
+    # The shortest come first: what they leave of the budget is dealt to the others.
+    left = F.lit(chars) - F.coalesce(
+        F.sum(F.char_length("excerpt")).over(taken.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    share = F.ceil(left / (F.count(F.lit(1)).over(Window.partitionBy("lang")) - F.row_number().over(taken) + 1))
+    dealt = found.withColumn("share", share).groupBy("lang").agg(
+        F.max(F.when(F.col("share") < F.char_length("excerpt"), F.col("share"))).alias("cut"))
+    kept = found.join(dealt, "lang").select(
+        "lang", "k", F.expr("substring(excerpt, 1, cast(coalesce(cut, char_length(excerpt)) as int))").alias("excerpt"))
+    return [(r["lang"], r["excerpt"]) for r in kept.orderBy("lang", "k").collect()]
 
 
 def automaton(text: np.ndarray, classes: int) -> np.ndarray:
@@ -103,14 +122,16 @@ class Model:
         self.code[PLANE] = 0
         for k, c in enumerate(letters):
             self.code[ord(c)] = k + 2
-        tables, self.roots, at = [], [], 0
+        tables, self.roots, sizes, at = [], [], [], 0
         for lang in self.langs:
             text = self.coded(" ".join(text for of, text in rows if of == lang))
             # Class 0 has no transition: an unknown letter always ends a phrase.
             table = automaton(text[text > 0], self.classes)
             tables.append(np.where(table > 0, table + at, 0))
+            sizes.append(np.log(len(text) + 2))
             self.roots.append(at + 1)
             at += len(table)
+        self.weight = np.array(sizes) / max(sizes, default=1.0)
         self.table = np.concatenate(tables).ravel().astype(np.int32) if tables else np.zeros(0, np.int32)
 
     def coded(self, text: str) -> np.ndarray:
@@ -165,7 +186,7 @@ class Model:
         known = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if known and self.langs:
-            counts = self.phrases([self.coded(texts[k]) for k in known])
+            counts = self.phrases([self.coded(texts[k]) for k in known]) * self.weight
             best = counts.argmin(axis=1)
             two = np.sort(counts, axis=1)[:, :2].astype(float)
             share = two[:, -1] / np.maximum(two.sum(axis=1), 1) if two.shape[1] > 1 else np.ones(len(known))
@@ -180,10 +201,10 @@ def predict(documents: DataFrame, rows: int = 512, chars: int = 40_960, batch_by
     The broadcast holds at most ``2 * chars`` states per language and a few dozen letter classes each.
     """
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(training_rows(documents, rows, chars))
+    shared, key = spark.sparkContext.broadcast(training_rows(documents, rows, chars)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _model(shared)
+        model = _model(key, shared)
         for batch in common.slices(batches, batch_bytes, "text"):
             langs, scores = model.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -197,12 +218,11 @@ def predict(documents: DataFrame, rows: int = 512, chars: int = 40_960, batch_by
     )
 
 
-_MODELS: dict[int, Model] = {}
+_MODELS: dict[str, Model] = {}
 
 
-def _model(shared) -> Model:
-    """The model of a broadcast, built once per Python worker."""
-    key = id(shared.value)
+def _model(key: str, shared) -> Model:
+    """The model of a prediction, built once per Python worker."""
     if key not in _MODELS:
         _MODELS.clear()
         _MODELS[key] = Model(shared.value)

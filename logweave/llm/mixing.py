@@ -22,6 +22,8 @@ from logweave.llm import common
 
 #: Hex digits of the hash that deal the documents of a source into ranges: 4096 of them.
 RANGE_DIGITS = 3
+#: What ``mix_counts`` adds.
+NEW = ("size", "source_size", "target", "repeats", "taken")
 
 
 def source_key(source: Column) -> Column:
@@ -74,13 +76,16 @@ def mix_counts(
     Running totals inside a source are summed in 4096 ranges of the hash, so a source that holds
     a third of all rows is dealt over the cluster.
     """
-    rows = documents.withColumns({
-        "mix_key": source_key(F.col("source")),
-        "size": common.word_count(F.col("text")),
-        "mix_order": F.md5(F.concat(
+    names = [c for c in documents.columns if c.lower() not in NEW]
+    # The input's other columns travel in a struct, whatever their names.
+    rows = documents.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("mix_row"),
+        source_key(F.col("source")).alias("mix_key"),
+        common.word_count(F.col("text")).alias("size"),
+        F.md5(F.concat(
             F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-        )),
-    }).withColumn("mix_range", F.substring("mix_order", 1, RANGE_DIGITS))
+        )).alias("mix_order"),
+    ).withColumn("mix_range", F.substring("mix_order", 1, RANGE_DIGITS))
     ranges = common.written(
         rows.groupBy("mix_key", "mix_range").agg(F.sum("size").alias("range_size")), "mix-ranges"
     )
@@ -103,18 +108,16 @@ def mix_counts(
     ).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - whole * F.col("source_size")
     start = F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    names = [c for c in documents.columns
-             if c not in ("size", "source_size", "target", "repeats", "taken")]
     return (
-        rows.drop("source_size", "target", "range_start", "repeats", "taken")
-        .join(starts, ["mix_key", "mix_range"])
+        rows.join(starts, ["mix_key", "mix_range"])
         .withColumn("mix_start", start)
         .withColumn(
             "repeats",
-            whole + F.when(F.col("mix_start") + F.col("size") / 2.0 <= rest, 1).otherwise(0),
+            # Where nothing is left over, empty documents at the front get nothing more either.
+            whole + F.when((rest > 0) & (F.col("mix_start") + F.col("size") / 2.0 <= rest), 1).otherwise(0),
         )
         .withColumn("taken", F.col("size") * F.col("repeats"))
-        .select(*names, "size", "source_size", "target", "repeats", "taken")
+        .select("mix_row.*", *NEW)
     )
 
 

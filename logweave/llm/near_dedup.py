@@ -221,17 +221,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, percent: int)
 def open_buckets(found: DataFrame, roots: DataFrame) -> DataFrame:
     """node, key, root and block of the buckets with three nodes or more of different components.
 
-    Bands often hold the same nodes; of equal buckets only one is kept.
+    Bands often hold the same nodes; of equal buckets (their size and two sums of 64-bit hashes) only one is kept.
     """
     rooted = found.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     rooted = common.written(rooted, "near-rooted")
     mixed = (
         rooted.groupBy("key").agg(
             F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high"),
-            F.sum(F.xxhash64("node") % (1 << 40)).alias("print"),
+            *[F.sum(F.xxhash64(F.lit(k), "node").cast("decimal(20,0)")).alias(f"print_{k}") for k in (1, 2)],
         )
         .filter("size > 2 and low < high")
-        .groupBy("size", "print").agg(F.min("key").alias("key"))
+        .groupBy("size", "print_1", "print_2").agg(F.min("key").alias("key"))
     )
     return rooted.join(mixed, "key").select(
         "key", "node", "root", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")

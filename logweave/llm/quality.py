@@ -1,8 +1,8 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained with
 follow-the-regularised-leader updates and scored as sparse dot products.
 
-A text's words appear twice among the n-grams: as themselves in lower case (single words), and by their
-shape (runs of upper case, lower case, digits and other characters; one to three words), where a word that repeats the one
+A text's words appear twice among the n-grams of one to three words: as themselves in lower case, and by their
+shape (runs of upper case, lower case, digits and other characters), where a word that repeats the one
 before it has a shape of its own.  A feature's value is the square root of its share.
 
 * Learned from at most ``sample`` labelled rows, the first in a seeded hash order of the ids that are not held out; scoring
@@ -69,13 +69,16 @@ def features(texts: list[bytes], known: Words) -> tuple[np.ndarray, np.ndarray,
     shapes = (packed & 0xFFFFFFFF).astype(np.uint64)
     shapes = common.mix(np.where(same, shapes ^ np.uint64(0x5BD1E995 << 32), shapes))
     keys = [(owner, packed >> 32)]
-    level = shapes
-    for n in (1, 2, 3):
-        if n > 1:
-            level = common.mix(level[:-1] * np.uint64(31) + shapes[n - 1 :])
-        inside = owner[: len(level)] == owner[n - 1 : n - 1 + len(level)]
-        gram = (level & np.uint64(BIAS - 1)).astype(np.int64)
-        keys.append((owner[: len(level)][inside], gram[inside]))
+    # One to three shapes, two and three words.
+    for base, sizes in ((shapes, (1, 2, 3)), (common.mix((packed >> 32).astype(np.uint64)), (2, 3))):
+        level = base
+        for n in range(1, sizes[-1] + 1):
+            if n > 1:
+                level = common.mix(level[:-1] * np.uint64(31) + base[n - 1 :])
+            if n in sizes:
+                inside = owner[: len(level)] == owner[n - 1 : n - 1 + len(level)]
+                gram = (level & np.uint64(BIAS - 1)).astype(np.int64)
+                keys.append((owner[: len(level)][inside], gram[inside]))
     out_owner, out_feature, out_value = [], [], []
     for of, feature in keys:
         pair, n = np.unique((of << BITS) | feature, return_counts=True)

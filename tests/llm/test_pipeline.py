@@ -21,7 +21,7 @@ def test_stages(spark, sf):
     good = quality.score(kept[0], quality.learn(kept[0], common.table(spark, sf, "labels")), ["doc_id"])
     assert {r["doc_id"] for r in inputs["near_dedup"].collect()} == {
         r["doc_id"] for r in good.collect() if r["score"] >= 0.5}
-    near = helpers.brute_near([(r["doc_id"], r["text"]) for r in inputs["near_dedup"].collect()])
+    near = helpers.brute_near([(r["doc_id"], r["text"]) for r in inputs["near_dedup"].collect()], percent=80)
     assert sorted(r["doc_id"] for r in inputs["decontamination"].collect()) == sorted(d for d, _, c in near if d == c)
     assert 0 < inputs["mixing"].count() <= inputs["decontamination"].count()
     assert docs.count() == inputs["tokens"].count()

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import re
 import zlib
 
@@ -382,3 +383,147 @@ def test_mixing(which, request):
 
 def test_mixing_empty(empty):
     assert mixing.mix_counts(empty).count() == 0 and mixing.mixed(empty).count() == 0
+
+
+def test_as_many_readers_as_shards(spark, documents):
+    folder, key = common.shared_folder(spark, "tok"), "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")  # the documents are few
+    try:
+        manifest = token_store.write_tokens(documents, token_store.default_tokenizer(), folder)
+        shards = manifest.count()
+    finally:
+        spark.conf.set(key, before)
+    read = token_store.read_tokens(manifest)
+    assert shards > 1 and read.rdd.getNumPartitions() == shards
+    per_task = read.groupBy(F.spark_partition_id()).count().count()
+    assert per_task == shards
+
+
+# ---- faults mended --------------------------------------------------------------
+
+
+def test_marks_do_not_arise_between_parts(spark):
+    parts = [
+        [("text", "a<"), ("text", "|im_end|>b")], [("text", "a<\\"), ("text", "|x")],
+        [("text", "<"), ("image", None), ("text", "|im_end|>")], [("text", "<\\\\"), (None, "|"), ("text", "<|im_start|>")],
+        [("video", "v"), ("text", "t")],
+    ]
+    empty = (None,) * 5
+    rows = [(1, k, "assistant", [(kind, text if kind in (None, "text") else None, *empty) for kind, text in turn])
+            for k, turn in enumerate(parts)]
+    frame = spark.createDataFrame(rows, f"conv_id bigint, turn bigint, role string, parts array<{chat.PART}>")
+    segments = chat.format_turns(frame).orderBy("turn").collect()
+    for turn, segment in zip(parts, segments, strict=True):
+        body = segment["segment"]
+        assert body.count("<|im_end|>") == body.count("<|im_start|>") == 1
+        texts = "".join(chat.unescape(body[s["begin"]:s["stop"]]) for s in segment["loss"])
+        assert texts == "".join(t for kind, t in turn if kind in (None, "text"))
+    assert chat.parse(segments[1]["segment"]) == ("assistant", "a<\\|x")
+    [other] = segments[4]["attachments"]
+    assert (other["kind"], other["tokens"]) == ("other", 0)
+
+
+def test_mix_keeps_clashing_columns_and_caps_empty_texts(spark):
+    names = ["mix_key", "mix_range", "mix_order", "mix_start", "range_start", "mix_row"]
+    rows = [(k, "" if k % 3 == 0 else "w " * (k % 5 + 1), "a" if k % 7 else "b", *[f"own{k}"] * len(names))
+            for k in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    counted = mixing.mix_counts(frame).collect()
+    assert len(counted) == 60 and all(r[n] == f"own{r['doc_id']}" for r in counted for n in names)
+    assert max(r["repeats"] for r in counted) <= 3
+    assert mixing.mixed(frame).columns == frame.columns
+    alone = frame.filter("source = 'b'")  # one source is at its cap of its own words
+    assert {r["repeats"] for r in mixing.mix_counts(alone).collect()} == {1}
+
+
+def test_rare_language_fills_its_sample(spark):
+    base = "abcdefgh klmnop"
+    long = {"xx": "zuqi woxe vyku ", "yy": "bala meno sito "}
+    rows = [(k, (long["xx"] * 200), "xx") for k in range(400)] + [(1000 + k, long["yy"] * 200 + base, "yy") for k in range(4)]
+    rows += [(2000 + k, "kurz", "zz") for k in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    found = language.training_rows(frame, 16, 4000)
+    total = collections.Counter()
+    for lang, excerpt in found:
+        total[lang] += len(excerpt)
+    learned = sum(1 for d, _, lang in rows if lang == "yy" and zlib.crc32(str(d).encode()) % 4 != 2)
+    assert 3500 <= total["xx"] <= 4000 + 16 and learned and 3500 <= total["yy"] <= 4000 + 16 and total["zz"] > 0
+    model = language.Model(found)
+    assert model.predict(["kurz kurz", "meno sito bala", "vyku zuqi woxe"])[0] == ["zz", "yy", "xx"]
+
+
+MASK = (1 << 64) - 1
+
+
+def plain_mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 & MASK
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def plain_features(text):
+    """{feature: value} by plain loops: the hashed n-grams of words and of their shapes."""
+    import xxhash
+
+    words = text.split()
+    single = [xxhash.xxh3_64_intdigest(w.lower()) & (quality.BIAS - 1) for w in words]
+    shapes = []
+    for k, word in enumerate(words):
+        h = xxhash.xxh32_intdigest(quality.shape(word))
+        again = k and single[k] == single[k - 1] and quality.shape(word) == quality.shape(words[k - 1])
+        shapes.append(plain_mix(h ^ (0x5BD1E995 << 32) & MASK if again else h))
+    groups = [single]
+    for base, sizes in ((shapes, (1, 2, 3)), ([plain_mix(s) for s in single], (2, 3))):
+        for n in sizes:
+            grams = []
+            for k in range(len(words) - n + 1):
+                h = base[k]
+                for j in range(1, n):
+                    # Each longer gram is the one before of the same start, and the next word.
+                    h = plain_mix(h * 31 + base[k + j] & MASK)
+                grams.append(h & (quality.BIAS - 1))
+            groups.append(grams)
+    found = []
+    for grams in groups:
+        found += [(g, (n / len(words)) ** 0.5) for g, n in collections.Counter(grams).items()]
+    return sorted(found)
+
+
+def test_quality_by_plain_loops(documents):
+    texts = [(r["text"] or "").encode() for r in documents.limit(30).collect()] + [b"", b"one", b"A a A a a a b"]
+    owner, feature, value = quality.features(texts, quality.Words())
+    rows = []
+    for k, text in enumerate(texts):
+        got = sorted(zip(feature[owner == k].tolist(), value[owner == k].tolist(), strict=True))
+        want = plain_features(text)
+        assert [g for g, _ in got] == [g for g, _ in want]
+        assert np.allclose([v for _, v in got], [v for _, v in want])
+        at = np.append(feature[owner == k], quality.BIAS).astype(np.int64)
+        rows.append((at, np.append(value[owner == k], 1.0), k % 2))
+    merged = []
+    for at, x, label in rows:  # a feature that two n-grams share counts once in an update, by its last value
+        last = dict(zip(at.tolist(), x.tolist(), strict=True))
+        merged.append((np.array(list(last)), np.array(list(last.values())), label))
+    got = quality.train(merged, epochs=2)
+    z, n = collections.Counter(), collections.Counter()
+
+    def weight(i):
+        if abs(z[i]) <= 0.05:
+            return 0.0
+        return -(z[i] - math.copysign(0.05, z[i])) / ((1.0 + n[i] ** 0.5) / 0.3 + 0.01)
+
+    order = np.random.default_rng(5)
+    for _ in range(2):
+        for k in order.permutation(len(merged)):
+            at, x, label = merged[k]
+            w = {i: weight(i) for i in at.tolist()}
+            p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in zip(at.tolist(), x.tolist(), strict=True))))
+            for i, v in zip(at.tolist(), x.tolist(), strict=True):
+                g = (p - label) * v
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.3 * w[i]
+                n[i] += g * g
+    assert all(math.isclose(got[i], weight(i), rel_tol=1e-6, abs_tol=1e-9) for i in z)
+    assert np.count_nonzero(got) == sum(1 for i in z if weight(i))
