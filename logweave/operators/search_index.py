@@ -30,12 +30,13 @@ def grams(text: Column) -> Column:
     return F.array_distinct(F.transform(places, lambda k: F.substring(text, k, F.lit(SIZE))))
 
 
+def _tagged(found: Column, tag: str) -> Column:
+    return F.transform(found, lambda gram: F.concat(F.lit(tag), gram))
+
+
 def _files(table: DataFrame) -> DataFrame:
     """``file`` and ``gram`` of stored rows; equal ones combine before the shuffle."""
-    columns = [
-        F.transform(grams(F.coalesce(F.col(c), F.lit(""))), lambda g, tag=tag: F.concat(F.lit(tag), g))
-        for c, tag in _FIRST.items()
-    ]
+    columns = [_tagged(grams(F.coalesce(F.col(c), F.lit(""))), tag) for c, tag in _FIRST.items()]
     # A file without any gram is known too.
     return table.select(
         F.explode(F.concat(F.array(F.lit("")), *columns)).alias("gram"), F.col("_metadata.file_path").alias("file")

@@ -527,7 +527,7 @@ ORACLES: dict[str, str] = {
         OR host_name LIKE '%u1%2%' OR process_name LIKE '%u1%2%' OR user_name LIKE '%u1%2%'
         OR src_ip LIKE '%u1%2%'""",
     "insert_bucketed": f"{_STORED} SELECT {_LISTED} FROM stored",
-    "search_indexed": f"""{_STORED} SELECT {_LISTED} FROM stored WHERE event_action LIKE '%for root by u1%2%'""",
+    "search_indexed": f"""{_STORED} SELECT {_LISTED} FROM stored WHERE event_action LIKE '%name=u1%2%'""",
     "events_between": f"""{_STORED} SELECT event_id, created_at, event_action FROM stored
         WHERE created_at >= '2024-01-10T06:00:00' AND created_at < '2024-01-10T09:30:00'""",
     "search_count": f"""{_STORED} SELECT count(*) AS total FROM stored

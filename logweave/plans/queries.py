@@ -722,7 +722,7 @@ def search_indexed(spark, sf_dir):
     store.write_events(rows.filter(early), path)
     search_index.update_index(spark, path, index)
     store.write_events(rows.filter(~early), path)
-    return search.listing(search_index.find_indexed(spark, path, index, "for root by u1%2"))
+    return search.listing(search_index.find_indexed(spark, path, index, "name=u1%2"))
 
 
 @query

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from logweave.functions.shape import now_text
 from logweave.functions.text import strip
 from logweave.operators import dispatch, store
 from logweave.sources.records import SOURCE_FILE, fragments
@@ -76,8 +77,10 @@ def store_sessions(
     restart, has the totals of all its records.  A repeated batch saves the same totals again.
     """
     events = normalize_stream(lines, source_type, **options)
+    # The time of a batch is no constant to a stream, so it is a column before it is aggregated.
+    timed = events.withColumn("_saved", now_text())
     writer = (
-        store.session_rollup(events, session_id).writeStream.outputMode("update")
+        store.session_rollup(timed, session_id, created_at=F.col("_saved")).writeStream.outputMode("update")
         .foreachBatch(lambda totals, number: store.save_sessions(totals, sessions_path))
         .option("checkpointLocation", checkpoint)
     )

@@ -317,7 +317,8 @@ def test_files_clustered_by_time(spark, tmp_path):
     ranges.sort()
     assert len(ranges) > 3 and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))
     found = search.find_events(store.read_events(spark, path), since="2024-01-10T06:00:00Z", until="2024-01-10T09:30:00Z")
-    assert "GreaterThanOrEqual(event.created_ts" in plan(found) and "LessThan(event.created_ts" in plan(found)
+    text_plan = spark._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "formatted")
+    assert "GreaterThanOrEqual(event.created_ts" in text_plan and "LessThan(event.created_ts" in text_plan
     assert 0 < found.count() < rows.count()
 
 
