@@ -89,6 +89,9 @@ def queries(spark: SparkSession, root: str) -> dict:
         "normalize_wel": lambda: wel.normalize_wel(
             records.read_wel(spark, f"{root}/wel")
         ),
+        "normalize_wel_lines": lambda: wel.normalize_wel(
+            records.read_wel(spark, f"{root}/wel", multi_line=False)
+        ),
         "syslog_by_action": lambda: syslog.normalize_syslog(lines("syslog"))
         .groupBy("event.action", "event.outcome").count(),
         "session_rollup": lambda: store.session_rollup(syslog.normalize_syslog(loaded())),

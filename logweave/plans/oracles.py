@@ -346,6 +346,9 @@ ORACLES: dict[str, str] = {
     "syslog_times": """SELECT layout, event_id AS row_id,
         CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS epoch
         FROM events, (VALUES ('journald'), ('rfc3164')) AS l(layout)""",
+    "syslog_current_year": """SELECT event_id AS row_id, CAST(epoch(make_timestamp(
+        year(get_current_timestamp() AT TIME ZONE 'UTC'), month(ts), day(ts), hour(ts), minute(ts),
+        CAST(second(ts) AS DOUBLE))) AS BIGINT) AS epoch FROM events""",
     "sysmon_events": _events(_SYSMON_FROM, **_SYSMON_ROWS),
     "sysmon_by_category": f"""SELECT coalesce(m.category, 'process') AS category,
         coalesce(m.type, 'info') AS type, count(*) AS events,

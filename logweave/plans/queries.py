@@ -177,6 +177,13 @@ def syslog_times(spark, sf_dir):
     return parts[0].unionByName(parts[1])
 
 
+@query
+def syslog_current_year(spark, sf_dir):
+    """Time stamps without a year are of the current one in UTC, unless a year is given."""
+    events = syslog.normalize_syslog(_records(spark, sf_dir, rawlogs.SYSLOG_3164_SQL))
+    return events.select(F.col("event_id").alias("row_id"), F.unix_seconds("event.created_ts").alias("epoch"))
+
+
 # ---- Sysmon -------------------------------------------------------------------
 
 

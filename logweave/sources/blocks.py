@@ -165,12 +165,14 @@ def json_pieces(spark: SparkSession, path: str, max_file_mb: float | None) -> Da
     """Texts between closing braces, with quotes and depths for either state before them."""
     quotes = F.regexp_replace("raw", r'(?s)[^"\\]++|\\.', "")
     inside = F.concat(F.lit('"'), "raw")
+    text = F.trim(F.regexp_replace("raw", r"[\t\r\n]++", " "))
     pieces = read_pieces(spark, path, "}", max_file_mb, {
+        "_first": F.substring(text, 1, 1), "_closed": F.endswith(text, F.lit("]")), "_blank": text == "",
         "_swaps": F.length(F.replace(quotes, F.lit("\\"))) % 2 == 1,
         "_b_out": _braces(F.col("raw")), "_b_in": _braces(inside),
     })
     return pieces.select(
-        "raw", *BLOCK, "_place", "_swaps",
+        "raw", *BLOCK, "_place", "_swaps", "_first", "_closed", "_blank",
         *[F.struct(_depth(F.col(b)).alias("by"), _lowest(F.col(b)).alias("low")).alias(f"_{state}")
           for state, b in (("out", "_b_out"), ("in", "_b_in"))],
     )
@@ -215,19 +217,18 @@ def json_states(pieces: DataFrame) -> DataFrame:
 
 
 def json_kinds(states: DataFrame) -> DataFrame:
-    """``kind`` of each file: one ``array``, one ``object``, or else ``lines``."""
+    """``kind`` of each file: one ``array``, one ``object``, or else ``lines``.  No text is looked at."""
     at = F.struct("_start", "_place")
-    text = F.trim(F.regexp_replace("raw", r"[\t\r\n]++", " "))
-    last = F.max_by(F.struct(F.endswith(text, F.lit("]")).alias("closed"), "_to", "_low"), at)
+    last = F.max_by(F.struct("_closed", "_to", "_low"), at)
     below = (F.col("_to") < 1) | (F.coalesce("_low", F.lit(1)) < 1)
     files = states.groupBy(FILE).agg(
-        F.min_by(F.substring(text, 1, 1), at).alias("_first"), last.alias("_last"),
+        F.min_by("_first", at).alias("_first"), last.alias("_last"),
         F.count_if(below).alias("_below"),
         F.count_if((F.col("_to") == 0) & ~F.col("_string")).alias("_objects"),
-        F.count_if((F.col("_to") < 0) & (text != "")).alias("_more"),
+        F.count_if((F.col("_to") < 0) & ~F.col("_blank")).alias("_more"),
     )
     # The last piece of an array has no brace behind it, but counts one.
-    array = ((F.col("_first") == "[") & F.col("_last.closed") & (F.col("_last._to") == -1)
+    array = ((F.col("_first") == "[") & F.col("_last._closed") & (F.col("_last._to") == -1)
              & (F.col("_last._low") == 0) & (F.col("_below") == 1))
     alone = (F.col("_first") == "{") & (F.col("_objects") == 1) & (F.col("_more") == 0)
     return files.select(FILE, F.when(array, "array").when(alone, "object").otherwise("lines").alias("_kind"))

@@ -183,9 +183,8 @@ def read_json(
     """
     chosen = {"wazuh": _alerts, "cef": _objects}[kind]
     pieces = blocks.json_pieces(spark, path, max_file_mb)
-    states = blocks.json_states(pieces)
     folder = scratch_path(spark, "kinds")
-    blocks.json_kinds(states).write.parquet(folder)
+    blocks.json_kinds(blocks.json_states(pieces.drop("raw"))).write.parquet(folder)
     kinds = spark.read.schema(f"{SOURCE_FILE} string, _kind string").parquet(folder)
 
     def of(rows: DataFrame, wanted: str) -> DataFrame:
