@@ -88,34 +88,64 @@ def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
     return has.select("doc_id", "tag", kinds.alias("kinds")).filter(F.size("kinds") > 0)
 
 
+#: Matches that one running sum steps over; sums of blocks of so many are then summed in turn.
+BLOCK = 128
+
+
+def _bound(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(steps: Column) -> Column:
+    """The sums of all steps before each one (array<int>)."""
+    return F.aggregate(
+        steps, F.array(F.lit(0)),
+        lambda sums, step: F.concat(sums, F.array(F.element_at(sums, -1) + step)),
+    )
+
+
 def _spans(rule: Rule, order: int, text: Column) -> Column:
     """array<struct<start, kind order, end>> of a rule.
 
-    The pieces between matches and the matches alternate, so lengths give positions.
+    The pieces between matches and the matches alternate, so lengths give positions: sums run inside blocks of
+    ``BLOCK`` matches, then over the blocks, so a text's work is in proportion to its matches.
     """
-    pattern = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    parts = F.arrays_zip(
-        found.alias("found"),
-        F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
-        F.split(text, rule.pattern, -1).alias("gap"),
-    )
-    steps = F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("spans")),
-        lambda state, part: F.struct(
-            (state["at"] + F.char_length(part["gap"]) + F.coalesce(F.char_length(part["found"]), F.lit(0))).alias("at"),
-            F.when(
-                F.char_length(part["value"]) >= rule.least,
-                F.concat(state["spans"], F.array(F.struct(
-                    (state["at"] + F.char_length(part["gap"])).alias("start"),
-                    F.lit(order).alias("kind"),
-                    (state["at"] + F.char_length(part["gap"]) + F.char_length(part["found"])).alias("end"),
-                ))),
-            ).otherwise(state["spans"]).alias("spans"),
+    found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
+    value = found if not rule.group else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+    parts = F.transform(
+        F.arrays_zip(found.alias("found"), value.alias("value"), F.split(text, rule.pattern, -1).alias("gap")),
+        lambda p: F.struct(
+            F.char_length(p["gap"]).alias("gap"),
+            F.coalesce(F.char_length(p["found"]), F.lit(0)).alias("found"),
+            F.coalesce(F.char_length(p["value"]), F.lit(-1)).alias("value"),
         ),
     )
-    return steps["spans"]
+
+    def in_block(block: Column) -> Column:
+        """The block's length, and its spans counted from its own start."""
+        before = _running(F.transform(block, lambda p: p["gap"] + p["found"]))
+        return _bound(before, lambda sums: F.struct(
+            F.element_at(sums, -1).alias("length"),
+            F.filter(
+                F.zip_with(block, F.slice(sums, F.lit(1), F.size(block)), lambda p, at: F.struct(
+                    (at + p["gap"]).alias("start"), F.lit(order).alias("kind"),
+                    (at + p["gap"] + p["found"]).alias("end"), p["value"].alias("value"),
+                )),
+                lambda s: s["value"] >= rule.least,
+            ).alias("spans"),
+        ))
+
+    def whole(parts: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1)), F.lit(BLOCK))
+        blocks = F.transform(firsts, lambda k: _bound(F.slice(parts, k, F.lit(BLOCK)), in_block))
+        return _bound(blocks, lambda done: F.flatten(F.zip_with(
+            done, F.slice(_running(F.transform(done, lambda b: b["length"])), F.lit(1), F.size(done)),
+            lambda b, at: F.transform(b["spans"], lambda s: F.struct(
+                (s["start"] + at).alias("start"), s["kind"].alias("kind"), (s["end"] + at).alias("end"))),
+        )))
+
+    return _bound(parts, whole)
 
 
 def scan(documents: DataFrame, rules: list[Rule] = RULES) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import time
 import zlib
 
 import helpers
@@ -220,6 +221,17 @@ def test_secrets(spark, odd, empty, documents):
         assert got == sorted((repr(r["doc_id"]), brute_secrets(r["text"])) for r in table.collect())
 
 
+def test_many_secrets_in_one_text(spark):
+    """Positions past many blocks, and work in proportion to the matches of a text."""
+    runs = " ".join(f"{k:024x} é token={k:07d}" for k in range(50_000))
+    frame = spark.createDataFrame([helpers.row(1, runs), helpers.row(2, "b" * 24)], helpers.SCHEMA)
+    start = time.monotonic()
+    got = {r["doc_id"]: r for r in secret_scan.report(frame).collect()}
+    assert time.monotonic() - start < 60
+    assert got[1]["n_hex"] == got[1]["n_assign"] == 50_000
+    assert got[1]["spans"] == brute_secrets(runs) and got[2]["spans"] == "hex:0:24"
+
+
 def test_secret_scan_is_native(documents):
     plan = secret_scan.report(documents)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
