@@ -7,10 +7,15 @@ a few edits apart then differ in few places.  Each repetition samples ``SAMPLED`
 a window and an item of its length that share a key in any repetition are compared exactly.
 
 * Repetitions: for each length of items as many as these need for the target recall at the largest distance allowed.
-* Only windows that share enough runs of ``q`` words with an item, each within ``k`` words of its place there, are
-  embedded.  That loses none: ``k`` edits touch at most ``k * q`` of the ``n - q + 1`` runs of an item of ``n`` words.
-* Items go to the executors in blocks of ``BLOCK`` items, each block against all documents; items of fewer than
-  ``LEAST`` words (null and empty ones, too) can't be told from ordinary language and are left out.
+* The buckets are the index: a window's keys are looked up among those of all items of its length, and the items
+  found there are its only candidates.
+* Windows that can't match any item of their length are not embedded: a match shares enough runs of ``q`` words with
+  its item, each within ``k`` words of its place there.  That loses none: ``k`` edits touch at most ``k * q`` of the ``n - q + 1`` runs
+  of an item of ``n`` words.
+* Items of fewer than ``LEAST`` words allow no edit; they are looked up by the hash of all their words and compared
+  word by word.  Items without a word (null and empty ones, too) match nothing.
+* Items go to the executors in blocks of at most ``BLOCK`` items and about ``BLOCK_WORDS`` words, each block against
+  all documents.
 * Null texts have no words and match nothing.  Null ids stay null; repeated rows each give their own matches.
 * Empty tables give an empty result; extra columns are ignored.  Of several windows that match an item, the one with the
   least distance is reported, then the first.
@@ -30,7 +35,11 @@ from pyspark.sql import functions as F
 
 from logweave.llm import common
 
-RATE, LEAST, SAMPLED, BLOCK = 0.2, 5, 3, 20_000
+RATE, SAMPLED, BLOCK = 0.2, 3, 20_000
+#: Words of the shortest item that allows an edit.
+LEAST = 5
+#: Words of a block of items; with their keys and runs, some 200 bytes a word in a Python worker.
+BLOCK_WORDS = 1_000_000
 TARGET_RECALL = 0.99
 #: Edited copies at least that the repetitions of a length are measured on.
 TRIALS = 1000
@@ -145,43 +154,72 @@ def repetitions_for(items: list[np.ndarray], target: float, seed: int = 4) -> in
 def repetitions_by_length(items: list[tuple[int, np.ndarray]], target: float = TARGET_RECALL) -> dict[int, int]:
     by_length: dict[int, list[np.ndarray]] = {}
     for _, words in items:
-        by_length.setdefault(len(words), []).append(words)
+        if len(words) >= LEAST:
+            by_length.setdefault(len(words), []).append(words)
     return {n: repetitions_for(same, target) for n, same in by_length.items()}
 
 
+class Buckets:
+    """Bucket keys of the items of one length, sorted in each repetition."""
+
+    def __init__(self, items: np.ndarray, words: np.ndarray, repetitions: int):
+        self.items, self.words = items, words
+        self.places, self.seeds = rounds(words.shape[1], repetitions)
+        keys = walk(words, self.places, self.seeds).T
+        self.order = np.argsort(keys, axis=1, kind="stable")
+        self.keys = np.take_along_axis(keys, self.order, axis=1)
+
+    def lookup(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct pairs (window, place of an item in ``items``) that share a key in any repetition."""
+        mine, pairs = walk(windows, self.places, self.seeds), []
+        for r, keys in enumerate(self.keys):
+            low = np.searchsorted(keys, mine[:, r], side="left")
+            count = np.searchsorted(keys, mine[:, r], side="right") - low
+            window = np.repeat(np.arange(len(windows)), count)
+            post = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(len(window))
+            pairs.append(window * len(self.items) + self.order[r][post])
+        both = np.unique(np.concatenate(pairs))
+        return both // len(self.items), both % len(self.items)
+
+
 class Index:
-    """Items by length, their bucket keys, and the runs of words that a match can't lack."""
+    """Buckets of items by their length, the runs of words that a match can't lack, and hashes of short items."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], repetitions: dict[int, int] | None = None):
         self.items = items
         words = [w for _, w in items]
         self.edits = np.array([int(RATE * len(w)) for w in words], np.int64)
         self.lengths = np.array([len(w) for w in words], np.int64)
-        self.q = int(min([3, *(self.lengths // (self.edits + 1))]))
+        self.by_length = {
+            n: np.flatnonzero(self.lengths == n) for n in sorted(set(self.lengths.tolist()))
+        }
+        #: By length: hashes of whole short items, sorted, and their numbers.
+        self.short = {}
+        for n in [n for n in self.by_length if n < LEAST]:
+            which = self.by_length.pop(n)
+            hashes = np.concatenate([common.rolling(words[k], n) for k in which])
+            order = np.argsort(hashes, kind="stable")
+            self.short[n] = (hashes[order], which[order])
+        long = np.flatnonzero(self.lengths >= LEAST)
+        self.q = int(min([3, *(self.lengths[long] // (self.edits[long] + 1))]))
         #: Runs of q words that a window within the edits shares with its item at least.
         self.needed = np.maximum(self.lengths + 1 - self.q * (self.edits + 1), 1)
         self.repetitions = repetitions or repetitions_by_length(items)
-        self.by_length = {
-            n: np.flatnonzero(self.lengths == n) for n in sorted(set(self.lengths.tolist()))
+        self.buckets = {
+            n: Buckets(which, np.stack([words[k] for k in which]), self.repetitions[n])
+            for n, which in self.by_length.items()
         }
-        self.keys = {}
-        #: Place of an item among those of its length.
-        self.place = np.zeros(len(words), np.int64)
-        for n, which in self.by_length.items():
-            self.place[which] = np.arange(len(which))
-            places, seeds = rounds(n, self.repetitions[n])
-            self.keys[n] = (places, seeds, walk(np.stack([words[k] for k in which]), places, seeds))
-        grams = [common.rolling(w, self.q) for w in words]
-        gram = np.concatenate(grams)
-        of = np.repeat(np.arange(len(words)), [len(g) for g in grams])
-        offset = np.concatenate([np.arange(len(g)) for g in grams])
+        grams = [common.rolling(words[k], self.q) for k in long]
+        gram = np.concatenate([np.empty(0, np.uint64), *grams])
+        of = np.repeat(long, [len(g) for g in grams])
+        offset = np.concatenate([np.empty(0, np.int64), *(np.arange(len(g)) for g in grams)])
         order = np.argsort(gram, kind="stable")
         self.gram, self.of, self.offset = gram[order], of[order], offset[order]
         self.filter = np.zeros(1 << 22, bool)
         self.filter[(self.gram & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def windows(self, flat: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Distinct (document, start, item) of all windows with enough runs of an item's words."""
+        """Distinct (length, document, start) of all windows that share enough runs with an item of their length."""
         hashes = common.rolling(flat, self.q)
         at = np.flatnonzero(self.filter[(hashes & np.uint64((1 << 22) - 1)).astype(np.int64)])
         low = np.searchsorted(self.gram, hashes[at], side="left")
@@ -210,47 +248,56 @@ class Index:
         each = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
         start = np.clip(np.repeat(first, spread) + each, 0, np.repeat(np.maximum(size - 1, 0), spread))
         return np.unique(np.stack([
-            np.repeat(owner[k], spread), start, np.repeat(item[k], spread)
+            np.repeat(self.lengths[item[k]], spread), np.repeat(owner[k], spread), start
         ], axis=1), axis=0)
 
+    def short_matches(self, flat: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Document number, item number and start of every whole short item."""
+        for n, (hashes, which) in self.short.items():
+            mine = common.rolling(flat, n)
+            low = np.searchsorted(hashes, mine, side="left")
+            count = np.searchsorted(hashes, mine, side="right") - low
+            for at in np.flatnonzero(count).tolist():
+                owner = int(np.searchsorted(ends, at, side="right")) - 1
+                for item in which[low[at] : low[at] + count[at]].tolist():
+                    if at + n <= ends[owner + 1] and (flat[at : at + n] == self.items[item][1]).all():
+                        yield owner, item, at - int(ends[owner])
+
     def matches(self, flat: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Document number, item, start and distance of each best match."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        found = self.windows(flat, ends)
+
+        def offer(document: int, item: int, distance: int, start: int) -> None:
+            value = (distance, start)
+            if value < best.get((document, item), (distance + 1, 0)):
+                best[document, item] = value
+
+        for document, item, start in self.short_matches(flat, ends):
+            offer(document, item, 0, start)
+        found = self.windows(flat, ends) if self.buckets else np.empty((0, 3), np.int64)
         padded = np.concatenate([flat, np.zeros(1, np.uint64)])
-        length = self.lengths[found[:, 2]]
-        for n in np.unique(length).tolist():
-            all_rows = found[length == n]
+        for n, buckets in self.buckets.items():
+            all_rows = found[found[:, 0] == n]
             for k in range(0, len(all_rows), 2048):
-                rows = all_rows[k : k + 2048]
-                # Rows of a window stand together; its items are compared where they share a key with it.
-                new = np.ones(len(rows), bool)
-                new[1:] = (rows[1:, :2] != rows[:-1, :2]).any(axis=1)
-                of, begin = np.cumsum(new) - 1, ends[rows[new, 0]] + rows[new, 1]
-                size = np.minimum(ends[rows[new, 0] + 1] - begin, n)
+                _, owner, start = all_rows[k : k + 2048].T
+                begin = ends[owner] + start
+                size = np.minimum(ends[owner + 1] - begin, n)
                 steps = np.arange(n)
-                place = np.where(steps < size[:, None], begin[:, None] + steps, len(flat))
-                window = padded[place]
-                places, seeds, keys = self.keys[n]
-                mine = walk(window, places, seeds)
-                meets = np.flatnonzero((mine[of] == keys[self.place[rows[:, 2]]]).any(axis=1))
-                if not len(meets):
-                    continue
-                w, i = of[meets], rows[meets, 2]
-                words = np.stack([self.items[x][1] for x in i])
-                apart = distances(window[w], words, size[w])
-                for x in np.flatnonzero(apart <= self.edits[i]):
-                    pair = (int(rows[meets[x], 0]), int(i[x]))
-                    value = (int(apart[x]), int(rows[meets[x], 1]))
-                    if pair not in best or value < best[pair]:
-                        best[pair] = value
+                window = padded[np.where(steps < size[:, None], begin[:, None] + steps, len(flat))]
+                w, place = buckets.lookup(window)
+                for p in range(0, len(w), 4096):
+                    of, to = w[p : p + 4096], place[p : p + 4096]
+                    apart = distances(window[of], buckets.words[to], size[of])
+                    for x in np.flatnonzero(apart <= int(RATE * n)):
+                        offer(int(owner[of[x]]), int(buckets.items[to[x]]), int(apart[x]), int(start[of[x]]))
         return [(d, self.items[i][0], s, a) for (d, i), (a, s) in best.items()]
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, np.ndarray]], dict[int, int]]]:
     """The items in blocks of bounded size, with the repetitions of each length of items."""
     forms = Forms()
-    parts = -(-benchmark.count() // BLOCK)
+    size = benchmark.agg(F.count(F.lit(1)).alias("items"), F.sum(common.word_count(F.col("text"))).alias("words")).first()
+    parts = max(-(-size["items"] // BLOCK), -(-(size["words"] or 0) // BLOCK_WORDS))
     for part in range(parts):
         mine = benchmark.select("item_id", common.as_binary(F.col("text")).alias("words")).filter(
             F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part
@@ -258,21 +305,22 @@ def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, np.ndarray]]
         items = []
         for row in sorted(mine.collect(), key=lambda r: (r["item_id"] is None, r["item_id"], r["words"])):
             words, _ = word_forms([bytes(row["words"])], forms)
-            if len(words) >= LEAST:
+            if len(words):
                 items.append((row["item_id"], words))
         if items:
             yield items, repetitions_by_length(items)
 
 
-_INDEXES: dict[int, Index] = {}
+#: The last block that this Python worker met, held so that its identity stays its own, and its index.
+_LAST: list = []
 
 
 def _index(shared) -> Index:
-    """The index of a broadcast, built once per Python worker."""
-    if id(shared.value) not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[id(shared.value)] = Index(*shared.value)
-    return _INDEXES[id(shared.value)]
+    """The index of a broadcast block, built once per Python worker."""
+    block = shared.value
+    if not _LAST or _LAST[0] is not block:
+        _LAST[:] = [block, Index(*block)]
+    return _LAST[1]
 
 
 MATCHES = "doc_id bigint, tag bigint, item_id bigint, start int, distance int, n_words int"

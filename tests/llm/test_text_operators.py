@@ -338,9 +338,9 @@ def test_recall_of_each_length():
             words[random.choice(n, int(decontam.RATE * n), replace=False)] = random.integers(
                 1, 1 << 62, int(decontam.RATE * n), np.uint64)
             windows.append(words)
-        places, seeds, keys = index.keys[n]
-        met = (decontam.walk(np.stack(windows), places, seeds) == keys[of]).any(axis=1)
-        assert met.mean() >= 0.97, n
+        window, place = index.buckets[n].lookup(np.stack(windows))
+        met = set(zip(window.tolist(), place.tolist(), strict=True))
+        assert np.mean([(k, int(p)) in met for k, p in enumerate(of)]) >= 0.97, n
         hits = 0
         for k in range(40):
             around = random.integers(1, 1 << 62, 30, np.uint64)
@@ -352,6 +352,36 @@ def test_recall_of_each_length():
         assert hits >= 39, n
 
 
+def test_short_items_are_found_whole(spark, empty):
+    """Items of one to four words, alone and beside long ones; scripts without spaces are one word."""
+    items = [(1, "alpha beta"), (2, "Gamma!"), (3, "one two three four"), (4, "这是一个基准问题的完整文本"), (5, "!!"), (6, None)]
+    long = [(7, "a long item of seven plain words"), (8, "alpha beta")]
+    texts = ["x alpha beta y", "alpha", "beta alpha", "say gamma, twice gamma", "one two three", "one two three four",
+             "这是一个基准问题的完整文本", "a long item with seven plain words", None, "", "ALPHA, beta"]
+    frame = spark.createDataFrame([helpers.row(k, t) for k, t in enumerate(texts)], helpers.SCHEMA)
+    short_only = {(0, 1, 1, 2), (3, 2, 1, 1), (5, 3, 0, 4), (6, 4, 0, 1), (10, 1, 0, 2)}
+    both = short_only | {(0, 8, 1, 2), (10, 8, 0, 2), (7, 7, 0, 7)}
+    for rows, want in ((items, short_only), (items + long, both)):
+        benchmark = spark.createDataFrame(rows, "item_id bigint, text string")
+        found = decontam.contaminated(frame, benchmark)
+        assert {(r["doc_id"], r["item_id"], r["start"], r["n_words"]) for r in found.collect()} == want
+        left = {r["doc_id"] for r in decontam.decontaminate(frame, benchmark).collect()}
+        assert left == set(range(len(texts))) - {d for d, *_ in want}
+        assert decontam.contaminated(empty, benchmark).count() == 0
+
+
+def test_windows_have_candidates_of_their_bucket_only():
+    """Among 50,000 items of one length a window meets its own and few others."""
+    random = np.random.default_rng(11)
+    words = random.integers(1, 1 << 62, (50_000, 12), np.uint64)
+    buckets = decontam.Buckets(np.arange(len(words)), words, 12)
+    windows = words[:400].copy()
+    windows[np.arange(400), random.integers(12, size=400)] = 5
+    window, place = buckets.lookup(windows)
+    assert np.mean([k in place[window == k] for k in range(400)]) >= 0.97
+    assert len(window) < 800
+
+
 # ---- mixing --------------------------------------------------------------------
 
 
