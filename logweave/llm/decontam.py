@@ -3,8 +3,9 @@
 Words are compared without case and punctuation.  A window of a document as long as an item matches it if their
 edit distance in words is at most ``RATE`` of the item's words.  The CGK walk maps a sequence to three times as many
 symbols: each step emits the current word and moves on if a random bit of (step, word) says so; sequences
-a few edits apart then differ in few places.  Each repetition samples ``SAMPLED`` of those places as a bucket key;
-a window and an item of its length that share a key in any repetition are compared exactly.
+a few edits apart then differ in few places.  Each repetition samples ``SAMPLED`` of the first two thirds of those
+places as a bucket key (the rest mostly follows the last word); a walk that has left the sequence at one of them has no
+bucket there.  A window and an item of its length that share a key in any repetition are compared exactly.
 
 * Repetitions: for each length of items as many as these need for the target recall at the largest distance allowed.
 * The buckets are the index: a window's keys are looked up among those of all items of its length, and the items
@@ -67,25 +68,30 @@ def word_forms(texts: list[bytes], forms: Forms) -> tuple[np.ndarray, np.ndarray
 
 
 def walk(sequences: np.ndarray, places: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """Bucket keys (sequences x repetitions); ``places``: repetitions x sampled steps; 0 pads a sequence."""
+    """Bucket keys (sequences x repetitions); ``places``: repetitions x sampled steps; 0 pads a sequence.
+
+    The key is 0, no bucket, where a sampled step stands past the words.
+    """
     count, length = sequences.shape
     padded = np.concatenate([sequences, np.zeros((count, 1), np.uint64)], axis=1)
     rows = np.arange(count)[:, None]
     at = np.zeros((count, len(seeds)), np.int64)
     keys = np.broadcast_to(seeds, at.shape).copy()
+    inside = np.ones(at.shape, bool)
     for step in range(int(places.max()) + 1):
         now = padded[rows, np.minimum(at, length)]
         taken = (places == step).any(axis=1)
         if taken.any():
             keys[:, taken] = common.mix(keys[:, taken] * np.uint64(31) + now[:, taken])
+            inside[:, taken] &= now[:, taken] != 0
         at += (common.mix(now + seeds * np.uint64(2 * step + 1)) & np.uint64(1)).astype(np.int64)
-    return keys
+    return np.where(inside, keys | np.uint64(1), np.uint64(0))
 
 
 def plan(length: int, repetitions: int, seed: int = 9) -> tuple[np.ndarray, np.ndarray]:
     """Sampled steps and seeds of all repetitions for sequences of a length."""
     random = np.random.default_rng([seed, length])
-    places = np.stack([random.choice(3 * length, min(SAMPLED, 3 * length), replace=False)
+    places = np.stack([random.choice(2 * length, min(SAMPLED, 2 * length), replace=False)
                        for _ in range(repetitions)])
     return places, random.integers(1, 1 << 63, repetitions, np.uint64)
 
@@ -141,10 +147,11 @@ def repetitions_for(items: list[np.ndarray], target: float, seed: int = 4) -> in
     done = 0
     while True:
         places, seeds = (v[done:] for v in rounds(length, done + ROUND))
-        met = np.concatenate([
-            walk(part[:, 0], places, seeds) == walk(part[:, 1], places, seeds)
+        pairs = [
+            (walk(part[:, 0], places, seeds), walk(part[:, 1], places, seeds))
             for part in np.array_split(left, -(-len(left) // 512))
-        ])
+        ]
+        met = np.concatenate([(a == b) & (a != 0) for a, b in pairs])
         unmet = (~np.logical_or.accumulate(met, axis=1)).sum(axis=0)
         if unmet[-1] <= most:
             return done + int(np.argmax(unmet <= most)) + 1
@@ -175,6 +182,7 @@ class Buckets:
         for r, keys in enumerate(self.keys):
             low = np.searchsorted(keys, mine[:, r], side="left")
             count = np.searchsorted(keys, mine[:, r], side="right") - low
+            count[mine[:, r] == 0] = 0
             window = np.repeat(np.arange(len(windows)), count)
             post = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(len(window))
             pairs.append(window * len(self.items) + self.order[r][post])

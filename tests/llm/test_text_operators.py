@@ -276,7 +276,8 @@ def test_walk_of_equal_sequences_is_equal():
     places, seeds = decontam.plan(20, 7)
     assert (decontam.walk(a, places, seeds) == decontam.walk(a.copy(), places, seeds)).all()
     other = decontam.walk(random.integers(1, 1 << 62, (5, 20), np.uint64), places, seeds)
-    assert not (decontam.walk(a, places, seeds) == other).any()
+    keys = decontam.walk(a, places, seeds)
+    assert not ((keys == other) & (keys != 0)).any() and (keys != 0).mean() > 0.5
 
 
 def test_distances():
