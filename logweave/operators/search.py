@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -78,7 +78,11 @@ def events_page(
     rows are sorted.  Every page takes the same steps.  What comes back to
     the driver are the blocks that the page touches, no more than it has rows, and one.
     """
-    offset, rows = page_limits(page, per_page)
+    return page_at(table, *page_limits(page, per_page))
+
+
+def page_at(table: DataFrame, offset: int, rows: int) -> DataFrame:
+    """So many rows from an offset on, in the order of :func:`events_page`."""
     for size in _TIME_BLOCKS:
         block = F.substring("indexed_at", 1, size)
         table, offset = _narrowed(table, {"_time": block}, [F.desc("_time")], offset, rows)
@@ -96,12 +100,7 @@ def _narrowed(
     counts = table.groupBy(*[c.alias(n) for n, c in blocks.items()]).agg(
         F.count(F.lit(1)).alias("_rows")
     )
-    start = F.sum("_rows").over(Window.orderBy(*order)) - F.col("_rows")
-    touched = (
-        counts.withColumn("_start", start)
-        .filter((F.col("_start") < offset + rows) & (F.col("_start") + F.col("_rows") > offset))
-        .collect()
-    )
+    touched = touched_blocks(counts, order, offset, rows)
     if not touched:
         return table.limit(0), 0
     if len(blocks) == 1:
@@ -114,10 +113,24 @@ def _narrowed(
     return table, offset - min(r["_start"] for r in touched)
 
 
+def touched_blocks(counts: DataFrame, order: list[Column], offset: int, rows: int) -> list[Row]:
+    """Blocks (counts with ``_rows``) that hold rows ``[offset, offset + rows)``, with the rows before each."""
+    start = F.sum("_rows").over(Window.orderBy(*order)) - F.col("_rows")
+    return (
+        counts.withColumn("_start", start)
+        .filter((F.col("_start") < offset + rows) & (F.col("_start") + F.col("_rows") > offset))
+        .collect()
+    )
+
+
 def page_count(table: DataFrame, per_page: int = DEFAULT_PAGE_ROWS) -> DataFrame:
     """Total rows and pages, at least one page."""
+    return pages_of(table.agg(F.count(F.lit(1)).alias("total")), per_page)
+
+
+def pages_of(total: DataFrame, per_page: int) -> DataFrame:
     rows = page_limits(1, per_page)[1]
-    return table.agg(F.count(F.lit(1)).alias("total")).select(
+    return total.select(
         "total",
         F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("total") / rows)).alias("pages"),
     )

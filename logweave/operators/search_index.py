@@ -47,11 +47,16 @@ def _indexed(spark: SparkSession, index_path: str) -> DataFrame | None:
     return store.if_there(lambda: spark.read.schema(INDEX_DDL).parquet(index_path))
 
 
-def _current(table: DataFrame) -> dict[str, str]:
+def current_files(table: DataFrame) -> dict[str, str]:
     """Stored files by their name as rows give it."""
     return {_plain(f): f for f in table.inputFiles()}
 
 
+def plain_path(path: Column) -> Column:
+    """A path however many slashes follow its scheme, as :func:`current_files` names it."""
+    return F.regexp_replace(path, r"^([a-z0-9]+):/+", "$1:/")
+
+
 def _plain(path: str) -> str:
     """A path however many slashes follow its scheme."""
     return re.sub(r"^([a-z0-9]+):/+", r"\1:/", path)
@@ -60,7 +65,7 @@ def _plain(path: str) -> str:
 def update_index(spark: SparkSession, path: str, index_path: str) -> int:
     """Index the stored files that aren't yet, and return how many there were; to be called after a load."""
     table = store.read_events(spark, path)
-    files, known = _current(table), _indexed(spark, index_path)
+    files, known = current_files(table), _indexed(spark, index_path)
     if known is not None:
         for row in known.filter("gram = ''").select("file").toLocalIterator():
             files.pop(_plain(row["file"]), None)
@@ -84,7 +89,7 @@ def needed_grams(term: str) -> list[str]:
 
 def candidate_files(spark: SparkSession, path: str, index_path: str, term: str) -> list[str]:
     """Stored files that can hold a match."""
-    files, needed = _current(store.read_events(spark, path)), needed_grams(term)
+    files, needed = current_files(store.read_events(spark, path)), needed_grams(term)
     known = _indexed(spark, index_path)
     if known is None or not needed:
         return sorted(files.values())

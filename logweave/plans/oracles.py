@@ -542,6 +542,13 @@ ORACLES: dict[str, str] = {
         ORDER BY indexed_at DESC, event_id LIMIT 50 OFFSET 100""",
     "events_deep_page": f"""{_STORED} SELECT {_LISTED.replace('indexed_at', 'substr(indexed_at, 1, 9) AS indexed_at')}
         FROM stored ORDER BY substr(stored.indexed_at, 1, 9) DESC, event_id LIMIT 70 OFFSET 770""",
+    "directory_page": f"""{_STORED} SELECT {_LISTED} FROM stored
+        ORDER BY indexed_at DESC, event_id LIMIT 50 OFFSET 100""",
+    "directory_deep_page": f"""{_STORED}
+        SELECT {_LISTED.replace('indexed_at', "'2024-02-01T00:00:00.000Z' AS indexed_at")}
+        FROM stored ORDER BY event_id LIMIT 70 OFFSET 770""",
+    "directory_count": f"""{_STORED} SELECT count(*) AS total,
+        CAST(greatest(1, ceil(count(*) / 50.0)) AS BIGINT) AS pages FROM stored""",
     "get_event": f"""{_STORED} SELECT event_id, event_action AS action, src_port, tags
         FROM stored WHERE event_id = '17'""",
     "export_newest": f"""{_STORED} SELECT {_LISTED} FROM stored

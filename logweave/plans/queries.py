@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from logweave.functions import ids, text
 from logweave.functions.shape import configure, drop_original_log, truncate_original_log
-from logweave.operators import dispatch, flat, search, search_index, store
+from logweave.operators import dispatch, flat, page_directory, search, search_index, store
 from logweave.plans import rawlogs
 from logweave.sources import cef, records, sysmon, syslog, wazuh, wel
 
@@ -767,6 +767,37 @@ def events_deep_page(spark, sf_dir):
     return search.events_page(rows, page=12, per_page=70)
 
 
+@query
+def directory_page(spark, sf_dir):
+    """A page by the directory of counts, which doesn't know the last load yet."""
+    path, directory = store.scratch_path(spark, "stored"), store.scratch_path(spark, "pages")
+    rows = store.stored_rows(_syslog_load(spark, sf_dir), F.col("iso"))
+    late = F.col("indexed_at") > "2024-01-20"
+    store.write_events(rows.filter(~late), path)
+    page_directory.update_directory(spark, path, directory)
+    store.write_events(rows.filter(late), path)
+    return page_directory.events_page(spark, path, directory, page=3, per_page=50)
+
+
+@query
+def directory_deep_page(spark, sf_dir):
+    """A far page of one large load, whose rows all have one load time: found by ranges of ids."""
+    path, directory = store.scratch_path(spark, "stored"), store.scratch_path(spark, "pages")
+    rows = store.stored_rows(_syslog_load(spark, sf_dir), F.lit("2024-02-01T00:00:00.000Z"))
+    store.write_events(rows, path)
+    page_directory.update_directory(spark, path, directory)
+    return page_directory.events_page(spark, path, directory, page=12, per_page=70, source_type="syslog")
+
+
+@query
+def directory_count(spark, sf_dir):
+    """Rows and pages of a table, from its directory."""
+    path, directory = store.scratch_path(spark, "stored"), store.scratch_path(spark, "pages")
+    store.write_events(store.stored_rows(_syslog_load(spark, sf_dir), F.col("iso")), path)
+    page_directory.update_directory(spark, path, directory)
+    return page_directory.page_count(spark, path, directory, per_page=50)
+
+
 @query
 def get_event(spark, sf_dir):
     found = search.get_event(_stored(spark, sf_dir), "17")

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from logweave import configure
 from logweave.functions import ids, text
-from logweave.operators import dispatch, flat, search, search_index, store
+from logweave.operators import dispatch, flat, page_directory, search, search_index, store
 from logweave.plans import rawlogs
 from logweave.plans.queries import _mixed_load, _stored, _syslog_load
 from logweave.schema import EVENT_COLUMNS, event_schema
@@ -440,3 +440,35 @@ def test_no_scratch_folder_is_an_error():
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         store.scratch_path(unset, "x")
+
+
+def test_page_directory(spark, tmp_path):
+    """Every page is that of the plain search, whatever the directory knows, and reads the files of its blocks."""
+    path, directory = str(tmp_path / "events"), str(tmp_path / "pages")
+    rows = _stored(spark, SF_DIR).withColumn("indexed_at", F.substring("indexed_at", 1, 9)).persist()
+    loads = [rows, rows.withColumn("event_id", F.concat(F.lit("x"), "event_id"))
+             .withColumn("indexed_at", F.concat(F.lit("2024-03-0"), F.length("event_id").cast("string"), F.lit("T10:00:30")))]
+    loads.append(rows.limit(40).withColumn("event_id", F.concat(F.lit("y"), "event_id"))
+                 .withColumn("indexed_at", F.concat(F.lit("2024-04-01T10:00:"), F.substring("event_id", 2, 2))))
+    for k, load in enumerate(loads):
+        store.write_events(load.coalesce(3), path)
+        if k != 1:
+            page_directory.update_directory(spark, path, directory)
+        table = store.read_events(spark, path)
+        total = table.count()
+        for page, per_page in ((3, 13), (2, total // 3), (total // 50 + 1, 50)):
+            want = search.events_page(table, page, per_page).collect()
+            assert page_directory.events_page(spark, path, directory, page, per_page).collect() == want
+        assert page_directory.events_page(spark, path, directory, source_type="none").collect() == []
+        count = page_directory.page_count(spark, path, directory, 50).first()
+        assert count == search.page_count(table, 50).first() and count["total"] == total
+    newest = page_directory.events_page(spark, path, directory, 1, 20)
+    assert len(newest.inputFiles()) <= 3 < len(table.inputFiles())
+    # An update written twice changes nothing, nor do entries of files that are gone.
+    spark.read.parquet(directory).write.mode("append").parquet(str(tmp_path / "again"))
+    spark.read.parquet(str(tmp_path / "again")).write.mode("append").parquet(directory)
+    assert page_directory.page_count(spark, path, directory).first()["total"] == total
+    store.clear_all(spark, path)
+    assert page_directory.page_count(spark, path, directory, 50).first() == (0, 1)
+    assert page_directory.events_page(spark, path, directory).collect() == []
+    rows.unpersist()
