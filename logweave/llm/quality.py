@@ -103,6 +103,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 5, alpha
     for _ in range(epochs):
         for k in order.permutation(len(rows)):
             at, x, label = rows[k]
+            x = x.astype(float)
             w = weights(at)
             g = (sigmoid(w @ x) - label) * x
             z[at] += g - (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / alpha * w
@@ -115,7 +116,10 @@ def sigmoid(x):
 
 
 def learn(documents: DataFrame, labels: DataFrame, sample: int = 8_000) -> np.ndarray:
-    """Weights from a bounded sample: its ids are chosen among the labels, its features made on the executors."""
+    """Weights from a bounded sample: its ids are chosen among the labels, its features made on the executors.
+
+    The updates, which follow each other, are one task's; only the weights come to the driver.
+    """
     chosen = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
         .select("doc_id", F.col("quality").cast("int").alias("label"))
@@ -134,21 +138,27 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = 8_000) -> np.nd
                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(value[order].astype(np.float32))),
             ], names=["doc_id", "label", "at", "x"])
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for batch in batches:
+            ids, marks = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist()
+            for k, (doc_id, label) in enumerate(zip(ids, marks, strict=True)):
+                at = np.append(batch.column("at")[k].values.to_numpy(), np.int32(BIAS))
+                x = np.append(batch.column("x")[k].values.to_numpy(), np.float32(1))
+                rows.append((doc_id, label, xxhash.xxh3_64_intdigest(at.tobytes()), at, x))
+        rows.sort(key=lambda row: row[:3])
+        found = train([(at, x, label) for _, label, _, at, x in rows]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["weights"])
+
     # At most ``sample`` ids are broadcast.
-    found = (
+    fitted = (
         documents.select("doc_id", common.as_binary(F.col("text")).alias("text"))
         .join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
         .transform(common.arrow_map, make, "doc_id bigint, label int, at array<int>, x array<float>")
-        .toArrow()
+        .repartition(1).transform(common.arrow_map, fit, "weights binary").collect()
     )
-    rows = []
-    for batch in found.sort_by([("doc_id", "ascending"), ("label", "ascending")]).to_batches():
-        for k in range(batch.num_rows):
-            at = batch.column("at")[k].values.to_numpy(zero_copy_only=False)
-            x = batch.column("x")[k].values.to_numpy(zero_copy_only=False)
-            rows.append((np.append(at, BIAS).astype(np.int64), np.append(x, 1.0).astype(float),
-                         batch.column("label")[k].as_py()))
-    return train(rows).astype(np.float32)
+    # Without any row there may be no task.
+    return np.frombuffer(fitted[0]["weights"], np.float32) if fitted else train([]).astype(np.float32)
 
 
 def score(documents: DataFrame, weights: np.ndarray, keep: list[str], name: str = "score",
