@@ -20,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +59,7 @@ class Words(dict):
 
 def features(texts: list[bytes], known: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text number, feature number and value of all features of the texts, without the bias."""
-    if len(known) > 1 << 20:
+    if len(known) > 1 << 18:
         known.clear()
     lists = [t.split() for t in texts]
     counts = np.array([len(w) for w in lists], np.int64)
@@ -118,7 +119,8 @@ def sigmoid(x):
 def learn(documents: DataFrame, labels: DataFrame, sample: int = 8_000) -> np.ndarray:
     """Weights from a bounded sample: its ids are chosen among the labels, its features made on the executors.
 
-    The updates, which follow each other, are one task's; only the weights come to the driver.
+    The updates, which follow each other, are one task's, which reads the features from the shared folder; only the
+    weights come to the driver.
     """
     chosen = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
@@ -138,27 +140,38 @@ def learn(documents: DataFrame, labels: DataFrame, sample: int = 8_000) -> np.nd
                 pa.ListArray.from_arrays(pa.array(cuts), pa.array(value[order].astype(np.float32))),
             ], names=["doc_id", "label", "at", "x"])
 
+    # At most ``sample`` ids are broadcast.
+    made = common.written(
+        documents.select("doc_id", common.as_binary(F.col("text")).alias("text"))
+        .join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+        .transform(common.arrow_map, make, "doc_id bigint, label int, at array<int>, x array<float>"),
+        "quality-features",
+    )
+    files = made.inputFiles()
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for batch in batches:
+        for _ in batches:
+            rows = []
+            for file in files:
+                rows += _labelled(file)
+            rows.sort(key=lambda row: row[:3])
+            found = train([(at, x, label) for _, label, _, at, x in rows]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["weights"])
+
+    one = documents.sparkSession.range(1, numPartitions=1)
+    return np.frombuffer(one.transform(common.arrow_map, fit, "weights binary").first()["weights"], np.float32)
+
+
+def _labelled(file: str) -> Iterator[tuple[int, int, int, np.ndarray, np.ndarray]]:
+    """doc_id, label, a hash for equal ones, features and values (the bias last) of a written file, some rows at a time."""
+    where, name = common.place(file)
+    with where.open_input_file(name) as source:
+        for batch in pq.ParquetFile(source).iter_batches(256):
             ids, marks = batch.column("doc_id").to_pylist(), batch.column("label").to_pylist()
             for k, (doc_id, label) in enumerate(zip(ids, marks, strict=True)):
                 at = np.append(batch.column("at")[k].values.to_numpy(), np.int32(BIAS))
                 x = np.append(batch.column("x")[k].values.to_numpy(), np.float32(1))
-                rows.append((doc_id, label, xxhash.xxh3_64_intdigest(at.tobytes()), at, x))
-        rows.sort(key=lambda row: row[:3])
-        found = train([(at, x, label) for _, label, _, at, x in rows]).astype(np.float32)
-        yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["weights"])
-
-    # At most ``sample`` ids are broadcast.
-    fitted = (
-        documents.select("doc_id", common.as_binary(F.col("text")).alias("text"))
-        .join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-        .transform(common.arrow_map, make, "doc_id bigint, label int, at array<int>, x array<float>")
-        .repartition(1).transform(common.arrow_map, fit, "weights binary").collect()
-    )
-    # Without any row there may be no task.
-    return np.frombuffer(fitted[0]["weights"], np.float32) if fitted else train([]).astype(np.float32)
+                yield doc_id, label, xxhash.xxh3_64_intdigest(at.tobytes()), at, x
 
 
 def score(documents: DataFrame, weights: np.ndarray, keep: list[str], name: str = "score",
