@@ -162,3 +162,28 @@ def test_json_of_one_file_by_many_tasks(spark, split, tmp_path):
     assert pieces.select("_start").distinct().count() > 10
     events = cef.normalize_json(records.read_json(spark, str(tmp_path / "a.json"), "cef"))
     assert events.filter("_status = 'ok'").select(F.countDistinct("host.name")).first()[0] == 5000
+
+
+# ---- size -----------------------------------------------------------------------
+
+
+def test_a_split_of_short_pieces_is_many_blocks(spark, tmp_path, monkeypatch):
+    """No task sorts or buffers a split's lines alone; records cross the borders in it."""
+    monkeypatch.setattr(blocks, "_PART_BITS", 3)
+    text = "Id,Message\n" + "".join(f'{k},"a\nb ""{k}""\n"\n' for k in range(50))
+    (tmp_path / "a.csv").write_text(text)
+    pieces = blocks.csv_pieces(spark, str(tmp_path / "a.csv"), None)
+    assert pieces.groupBy(*blocks.BLOCK).count().agg(F.max("count")).first()[0] == 8
+    assert read_rows(spark, str(tmp_path / "a.csv")) == sorted(python_rows("a.csv", text))
+    values = [element(random.Random(3), k) for k in range(60)]
+    (tmp_path / "a.json").write_text(json.dumps(values))
+    read = records.read_json(spark, str(tmp_path / "a.json"), "cef").collect()
+    key = lambda v: json.dumps(v, sort_keys=True)
+    assert sorted(key(json.loads(r["raw"])) for r in read) == sorted(key(v) for v in values if isinstance(v, dict))
+
+
+def test_records_are_put_together_once(spark, tmp_path):
+    """The lines' texts are shuffled once, not for each part that reads the records."""
+    (tmp_path / "a.csv").write_text("Id,Message\n1,x\n")
+    plan = records.read_wel(spark, str(tmp_path / "a.csv"))._jdf.queryExecution().executedPlan().toString()
+    assert "_chain" in plan and "_texts" not in plan
