@@ -40,6 +40,9 @@ def stored_schema() -> StructType:
     )
 
 
+# Rows of a load that one task of a bucketed insert sorts; a larger load has several tasks to a bucket.
+_ROWS_PER_TASK = 250_000
+
 # The partition column of a staged table.
 SOURCE_KEY = "_source_key"
 
@@ -185,14 +188,23 @@ def insert_bucketed(rows: DataFrame, name: str, buckets: int = 64, path: str | N
 
     The table's files are dealt by a hash of the id already, so finding the new rows shuffles the load alone, once, and
     nothing of what is stored; each load adds a file to a bucket and partition at most.  Ids sort within files, so the join merges.
+
+    The load is written to the shared folder first.  One of more than ``_ROWS_PER_TASK`` rows a bucket is dealt to several tasks a
+    bucket, each of which adds a file: what a task sorts stays bounded.  The hash modulo a multiple of the buckets tells the bucket
+    too, so a task holds rows of one.  Of what is stored, the column of ids is then shuffled as well.
     """
     spark = rows.sparkSession
-    dated = rows.withColumn("load_date", F.substring("indexed_at", 1, 10))
-    new = dated.repartition(buckets, "event_id").dropDuplicates(["event_id"])
+    folder = scratch_path(spark, "load")
+    load = rows.withColumn("load_date", F.substring("indexed_at", 1, 10))
+    load.write.parquet(folder)
+    dated = spark.read.schema(load.schema).parquet(folder)
+    tasks = buckets * max(1, -(-dated.count() // (buckets * _ROWS_PER_TASK)))
+    new = dated.repartition(tasks, "event_id").dropDuplicates(["event_id"])
     if spark.catalog.tableExists(name):
         new = new.join(spark.table(name).select("event_id").hint("merge"), "event_id", "left_anti").select(dated.columns)
     writer = new.write.mode("append").format("parquet").partitionBy(*_PARTITIONS).bucketBy(
-        buckets, "event_id").sortBy("event_id").options(**_ID_FILTER)
+        buckets, "event_id").sortBy("event_id").options(
+            **_ID_FILTER | {"parquet.bloom.filter.expected.ndv#event_id": str(_ROWS_PER_TASK)})
     (writer if path is None else writer.option("path", path)).saveAsTable(name)
     return new
 

@@ -269,6 +269,25 @@ def test_bucketed_insert_shuffles_the_load_only(spark, tmp_path):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def test_bucketed_insert_of_a_large_load(spark, tmp_path, monkeypatch):
+    """More tasks than buckets, none of which holds rows of two; the table stays bucketed, and each id is stored once."""
+    monkeypatch.setattr(store, "_ROWS_PER_TASK", 50)
+    name = "bucketed_large"
+    rows = _stored(spark, SF_DIR).drop("load_date")
+    n = rows.count()
+    try:
+        store.insert_bucketed(rows.limit(n // 2).unionByName(rows.limit(20)), name, 4, str(tmp_path / "table"))
+        new = store.insert_bucketed(rows, name, 4)
+        assert "hashpartitioning(event_id" in plan(new) and f", {4 * -(-n // 200)})" in plan(new)
+        assert new.count() == 0
+        table = spark.table(name)
+        assert table.count() == table.select("event_id").distinct().count() == n
+        buckets = table.select(F.regexp_extract(F.input_file_name(), r"_(\d+)\.c", 1).cast("int").alias("b"), "event_id")
+        assert buckets.filter(F.expr("b <> pmod(hash(event_id), 4)")).count() == 0
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_search_index_reads_files_with_candidates(spark, tmp_path):
     path, index = str(tmp_path / "events"), str(tmp_path / "index")
     rows = _stored(spark, SF_DIR).drop("load_date")
