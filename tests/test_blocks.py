@@ -182,10 +182,12 @@ def test_a_split_of_short_pieces_is_many_blocks(spark, tmp_path, monkeypatch):
     assert sorted(key(json.loads(r["raw"])) for r in read) == sorted(key(v) for v in values if isinstance(v, dict))
 
 
-def test_arrays_are_not_read_by_line(spark, tmp_path):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_arrays_are_not_read_by_line(spark, tmp_path, monkeypatch, most):
     """An array of one line would be one row of the file's length."""
     (tmp_path / "a b.json").write_text('[{"a": 1}]')
     (tmp_path / "l [1].json").write_text('{"a": 2}\n{"a": 3}')
+    monkeypatch.setattr(records, "_MOST_NAMES", most)
     read = records.read_json(spark, str(tmp_path / "*.json"), "cef")
     assert sorted(json.loads(r["raw"])["a"] for r in read.collect()) == [1, 2, 3]
     kinds = spark.createDataFrame([("x", "array")], "source_file string, _kind string")
