@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from functools import reduce
 
 from py4j.protocol import Py4JError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.storagelevel import StorageLevel
@@ -316,37 +315,33 @@ def current_sessions(spark: SparkSession, path: str) -> DataFrame:
 def clear_session(spark: SparkSession, path: str, session_id: str) -> int:
     """Remove the events of one session and return how many there were.
 
-    Only the partitions (a source's loads of a day) that hold the session are rewritten.
+    Only files that hold the session are rewritten; files of other loads stay, even of the same source and day.  The
+    rows that such files keep are appended before the files go, so a failure in between loses nothing, but leaves rows twice.
     """
     table = read_events(spark, path)
     mine = F.coalesce(F.col("session_id") == session_id, F.lit(False))
-    # A row per partition that holds the session: as many as days on which it was loaded.
+    file = F.col("_metadata.file_path")
+    # A row per file that holds the session, with what its partition (a source's loads of a day) keeps.
     counts = (
-        table.groupBy(*_PARTITIONS)
+        table.groupBy(*_PARTITIONS, file.alias("file"))
         .agg(F.count_if(mine).alias("mine"), F.count_if(~mine).alias("others"))
+        .withColumn("kept", F.sum("others").over(Window.partitionBy(*_PARTITIONS)))
         .filter("mine > 0")
         .collect()
     )
-
-    def held(partitions: list) -> Column:
-        same = [
-            F.col("source_type").eqNullSafe(r["source_type"])
-            & F.col("load_date").eqNullSafe(r["load_date"])
-            for r in partitions
-        ]
-        return reduce(lambda a, b: a | b, same)
-
-    kept = [r for r in counts if r["others"]]
-    if kept:
-        write_events(
-            table.filter(held(kept) & ~mine), path, "overwrite", partitionOverwriteMode="dynamic"
-        )
+    mixed = [r["file"] for r in counts if r["others"]]
+    if mixed:
+        write_events(table.filter(file.isin(mixed) & ~mine), path)
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = [(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(r["file"])), r["kept"]) for r in counts]
+    for name, kept in files:
+        if kept:
+            name.getFileSystem(conf).delete(name, False)
+    # A partition without rows keeps a file, so that the table stays one.
     columns = StructType([f for f in stored_schema().fields if f.name != "source_type"])
-    for r in counts:
-        if not r["others"]:
-            spark.createDataFrame([], columns).write.mode("overwrite").parquet(
-                f"{path}/source_type={r['source_type']}/load_date={r['load_date']}"
-            )
+    for folder in {name.getParent().toString() for name, kept in files if not kept}:
+        spark.createDataFrame([], columns).write.mode("overwrite").parquet(folder)
+    spark.catalog.refreshByPath(path)
     return sum(r["mine"] for r in counts)
 
 

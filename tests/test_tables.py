@@ -1,8 +1,10 @@
 """Invariants over whole tables, files, streams and plans."""
 
 import re
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -396,6 +398,36 @@ def test_clearing_keeps_rows_without_session(spark, tmp_path):
     assert [r[0] for r in store.read_events(spark, path).select("session_id").collect()] == [None]
 
 
+def test_clearing_leaves_files_of_other_sessions(spark, tmp_path):
+    path = str(tmp_path / "odd #%20 events")
+    rows = [r.asDict() | {"source_type": source, "indexed_at": time} for r, source, time in zip(
+        _stored(spark, SF_DIR).limit(6).collect(), "aaaaba", ["2024-02-01T00:00:00Z"] * 5 + [None])]
+    sessions = [["x", "y"], ["y", None], ["x"], ["x"]]
+    for load in sessions:
+        some = [spark.createDataFrame([rows.pop(0) | {"session_id": name}], store.stored_schema()) for name in load]
+        store.write_events(reduce(DataFrame.unionByName, some).coalesce(1), path)
+    files = {r["file"]: r["held"] for r in store.read_events(spark, path).groupBy(
+        F.col("_metadata.file_path").alias("file")).agg(F.collect_list(F.coalesce("session_id", F.lit(""))).alias("held")).collect()}
+    assert store.clear_session(spark, path, "x") == 3
+    after = store.read_events(spark, path)
+    assert sorted(r[0] or "" for r in after.select("session_id").collect()) == ["", "y", "y"]
+    assert after.where("event_id is not null and source_type = 'a'").count() == 3
+    # The file without the session is the one that was there, and no file with it is left.
+    names = {r[0] for r in after.select("_metadata.file_path").distinct().collect()}
+    assert names & set(files) == {name for name, held in files.items() if "x" not in held}
+    assert store.clear_session(spark, path, "x") == 0
+
+
+def test_a_load_is_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
+    events = rawlogs.events_table(spark, SF_DIR)
+    assert rawlogs.dealt(events).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(rawlogs, "_ROWS_PER_TASK", 50)
+    dealt = rawlogs.dealt(events.unionByName(events).withColumn("ts", F.when(F.col("event_id") % 2 == 0, F.col("ts"))))
+    assert dealt.exceptAll(dealt.limit(0)).count() == 2000
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 150
+
+
 def test_the_later_of_two_saves_wins(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "sessions")
     monkeypatch.setattr(store, "now_text", lambda: F.lit("2024-01-01T00:00:00.000Z"))
