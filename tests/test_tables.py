@@ -1,5 +1,7 @@
 """Invariants over whole tables, files, streams and plans."""
 
+import glob
+import os
 import re
 from functools import reduce
 
@@ -12,7 +14,7 @@ from logweave import configure
 from logweave.functions import ids, text
 from logweave.operators import dispatch, flat, page_directory, search, search_index, store
 from logweave.plans import rawlogs
-from logweave.plans.queries import _mixed_load, _stored, _syslog_load
+from logweave.plans.queries import _mixed_load, _stored, _syslog_load, _write_long
 from logweave.schema import EVENT_COLUMNS, event_schema
 from logweave.sources import records, sysmon, syslog, wazuh, wel
 from logweave.streaming import pipeline
@@ -428,6 +430,26 @@ def test_a_load_is_dealt_to_tasks_of_bounded_size(spark, monkeypatch):
     assert len(sizes) > 30 and max(sizes) < 150
 
 
+def test_long_records_take_few_bytes_in_files_over_the_limit(spark, tmp_path):
+    path, count = str(tmp_path / "long"), 1045
+    rows = spark.range(count, numPartitions=5).selectExpr("'r' || CAST(id div 2 AS STRING) || ' ' AS raw")
+    _write_long(rows, path)
+    # A task without rows may leave a file of some bytes.
+    sizes = [size for name in glob.glob(f"{path}/part-*") if (size := os.path.getsize(name)) > 100]
+    # One file of 1000, two of 20, five of one.
+    assert len(sizes) == 8 and min(sizes) > 1.5 * 1024 * 1024 and sum(sizes) < 20e6
+    read = records.read_lines(spark, path).select(F.length("raw").alias("n"), F.regexp_replace("raw", "x*$", "").alias("raw"))
+    assert sorted(r["raw"] for r in read.collect()) == sorted(r["raw"] for r in rows.collect())
+    assert read.where("n = length(raw) + 2000000").count() == count
+    assert records.read_lines(spark, path, 1.5).count() == 0
+
+
+def test_rows_are_numbered_without_gaps(spark):
+    for rows in (spark.range(100, numPartitions=7).where("id % 9 > 2"), spark.range(0)):
+        numbered, count = rawlogs.numbered(rows)
+        assert sorted(r["number"] for r in numbered.collect()) == list(range(count)) and count == rows.count()
+
+
 def test_the_later_of_two_saves_wins(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "sessions")
     monkeypatch.setattr(store, "now_text", lambda: F.lit("2024-01-01T00:00:00.000Z"))
