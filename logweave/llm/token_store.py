@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -53,11 +54,46 @@ MANIFEST = ("shard int, path string, n_docs bigint, n_tokens bigint, n_bytes big
 # ---- encoding -------------------------------------------------------------------
 
 
-def byte_letters() -> dict[int, str]:
+def byte_letters() -> set[str]:
     """How byte-level vocabularies write bytes: printable ones as themselves, the others from 256 on, in order."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return {chr(b) for b in plain} | {chr(256 + k) for k in range(256 - len(plain))}
+
+
+class Memory:
+    """Ids of short strings, as two columns; when they are full, only strings that were met again stay."""
+
+    #: Longer strings, in bytes, are not worth remembering.
+    SHORT = 64
+
+    def __init__(self, most: int):
+        self.most = most
+        self.clear()
+
+    def clear(self) -> None:
+        self.strings, self.ids = pa.array([], pa.string()), pa.array([], pa.large_binary())
+        self.met = np.zeros(0, bool)
+
+    def bound(self) -> None:
+        """Between batches, as places change."""
+        if len(self.strings) > self.most:
+            met = pa.array(self.met)
+            self.strings, self.ids = self.strings.filter(met), self.ids.filter(met)
+            self.met = np.zeros(len(self.strings), bool)
+            if len(self.strings) > self.most // 2:
+                self.clear()
+
+    def find(self, strings: pa.Array) -> pa.Array:
+        """Where they stand, null if they are new."""
+        at = pc.index_in(strings, value_set=self.strings)
+        self.met[at.drop_null().to_numpy()] = True
+        return at
+
+    def add(self, strings: pa.Array, ids: pa.Array) -> None:
+        short = pc.less_equal(pc.binary_length(strings), self.SHORT)
+        self.strings = pa.concat_arrays([self.strings, strings.filter(short)])
+        self.ids = pa.concat_arrays([self.ids, ids.filter(short)])
+        self.met = np.append(self.met, np.zeros(len(self.strings) - len(self.met), bool))
 
 
 class Encoder:
@@ -65,19 +101,23 @@ class Encoder:
 
     A byte-level pre-tokenizer never joins characters across a space that begins a word, nor across the
     end of a run of letters before other ASCII, so a text's ids are those of such pieces one after the other.
-    Runs of letters go to the merges directly.  Other kinds of tokenizer get the whole text.
+    Each word of a batch is looked for once.  Runs of letters go to the merges directly, many new ones in a call.
+    Other kinds of tokenizer get the whole text.
     """
 
-    #: A space before a character that is certainly no white space.
+    #: A space before a character that is certainly no white space; any other space.
     CUT = re.compile(" (?=[!-~¡-ɏ])")
-    ODD = re.compile(" (?![!-~¡-ɏ])")
-    #: Letters (after a space or not), and what follows them in ASCII.
-    CORE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-@\\[-`{-~].*)?", re.DOTALL)
+    ODD = " ([^!-~¡-ɏ]|$)"
+    RUN = "^[A-Za-zÀ-ÖØ-öø-ɏ]+$"
+    #: Letters, and what follows them in ASCII.
+    CORE = re.compile("([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-@\\[-`{-~].*)?", re.DOTALL)
     #: Two words with one line end between them, which is then a piece of its own.
-    LINES = re.compile("( ?\\S+)(\\n)([!-~¡-ɏ]\\S*)")
+    LINES = re.compile("(\\S+)(\\n)([!-~¡-ɏ]\\S*)")
+    #: Runs of letters in a call.
+    RUNS = 10_000
 
     def __init__(self, path: str, most: int = 600_000):
-        from tokenizers import Tokenizer, models
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -87,6 +127,7 @@ class Encoder:
             model.get("type", "BPE") == "BPE"
             and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix",
                                                "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+            and model["vocab"].keys() >= byte_letters()
             and before.get("type") == "ByteLevel" and before.get("use_regex", True)
             and not before.get("add_prefix_space") and not rules.get("normalizer")
             and not rules.get("post_processor")
@@ -94,11 +135,16 @@ class Encoder:
                         or re.match("[A-Za-zÀ-ɏ]", t["content"]) for t in rules.get("added_tokens", []))
         )
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.most, self.words, self.parts = most, {}, {}
+        #: Words with a space before them; strings that follow something else, of which there are few.
+        self.most, self.words, self.parts = most, Memory(most), {}
         if self.by_piece:
             merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-            self.bpe = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0)
-            self.letters = byte_letters()
+            self.merges = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
+            self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            #: Bytes of each id.
+            self.bytes = np.zeros(max(model["vocab"].values()) + 1, np.int64)
+            for token, k in model["vocab"].items():
+                self.bytes[k] = len(token)
 
     @classmethod
     @lru_cache(maxsize=2)
@@ -107,55 +153,137 @@ class Encoder:
         return cls(path)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        kind = f"<u{self.width}"
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, kind).tobytes() for e in found]
-
-    def _pieces(self, text: str) -> list[str]:
-        return self.CUT.split(text) if self.ODD.search(text) else text.split(" ")
-
-    def _run(self, letters: str) -> bytes:
-        """Ids of a run of letters, which is one pre-token."""
-        mapped = letters.encode().decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.bpe.tokenize(mapped)]
-        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
-
-    def _part(self, part: str) -> bytes:
-        """Ids of other pieces, remembered: there are few."""
-        if part not in self.parts:
-            self.parts[part] = self._ids([part])[0]
-        return self.parts[part]
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a word with or without the space before it: its letters and what follows them."""
-        core = self.CORE.fullmatch(word)
+        # One by one: in a batch the library takes threads of other tasks, and holds its large objects of all texts.
+        encode, kind = self.tokenizer.encode_batch_fast, f"<u{self.width}"
+        return [np.array(encode([t], add_special_tokens=False)[0].ids, kind).tobytes() for t in texts]
+
+    def _runs(self, runs: list[str]) -> pa.Array:
+        """Ids of runs of letters (after a space or not), each of which is one pre-token."""
+        out = [pa.array([], pa.large_binary())]
+        for k in range(0, len(runs), self.RUNS):
+            some = runs[k : k + self.RUNS]
+            found = self.merges.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found[0].ids, f"<u{self.width}")
+            # The last id of a run ends with its last byte.
+            ends = np.cumsum(pc.binary_length(pa.array(some)).to_numpy().astype(np.int64))
+            edges = np.append(0, self.width * (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1))
+            out.append(pa.Array.from_buffers(
+                pa.large_binary(), len(some), [None, pa.py_buffer(edges), pa.py_buffer(ids.tobytes())]))
+        return pa.concat_arrays(out)
+
+    def _new(self, strings: pa.Array, space: str) -> pa.Array:
+        """Ids of strings with ``space`` before them."""
+        other = pc.invert(pc.match_substring_regex(strings, self.RUN))
+        runs, others = [[space + s for s in _objects(strings.filter(m))] for m in (pc.invert(other), other)]
+        ids = pa.concat_arrays([self._runs(runs), pa.array(self._ids(others), pa.large_binary())])
+        return ids.take(_places(other))
+
+    def _split(self, piece: str) -> list[str]:
+        """The strings whose ids, one after the other, are the piece's: letters and what follows them."""
+        core = self.CORE.fullmatch(piece)
         if core and (core[2] is None or "\n" not in core[2]):
-            return self._run(core[1]) + (self._part(core[2]) if core[2] else b"")
-        lines = self.LINES.fullmatch(word)
+            return [core[1], core[2]] if core[2] else [piece]
+        lines = self.LINES.fullmatch(piece)
         if lines:
-            return self._word(lines[1]) + self._part("\n") + self._word(lines[3])
-        return self._part(word)
+            return [*self._split(lines[1]), "\n", *self._split(lines[3])]
+        return [piece]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_piece:
-            return self._ids(texts)
-        if len(self.words) > self.most:
-            self.words = {}
-        if len(self.parts) > self.most // 4:
+    def _parts(self, strings: set[str]) -> dict[str, bytes]:
+        """Ids of strings without a space before them, remembered."""
+        if len(self.parts) > self.most // 4 or sum(map(len, self.parts)) > 4 * self.most:  # heads may be long
             self.parts = {}
-        out, words, get = [], self.words, self.words.get
-        for text in texts:
-            pieces = self._pieces(text)
-            head = pieces[0]
-            pieces[0] = ""
-            found = list(map(get, pieces))
-            found[0] = self._word(head)
-            if None in found:
-                for k, piece in enumerate(pieces):
-                    if found[k] is None:
-                        found[k] = words[piece] = get(piece) or self._word(" " + piece)
-            out.append(b"".join(found))
-        return out
+        new = [s for s in strings if s not in self.parts]
+        self.parts.update(zip(new, _objects(self._new(pa.array(new, pa.string()), "")), strict=True))
+        return self.parts
+
+    def _learn(self, pieces: list[str], heads: list[str]) -> tuple[pa.Array, list[bytes]]:
+        """Ids of new pieces, which stand after a space and are remembered, and of heads, which don't and are not."""
+        more = np.zeros(len(pieces), bool)
+        first, after = [], []
+        for k, piece in enumerate(pieces):
+            if piece.isascii() and piece.isalpha():
+                continue
+            word, *parts = self._split(piece)
+            if parts:
+                more[k] = True
+                first.append(word)
+                after.append(parts)
+        split = [self._split(h) for h in heads]
+        parts = self._parts(set().union(*after, *split))
+
+        # Words may be known without what follows them here.
+        pieces, more = pa.array(pieces, pa.string()), pa.array(more)
+        whole = pieces.filter(pc.invert(more))
+        words = pa.concat_arrays([whole, pa.array(first, pa.string())]).dictionary_encode()
+        at = self.words.find(words.dictionary)
+        new = words.dictionary.filter(pc.is_null(at))
+        ids = self._new(new, " ")
+        of_words = _filled(self.words.ids, at, ids).take(words.indices)
+        rest = pa.array([b"".join([parts[s] for s in p]) for p in after], pa.large_binary())
+        joined = pc.binary_join_element_wise(of_words[len(whole):], rest, pa.scalar(b"", pa.large_binary()))
+        self.words.add(new, ids)
+        self.words.add(pieces.filter(more), joined)
+        found = pa.concat_arrays([of_words[: len(whole)], joined]).take(_places(more))
+        return found, [b"".join([parts[s] for s in p]) for p in split]
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        if not self.by_piece:
+            return self._ids(_objects(texts) if isinstance(texts, pa.Array) else texts)
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        odd = pc.match_substring_regex(texts, self.ODD)
+        rows = pa.concat_arrays([
+            pc.split_pattern(texts.filter(pc.invert(odd)), " "),
+            pa.array([self.CUT.split(t) for t in _objects(texts.filter(odd))], pa.list_(pa.string())),
+        ])
+        ends = np.cumsum(rows.value_lengths().to_numpy().astype(np.int64))
+        starts = np.append(0, ends[:-1])
+        pieces = rows.flatten()
+        heads = _objects(pieces.take(pa.array(starts)))
+        after = np.ones(len(pieces), bool)
+        after[starts] = False
+        # A column with a number for each distinct word, null for heads.
+        coded = pc.if_else(pa.array(after), pieces, None).dictionary_encode()
+        self.words.bound()
+        at, before = self.words.find(coded.dictionary), self.words.ids
+        new, of_heads = self._learn(_objects(coded.dictionary.filter(pc.is_null(at))), heads)
+        ids = pa.concat_arrays([_filled(before, at, new), pa.array(of_heads, pa.large_binary())])
+        which = pc.fill_null(coded.indices, 0).to_numpy().copy()
+        which[starts] = len(at) + np.arange(len(heads))
+        found = ids.take(pa.array(which))
+        edges = np.frombuffer(found.buffers()[1], np.int64)
+        data = memoryview(found.buffers()[2] or b"")
+        out = [bytes(data[a:b]) for a, b in zip(edges[starts].tolist(), edges[ends].tolist(), strict=True)]
+        return [out[k] for k in _places(odd).to_pylist()]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], least_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least so many bytes, but the last: each goes through all remembered words."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _objects(column: pa.Array) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _places(last: pa.Array) -> pa.Array:
+    """Where each row stands when the marked ones follow the others."""
+    return pa.array(np.argsort(np.argsort(last.to_numpy(zero_copy_only=False), kind="stable")))
+
+
+def _filled(ids: pa.Array, at: pa.Array, new: pa.Array) -> pa.Array:
+    """Ids by place; nulls take the new ones in order."""
+    places = pc.replace_with_mask(at, pc.is_null(at), pa.array(np.arange(len(ids), len(ids) + len(new)), at.type))
+    return pa.concat_arrays([ids, new]).take(places)
 
 
 # ---- files ----------------------------------------------------------------------
@@ -242,7 +370,7 @@ class ShardReader:
 
 
 def write_tokens(
-    documents: DataFrame, tokenizer: str, folder: str, end_id: int = 0, batch_bytes: int = 4 << 20
+    documents: DataFrame, tokenizer: str, folder: str, end_id: int = 0, batch_bytes: int = 8 << 20
 ) -> DataFrame:
     """Writes the shards; returns the manifest with ``start``, the ids in all shards before each."""
 
@@ -252,9 +380,9 @@ def write_tokens(
         path = f"{folder}/shard-{shard:06d}.tok"
         out = None
         end = np.array([end_id], f"<u{encoder.width}").tobytes()
-        for batch in common.slices(batches, batch_bytes, "text"):
+        for batch in _gathered(common.slices(batches, batch_bytes, "text"), batch_bytes // 2):
             out = out or ShardWriter(path, encoder.width, end_id)
-            encoded = encoder.encode(batch.column("text").to_pylist())
+            encoded = encoder.encode(batch.column("text"))
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), encoded, strict=True):
                 out.add(doc_id, data + end)
         if out:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -47,6 +48,38 @@ def test_pieces_equal_whole_texts():
         assert encoder.encode(texts) == encoder._ids(texts)
 
 
+def test_pieces_of_random_texts_with_a_small_memory():
+    encoder = token_store.Encoder(token_store.default_tokenizer(), most=40)
+    encoder.RUNS, encoder.words.SHORT = 7, 12
+    draw = random.Random(5)
+    signs = [*"abzAZéñßÀɏ", *"aeiou" * 3, *" " * 9, *"\n\t\r.,'!-<|>[]`~09", "'s", "'re", " ́", "中", "я", "١", "\x00",
+             "\xa0", "　", "<|endoftext|>", " the", " and", ".\nThe", " \n", "😀"]
+    for _ in range(60):
+        texts = ["".join(draw.choices(signs, k=draw.randrange(60))) for _ in range(draw.randrange(12))]
+        assert encoder.encode(texts) == encoder._ids(texts)
+        assert len(encoder.parts) < 400 and len(encoder.words.strings) < 400
+
+
+def test_letters_of_new_words_are_merged_once_and_together():
+    encoder = token_store.Encoder(token_store.default_tokenizer())
+    asked = []
+
+    class Counting:
+        def encode_batch_fast(self, batch, **how):
+            asked.append([run for runs in batch for run in runs])
+            return merges.encode_batch_fast(batch, **how)
+
+    merges, encoder.merges = encoder.merges, Counting()
+    draw = random.Random(6)
+    words = ["".join(draw.choices("abcdefgh", k=9)) for _ in range(3000)]
+    texts = ["- " + " ".join(w + end for w in words) for end in ("", ".", "!?", ",")]
+    for _ in range(2):
+        assert encoder.encode(texts) == encoder._ids(texts)
+    assert encoder.encode([texts[1] + " - more"]) == encoder._ids([texts[1] + " - more"])
+    assert sorted(r for runs in asked for r in runs) == sorted({" " + w for w in words} | {" more"})
+    assert len(asked) == 2
+
+
 def test_only_asked_frames_are_read(spark, documents, monkeypatch):
     folder = common.shared_folder(spark, "tok")
     manifest = token_store.write_tokens(documents, token_store.default_tokenizer(), folder)
