@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 from logweave import configure
 from logweave.functions import ids, text
 from logweave.operators import dispatch, flat, page_directory, search, search_index, store
-from logweave.plans import rawlogs
+from logweave.plans import queries, rawlogs
 from logweave.plans.queries import _mixed_load, _stored, _syslog_load, _write_long
 from logweave.schema import EVENT_COLUMNS, event_schema
 from logweave.sources import records, sysmon, syslog, wazuh, wel
@@ -444,6 +444,27 @@ def test_long_records_take_few_bytes_in_files_over_the_limit(spark, tmp_path):
     assert records.read_lines(spark, path, 1.5).count() == 0
 
 
+def test_each_file_of_long_records_has_a_task_of_its_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "_LONG_FILES", (("lz4", 210), ("none", 1)))
+    path = str(tmp_path / "long")
+    _write_long(spark.range(1262, numPartitions=3).selectExpr("'r' || CAST(id AS STRING) || ' ' AS raw"), path)
+    names = [os.path.basename(name) for name in glob.glob(f"{path}/part-*.lz4") if os.path.getsize(name) > 100]
+    assert sorted(name[:10] for name in names) == [f"part-0000{k}" for k in range(6)]
+    assert records.read_lines(spark, path, 1.5).count() == 0
+    assert records.read_lines(spark, path).count() == 1262
+
+
+def test_blank_lines_are_told_without_a_walk_through_the_others(spark, tmp_path):
+    blank = ["", " ", "\t \x0b", "\u3000", "\x85\u2003 ", "\x1c\u00a0"]
+    filled = ["!", "~", "~~", " a", "\u3000b", "\x7f", "\u00e9", "a\u3000", "#"]
+    (tmp_path / "a.log").write_bytes("\n".join(blank + filled).encode() + b"\n\x80\n \xe3\x80\n\xa0 \n")
+    lines = records.read_lines(spark, str(tmp_path / "a.log"))
+    assert sorted(r["raw"] for r in lines.collect()) == sorted([*filled, "\ufffd", " \ufffd", "\ufffd "])
+    counted = lines.agg(F.count(F.lit(1)))._jdf.queryExecution().optimizedPlan().toString()
+    # The first byte comes before the walk, and the text is made valid nowhere else.
+    assert ">= !" in counted.partition("makeValid")[0] and counted.count("makeValid") == 1
+
+
 def test_rows_are_numbered_without_gaps(spark):
     for rows in (spark.range(100, numPartitions=7).where("id % 9 > 2"), spark.range(0)):
         numbered, count = rawlogs.numbered(rows)
