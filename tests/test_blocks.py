@@ -38,6 +38,16 @@ def splits(split, request):
     return request.param
 
 
+@pytest.fixture(params=[False, True])
+def longer(monkeypatch, request):
+    """Whether files are read in pieces of several lines, however short the files are."""
+    if request.param:
+        monkeypatch.setattr(blocks, "_FEWER", 0)
+        monkeypatch.setattr(blocks, "_MANY", 0)
+        monkeypatch.setattr(blocks, "_LONG_PART_BITS", 1)
+    return request.param
+
+
 def read_rows(spark, path):
     return sorted((r["source_file"].rpartition("/")[2], r["_header"], r["_cells"])
                   for r in records.read_wel(spark, path).collect())
@@ -199,3 +209,71 @@ def test_records_are_put_together_once(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Id,Message\n1,x\n")
     plan = records.read_wel(spark, str(tmp_path / "a.csv"))._jdf.queryExecution().executedPlan().toString()
     assert "_chain" in plan and "_texts" not in plan
+
+
+# ---- longer pieces --------------------------------------------------------------
+
+
+@pytest.mark.parametrize("size", [23, 70])
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_csv_in_longer_pieces_equals_python(spark, split, longer, tmp_path, line_end, size):
+    split(size)
+    draw = random.Random(size)
+    expected = []
+    for k in range(5):
+        head = ["Id,Message,User", '"Id","Mess\nage",User', "Id", '"Id ","a ""b"""', '"Id"'][k]
+        lines = [",".join(draw.choice(CELLS) for _ in range(draw.randrange(1, 4))) for _ in range(12)]
+        text = "\n" * k + line_end.join([head, *[x for x in lines if x], ["1", '"2"', 'in"', "3", '"4\n"'][k]]) + line_end * (k % 3)
+        (tmp_path / f"{k}.csv").write_bytes(text.encode())
+        expected += python_rows(f"{k}.csv", text)
+    files = {"header": "Id,User\n", "open": 'Id,User\n1,"never\nclosed\nagain', "blanks": '\n  \n"Id"\n"1"\n\n2\n \n',
+             "quote": 'Id\n"1"', "quotes": 'Id\n"1"\n', "inside": 'Id\n1,a"\n2,b"', "blank": " \n\n "}
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_bytes(text.encode())
+        if name != "open":
+            expected += python_rows(f"{name}.csv", text)
+    expected.append(("open.csv", ["Id", "User"], ["1", "never\nclosed\nagain"]))
+    assert read_rows(spark, str(tmp_path / "*.csv")) == sorted(expected)
+
+
+@pytest.mark.parametrize("kind", ["wazuh", "cef"])
+def test_json_in_longer_pieces_equals_whole_documents(spark, split, longer, tmp_path, kind):
+    split(40)
+    draw = random.Random(5)
+    for k, indent in enumerate([None, 1, None, 4]):
+        body = json.dumps([element(draw, n) for n in range(14)], indent=indent)
+        (tmp_path / f"a{k}.json").write_text(" \n" * k + body + "\n" * (k % 2))
+    others = {"one": '{"a": {"b": 1},\n "c": "}"}\n', "tight": '{"a":{"b":[1]}}', "lines": '{"a":1}\n{"b":"}{"}\n', "none": "[]",
+              "spaces": "[ ]\n", "numbers": "[1, 2]", "two": '[{"a":1}]\n[{"b":2}]\n', "broken": '[{"a":1},', "cut": '[{"a":1},{"',
+              "text": "no json } at all\nCEF:0|a|b|c|1|n|3|x=1\n", "blank": "\n", "inner": '[[{"a":1}],[{"b":[2]}]]',
+              "string": '["a","}"]', "after": '{"a":1} x', "escaped": '[{"a":"\\\\"},{"b":"{\\"}{"}, {"c":1}]'}
+    for name, text in others.items():
+        (tmp_path / f"{name}.json").write_text(text)
+    path = str(tmp_path / "*.json")
+    cut = {"wazuh": records.wazuh_records, "cef": records.cef_records}[kind]
+    whole = cut(records.read_documents(spark, path)).filter("raw IS NOT NULL")
+
+    def got(rows):
+        return sorted((r["source_file"].rpartition("/")[2], r["raw"]) for r in rows.collect())
+
+    assert got(records.read_json(spark, path, kind)) == got(whole)
+
+
+def test_texts_full_of_ends_are_read_in_long_pieces(spark, tmp_path):
+    """Not a piece for each line or brace inside a text."""
+    message = 'a ""b"",\nc\n' * 30
+    (tmp_path / "a.csv").write_text("Id,Message\n" + "".join(f'{k},"{message}"\n' for k in range(100)))
+    assert blocks.csv_pieces(spark, str(tmp_path / "a.csv"), None).count() <= 101
+    assert records.read_wel(spark, str(tmp_path / "a.csv")).count() == 100
+    (tmp_path / "a.json").write_text(json.dumps([{"id": k, "m": '} " {' * 30} for k in range(100)]))
+    assert blocks.json_pieces(spark, str(tmp_path / "a.json"), None).count() <= 301
+    assert records.read_json(spark, str(tmp_path / "a.json")).count() == 100
+
+
+def test_long_pieces_are_left_for_short_ones_and_lose_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(blocks, "_LONGEST", 200)
+    text = "Id,Message\n" + '1,"a"\n' + "".join(f"{k},b\n" for k in range(2, 2000))
+    (tmp_path / "a.csv").write_text(text)
+    (tmp_path / "b.csv").write_text('Id\n"1"\n')
+    separator, _ = blocks._separator(spark, str(tmp_path / "*.csv"), "\n", blocks._CSV_LONGER, None)
+    assert separator == "\n" and records.read_wel(spark, str(tmp_path / "*.csv")).count() == 2000
