@@ -277,3 +277,8 @@ def test_long_pieces_are_left_for_short_ones_and_lose_nothing(spark, tmp_path, m
     (tmp_path / "b.csv").write_text('Id\n"1"\n')
     separator, _ = blocks._separator(spark, str(tmp_path / "*.csv"), "\n", blocks._CSV_LONGER, None)
     assert separator == "\n" and records.read_wel(spark, str(tmp_path / "*.csv")).count() == 2000
+
+
+def test_json_object_that_ends_its_file_keeps_its_braces(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a":{"b":[1]}}')
+    assert [r["raw"] for r in records.read_json(spark, str(tmp_path / "a.json"), "cef").collect()] == ['{"a":{"b":[1]}}']
